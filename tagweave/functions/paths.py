@@ -32,6 +32,10 @@ def path_join(*parts: Column | str) -> Column:
     return clean_path(F.concat_ws("/", *[_col(p) for p in parts]))
 
 
+# A path segment other than "." and "..".
+_SEGMENT = r"(?:[^/.][^/]*|\.[^/.][^/]*|\.\.[^/]+)"
+
+
 def clean_path(path: Column | str, passes: int = 4) -> Column:
     """Lexical clean-up: collapse ``//``, drop ``./`` and resolve ``x/../``.
 
@@ -42,7 +46,7 @@ def clean_path(path: Column | str, passes: int = 4) -> Column:
     p = F.regexp_replace(p, r"(^|/)(\./)+", "$1")
     p = F.regexp_replace(p, r"/\.$", "")
     for _ in range(passes):
-        p = F.regexp_replace(p, r"(^|/)(?!\.\./)[^/]+/\.\.(/|$)", "$1")
+        p = F.regexp_replace(p, r"(^|/)" + _SEGMENT + r"/\.\.(/|$)", "$1")
     p = F.regexp_replace(p, r"(.)/$", "$1")
     return F.when(p == "", F.lit(".")).otherwise(p)
 

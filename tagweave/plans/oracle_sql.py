@@ -162,3 +162,142 @@ ORACLES["lang_family"] = (
     )
     + "\nSELECT doc_id, name, kind FROM matches"
 )
+
+# ------------------------------------------------------------------ text
+CODE_TEXT = """
+code AS (
+  SELECT doc_id,
+         CASE lang WHEN 'en' THEN 'c' WHEN 'fr' THEN 'c++' WHEN 'de' THEN 'java' WHEN 'es' THEN 'python' ELSE lang END AS lang,
+         replace(replace(replace(replace(text, '. ', '. /* c. */ '), ', ', ' "s,\\" t" , '),
+                 chr(10), ' // eol' || chr(10)), '###', '''#'' /* a ** b */') AS t
+  FROM documents
+)"""
+
+ORACLES["strip"] = (
+    _with(CODE_TEXT)
+    + f"""
+SELECT doc_id, lang,
+       CASE WHEN lang IN {C_LIKE} THEN regexp_replace(t, '{STRIP_RE_SQL}', ' ', 'g') ELSE t END AS stripped
+FROM code"""
+)
+
+ORACLES["collapse_blanks"] = r"""
+SELECT doc_id,
+       regexp_replace(replace(replace(text, ', ', ',  ' || chr(9) || ' '), chr(10), chr(10) || '  '),
+                      '([^ \t\n])([ \t])[ \t]+', '\1\2', 'g') AS collapsed
+FROM documents"""
+
+ORACLES["vim_tokens"] = """
+WITH v AS (
+  SELECT doc_id, regexp_extract_all(replace(text, ' ', ':'), '[A-Za-z_][A-Za-z0-9_:]*') AS toks FROM documents
+)
+SELECT DISTINCT doc_id,
+       unnest(list_concat(toks, list_transform(list_filter(toks, lambda x: strpos(x, ':') > 0),
+                                               lambda x: substr(x, strpos(x, ':') + 1)))) AS name
+FROM v"""
+
+DOC_LINES = """
+doc_lines AS (
+  SELECT doc_id, lang, unnest(range(len(l))) AS line_no, unnest(l) AS line
+  FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents)
+)"""
+
+IF0_LINES = """
+if0_lines AS (
+  SELECT doc_id,
+         CASE lang WHEN 'en' THEN 'c' WHEN 'fr' THEN 'c++' WHEN 'de' THEN 'java' WHEN 'es' THEN 'python' ELSE lang END AS lang,
+         line_no,
+         CASE substr(line, 1, 1) WHEN 'A' THEN '#if 0' WHEN 'E' THEN '#endif' WHEN 'T' THEN '#ifdef X'
+              WHEN 'O' THEN '  #  if 0' WHEN 'I' THEN '#else' ELSE line END AS line
+  FROM doc_lines
+)"""
+
+# Independent oracle: a line-by-line simulation of the depth counter.
+ORACLES["if0_strip"] = (
+    "WITH RECURSIVE "
+    + ",".join([DOC_LINES, IF0_LINES])
+    + r""",
+cls AS (
+  SELECT *, regexp_matches(line, '^[ \t]*#') AS is_hash,
+         regexp_replace(line, '^[ \t]*#[ \t]*', '') AS rest,
+         lang IN ('c', 'c++') AS is_c
+  FROM if0_lines
+),
+sim(doc_id, line_no, depth, keep) AS (
+  SELECT doc_id, CAST(-1 AS BIGINT), 0, true FROM documents
+  UNION ALL
+  SELECT c.doc_id, c.line_no,
+         CASE WHEN s.depth > 0 THEN
+                s.depth + CASE WHEN c.is_hash AND starts_with(c.rest, 'if') THEN 1
+                               WHEN c.is_hash AND starts_with(c.rest, 'endif') THEN -1 ELSE 0 END
+              WHEN c.is_c AND c.is_hash AND starts_with(c.rest, 'if 0') THEN 1
+              ELSE 0 END,
+         s.depth = 0 AND NOT (c.is_c AND c.is_hash AND starts_with(c.rest, 'if 0'))
+  FROM sim s JOIN cls c ON c.doc_id = s.doc_id AND c.line_no = s.line_no + 1
+)
+SELECT c.doc_id, c.line_no, c.line FROM sim s JOIN cls c USING (doc_id, line_no) WHERE s.keep"""
+)
+
+ORACLES["include_extract"] = (
+    _with(DOC_LINES)
+    + r""",
+inc_lines AS (
+  SELECT doc_id, line_no,
+         CASE line_no % 5
+           WHEN 0 THEN '#include "' || w || '.h"'
+           WHEN 1 THEN '#  include   "' || w || '/x.h" // c'
+           WHEN 2 THEN ' #include "' || w || '.h"'
+           WHEN 3 THEN '#include <' || w || '.h>'
+           ELSE '#include ""' END AS line
+  FROM (SELECT *, lower(regexp_extract(line, '[A-Za-z_][A-Za-z0-9_]*', 0)) AS w FROM doc_lines)
+),
+ext AS (
+  SELECT doc_id, line_no,
+         coalesce(nullif(regexp_extract(line, '^#[ \t]*include[ \t]*(?:"([^"]*)"|<([^>]*)>)', 1), ''),
+                  nullif(regexp_extract(line, '^#[ \t]*include[ \t]*(?:"([^"]*)"|<([^>]*)>)', 2), '')) AS inc
+  FROM inc_lines
+)
+SELECT doc_id, line_no, inc FROM ext WHERE inc IS NOT NULL"""
+)
+
+ORACLES["line_dump"] = (
+    _with(DOC_LINES) + "\nSELECT doc_id, line_no, CAST(line_no AS VARCHAR) || ':' || chr(9) || line AS entry FROM doc_lines"
+)
+
+ORACLES["lines_range"] = """
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, l[-1] AS last_line, l[4] AS nth_line,
+       array_to_string(l[3:5], chr(10)) AS range_text
+FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"""
+
+ORACLES["reconcile"] = """
+SELECT doc_id, n_chars AS recorded, CAST(length(text) AS BIGINT) AS counted_chars,
+       CAST(strlen(text) AS BIGINT) AS counted_bytes,
+       CAST(len(string_split(text, chr(10))) AS BIGINT) AS counted_lines,
+       n_chars = length(text) AS ok
+FROM documents"""
+
+# ------------------------------------------------------------------ paths
+SEGMENT = r"(?:[^/.][^/]*|\.[^/.][^/]*|\.\.[^/]+)"
+
+
+def _clean_sql(expr: str, passes: int = 4) -> str:
+    p = f"regexp_replace({expr}, '/+', '/', 'g')"
+    p = f"regexp_replace({p}, '(^|/)(\\./)+', '\\1', 'g')"
+    p = f"regexp_replace({p}, '/\\.$', '')"
+    for _ in range(passes):
+        p = f"regexp_replace({p}, '(^|/){SEGMENT}/\\.\\.(/|$)', '\\1', 'g')"
+    p = f"regexp_replace({p}, '(.)/$', '\\1')"
+    return f"(CASE WHEN {p} = '' THEN '.' ELSE {p} END)"
+
+
+_DIR = "(CASE WHEN NOT contains(path, '/') THEN '.' WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END)"
+_BASE = "regexp_extract(path, '([^/]*)$', 1)"
+
+ORACLES["path_parts"] = f"""
+WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') AS path FROM pages)
+SELECT page_id, path, {_DIR} AS dir, {_BASE} AS base,
+       {_clean_sql("concat_ws('/', " + _DIR + ", '.', 'x', '..', " + _BASE + ")")} AS joined
+FROM p"""
+
+ORACLES["cache_key"] = r"""
+SELECT page_id, regexp_replace(url, '[/:\\]', '__', 'g') || '.html.tags.gz' AS cache_key FROM pages"""

@@ -11,10 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.functions.tokens import distinct_tokens
+from tagweave.functions.paths import basename, cache_key, dirname, path_join
+from tagweave.functions.text import collapse_blanks, strip_source
+from tagweave.functions.tokens import distinct_tokens, vim_tokens
 from tagweave.operators.index import normalize_tags, parse_tags
+from tagweave.operators.lines import extract_includes, line_dump, lines_range, reconcile
 from tagweave.operators.match import first_of_kind, match_stats, match_tags
 from tagweave.operators.patterns import highlight_commands, kind_patterns
+from tagweave.operators.regions import drop_if0
 from tagweave.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +92,74 @@ def q_match_stats(spark, sf):
 def q_lang_family(spark, sf):
     tags = _norm_tags(spark, sf, T.C_CONFIG, ("c", "C++", "java", "es"))
     return match_tags(T.c_documents(spark, sf), tags)
+
+
+# ------------------------------------------------------------------ text
+@query("strip")
+def q_strip(spark, sf):
+    c = T.code_text(spark, sf)
+    return c.select("doc_id", "lang", strip_source("t", "lang").alias("stripped"))
+
+
+@query("collapse_blanks")
+def q_collapse_blanks(spark, sf):
+    d = T.documents(spark, sf, ("doc_id", "text"))
+    t = F.replace(F.replace("text", F.lit(", "), F.lit(",  \t ")), F.lit("\n"), F.lit("\n  "))
+    return d.select("doc_id", collapse_blanks(t).alias("collapsed"))
+
+
+@query("vim_tokens")
+def q_vim_tokens(spark, sf):
+    d = T.documents(spark, sf, ("doc_id", "text"))
+    t = F.replace("text", F.lit(" "), F.lit(":"))
+    return d.select("doc_id", F.explode(F.array_distinct(vim_tokens(t))).alias("name"))
+
+
+@query("if0_strip")
+def q_if0_strip(spark, sf):
+    return drop_if0(T.if0_lines(spark, sf)).select("doc_id", "line_no", "line")
+
+
+@query("include_extract")
+def q_include_extract(spark, sf):
+    return extract_includes(T.include_lines(spark, sf))
+
+
+@query("line_dump")
+def q_line_dump(spark, sf):
+    return line_dump(T.documents(spark, sf, ("doc_id", "text")))
+
+
+@query("lines_range")
+def q_lines_range(spark, sf):
+    return lines_range(T.documents(spark, sf, ("doc_id", "text")))
+
+
+@query("reconcile")
+def q_reconcile(spark, sf):
+    return reconcile(T.documents(spark, sf, ("doc_id", "n_chars", "text")))
+
+
+# ------------------------------------------------------------------ paths
+def _page_paths(spark, sf):
+    p = T.load(spark, sf, "pages").select("page_id", "url")
+    return p.select("page_id", "url", F.regexp_replace("url", r"^[a-z]+://|[?#].*$", "").alias("path"))
+
+
+@query("path_parts")
+def q_path_parts(spark, sf):
+    p = _page_paths(spark, sf)
+    d, b = dirname("path"), basename("path")
+    return p.select(
+        "page_id",
+        "path",
+        d.alias("dir"),
+        b.alias("base"),
+        path_join(d, F.lit("."), F.lit("x"), F.lit(".."), b).alias("joined"),
+    )
+
+
+@query("cache_key")
+def q_cache_key(spark, sf):
+    p = T.load(spark, sf, "pages").select("page_id", "url")
+    return p.select("page_id", cache_key("url", F.lit("html"), "gzip").alias("cache_key"))

@@ -143,3 +143,20 @@ def if0_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.when(F.col("lang") == k, F.lit(v)) for k, v in CODE_LANG.items()], F.col("lang")
     )
     return lines.select("doc_id", code_lang.alias("lang"), "line_no", line.alias("line"))
+
+
+def include_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, line_no, line)``: every document line rewritten into an
+    include directive by ``line_no % 5``: quoted, spaced with a trailing
+    comment, indented (not a directive), angle-bracket and empty."""
+    lines = doc_lines(spark, sf_dir, ("doc_id", "text"))
+    w = F.lower(F.regexp_extract(F.col("line"), "[A-Za-z_][A-Za-z0-9_]*", 0))
+    r = F.col("line_no") % 5
+    line = (
+        F.when(r == 0, F.concat(F.lit('#include "'), w, F.lit('.h"')))
+        .when(r == 1, F.concat(F.lit('#  include   "'), w, F.lit('/x.h" // c')))
+        .when(r == 2, F.concat(F.lit(' #include "'), w, F.lit('.h"')))
+        .when(r == 3, F.concat(F.lit("#include <"), w, F.lit(".h>")))
+        .otherwise(F.lit('#include ""'))
+    )
+    return lines.select("doc_id", "line_no", line.alias("line"))
