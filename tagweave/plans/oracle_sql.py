@@ -301,3 +301,62 @@ FROM p"""
 
 ORACLES["cache_key"] = r"""
 SELECT page_id, regexp_replace(url, '[/:\\]', '__', 'g') || '.html.tags.gz' AS cache_key FROM pages"""
+
+# ------------------------------------------------------------------ events
+ORACLES["tick_gate"] = """
+WITH e AS (SELECT event_id, ts, user_id, event_type,
+                  TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+g AS (SELECT *, lag(k) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pk FROM e)
+SELECT event_id, user_id, k FROM g WHERE event_type = 'signup' OR k <> coalesce(pk, 0)"""
+
+ORACLES["active_switch"] = """
+WITH g AS (SELECT *, lag(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS pu FROM events)
+SELECT event_id, event_type, user_id FROM g WHERE pu IS NULL OR pu <> user_id"""
+
+ORACLES["unique_ordered"] = """
+WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+           FROM events WHERE event_type IS NOT NULL AND event_type <> ''),
+f AS (SELECT user_id, event_type, min(rn) AS first_rn FROM r GROUP BY 1, 2)
+SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY first_rn) AS pos FROM f"""
+
+ORACLES["keyword_rollup"] = """
+WITH k AS (SELECT user_id, string_agg(event_type, ' ' ORDER BY event_type DESC) AS keywords
+           FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_type IS NOT NULL) GROUP BY user_id)
+SELECT user_id, keywords,
+       'syntax clear grp_' || user_id || ' | syntax keyword grp_' || user_id || ' ' || keywords
+       || '  | hi! link grp_' || user_id || ' Identifier' AS cmd
+FROM k"""
+
+EDITOR_EVENTS = """
+ee AS (
+  SELECT event_id, user_id,
+         CASE event_type WHEN 'view' THEN 'nvim_buf_lines_event' WHEN 'click' THEN 'nvim_buf_changedtick_event'
+              WHEN 'purchase' THEN 'nvim_buf_detach_event' WHEN 'signup' THEN 'vim_event_update'
+              ELSE event_type END AS name,
+         TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS tick
+  FROM events
+)"""
+
+ORACLES["event_route"] = (
+    _with(EDITOR_EVENTS)
+    + """,
+r AS (
+  SELECT *, CASE name WHEN 'nvim_buf_lines_event' THEN 'lines' WHEN 'nvim_buf_changedtick_event' THEN 'changedtick'
+                      WHEN 'nvim_buf_detach_event' THEN 'detach' WHEN 'vim_event_update' THEN 'update'
+                      ELSE 'quarantine' END AS route
+  FROM ee
+),
+c AS (SELECT *, CASE WHEN route = 'update' THEN substr('ABCDEF', CAST(tick % 6 + 1 AS INTEGER), 1) END AS code FROM r)
+SELECT event_id, user_id, name, route, code,
+       CASE code WHEN 'A' THEN 'switch' WHEN 'B' THEN 'refresh' WHEN 'C' THEN 'stop' WHEN 'D' THEN 'switch'
+                 WHEN 'E' THEN 'clear' WHEN 'F' THEN 'refresh' END AS action,
+       coalesce(code = 'F', false) AS force
+FROM c"""
+)
+
+ORACLES["coerce_props"] = """
+SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+       CASE TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) WHEN 0 THEN false WHEN 1 THEN true END AS k_bool,
+       json_extract_string(props, '$.k') AS k_str,
+       array_to_string(json_keys(props), ',') AS keys
+FROM events"""

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from tagweave.functions.paths import basename, cache_key, dirname, path_join
 from tagweave.functions.text import collapse_blanks, strip_source
 from tagweave.functions.tokens import distinct_tokens, vim_tokens
+from tagweave.operators.events import active_switch, coerce_props, keyword_rollup, route_events, tick_gate
 from tagweave.operators.index import normalize_tags, parse_tags
 from tagweave.operators.lines import extract_includes, line_dump, lines_range, reconcile
 from tagweave.operators.match import first_of_kind, match_stats, match_tags
+from tagweave.operators.ordered import first_occurrence_order
 from tagweave.operators.patterns import highlight_commands, kind_patterns
 from tagweave.operators.regions import drop_if0
 from tagweave.sources import tables as T
@@ -163,3 +165,43 @@ def q_path_parts(spark, sf):
 def q_cache_key(spark, sf):
     p = T.load(spark, sf, "pages").select("page_id", "url")
     return p.select("page_id", cache_key("url", F.lit("html"), "gzip").alias("cache_key"))
+
+
+# ------------------------------------------------------------------ events
+@query("tick_gate")
+def q_tick_gate(spark, sf):
+    e = T.editor_events(spark, sf)
+    kept = tick_gate(e, buf="user_id", tick="tick", force="force", ts="ts", seq="event_id")
+    return kept.select("event_id", "user_id", F.col("tick").alias("k"))
+
+
+@query("active_switch")
+def q_active_switch(spark, sf):
+    e = T.editor_events(spark, sf).select("event_id", "ts", "user_id", "event_type")
+    sw = active_switch(e, session="event_type", buf="user_id", ts="ts", seq="event_id")
+    return sw.select("event_id", "event_type", "user_id")
+
+
+@query("unique_ordered")
+def q_unique_ordered(spark, sf):
+    e = T.load(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
+    return first_occurrence_order(e, "user_id", "event_type", ["ts", "event_id"])
+
+
+@query("keyword_rollup")
+def q_keyword_rollup(spark, sf):
+    e = T.load(spark, sf, "events").select("user_id", "event_type")
+    return keyword_rollup(e, "user_id", "event_type")
+
+
+@query("event_route")
+def q_event_route(spark, sf):
+    e = T.editor_events(spark, sf).select("event_id", "user_id", "name", "tick")
+    r = route_events(e, name="name", tick="tick")
+    return r.select("event_id", "user_id", "name", "route", "code", "action", "force")
+
+
+@query("coerce_props")
+def q_coerce_props(spark, sf):
+    e = T.load(spark, sf, "events").select("event_id", "props")
+    return coerce_props(e).select("event_id", "k", "k_bool", "k_str", "keys")

@@ -160,3 +160,31 @@ def include_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit('#include ""'))
     )
     return lines.select("doc_id", "line_no", line.alias("line"))
+
+
+# ---------------------------------------------------------------- event stream
+# event_type -> editor event name; "error" stays unknown (quarantined).
+EDITOR_EVENT_OF = {
+    "view": "nvim_buf_lines_event",
+    "click": "nvim_buf_changedtick_event",
+    "purchase": "nvim_buf_detach_event",
+    "signup": "vim_event_update",
+}
+
+
+def editor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as an editor change stream: buffer = user, tick = ``props.k``,
+    a ``signup`` is a forced refresh, ``event_id`` breaks timestamp ties."""
+    e = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    names = F.create_map(*[F.lit(x) for kv in EDITOR_EVENT_OF.items() for x in kv])
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
+    return e.select(
+        "event_id",
+        "ts",
+        "user_id",
+        "event_type",
+        "props",
+        F.coalesce(names[F.col("event_type")], F.col("event_type")).alias("name"),
+        k.alias("tick"),
+        (F.col("event_type") == "signup").alias("force"),
+    )
