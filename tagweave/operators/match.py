@@ -80,3 +80,20 @@ def first_of_kind(matches: DataFrame) -> DataFrame:
     """
     order_key = F.struct(F.octet_length("name").alias("len"), F.col("name").alias("name"))
     return matches.groupBy("doc_id", "kind").agg(F.min_by("name", order_key).alias("first_name"))
+
+
+def incremental_matches(
+    stored: DataFrame, before: DataFrame, after: DataFrame, norm_tags: DataFrame, tick: str = "n_chars"
+) -> DataFrame:
+    """Matches of ``after`` reusing ``stored`` (the matches of ``before``):
+    only documents whose tick moved, or that are new, are recomputed."""
+    prev = before.select("doc_id", F.col(tick).alias("_prev_tick"))
+    moved = (
+        after.join(prev, "doc_id", "left")
+        .where(F.col("_prev_tick").isNull() | (F.col("_prev_tick") != F.col(tick)))
+        .drop("_prev_tick", tick)
+    )
+    gone = before.select("doc_id").join(after.select("doc_id"), "doc_id", "left_anti")
+    keep = stored.join(moved.select("doc_id"), "doc_id", "left_anti").join(gone, "doc_id", "left_anti")
+    fresh = match_tags(moved, norm_tags)
+    return keep.unionByName(fresh)

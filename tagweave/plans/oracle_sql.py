@@ -360,3 +360,151 @@ SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
        json_extract_string(props, '$.k') AS k_str,
        array_to_string(json_keys(props), ',') AS keys
 FROM events"""
+
+# ------------------------------------------------------------------ edits
+ORACLES["edit_replay"] = """
+WITH RECURSIVE e AS (
+  SELECT conv_id AS buf, turn AS ctick,
+         CASE WHEN turn = 0 THEN 0 ELSE turn % 3 END AS f,
+         CASE WHEN turn = 0 THEN 1 ELSE turn % 3 + 1 END AS l,
+         string_split(text, chr(10)) AS ls,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn
+  FROM conversations
+),
+r(buf, rn, ctick, lines, init) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), [''], false FROM conversations
+  UNION ALL
+  SELECT e.buf, e.rn, e.ctick,
+         CASE WHEN len(r.lines) <= 1 AND e.f = 0 AND len(e.ls) = 1 AND e.ls[1] = '' THEN r.lines
+              WHEN len(list_concat(list_concat(r.lines[1:e.f], e.ls), r.lines[greatest(e.l, e.f) + 1:])) = 0 THEN ['']
+              ELSE list_concat(list_concat(r.lines[1:e.f], e.ls), r.lines[greatest(e.l, e.f) + 1:]) END,
+         r.init OR NOT (len(r.lines) <= 1 AND e.f = 0 AND len(e.ls) = 1 AND e.ls[1] = '')
+  FROM r JOIN e ON e.buf = r.buf AND e.rn = r.rn + 1
+)
+SELECT buf, ctick, CAST(len(lines) AS BIGINT) AS n_lines, array_to_string(lines, chr(10)) AS text,
+       init AS initialized
+FROM r WHERE (buf, rn) IN (SELECT (buf, max(rn)) FROM e GROUP BY buf)"""
+
+# ------------------------------------------------------------------ includes
+INCLUDE_REFS = """
+refs AS (
+  SELECT doc_id, 'd' || (doc_id % 7) AS own_dir, 'f' || (n_chars % 40) AS inc,
+         list_distinct(['d' || (doc_id % 2 * 7 + 1), 'd' || (doc_id % 7)]) AS search_dirs
+  FROM documents
+),
+manifest AS (SELECT DISTINCT 'd' || (doc_id % 9) AS dir, 'f' || (doc_id % 31) AS file FROM documents),
+own AS (
+  SELECT r.doc_id, r.own_dir, r.inc, m.dir || '/' || m.file AS path
+  FROM refs r JOIN manifest m ON m.dir = r.own_dir AND m.file = r.inc
+),
+resolved AS (
+  SELECT doc_id, path FROM own
+  UNION
+  SELECT x.doc_id, m.dir || '/' || m.file
+  FROM (SELECT doc_id, inc, unnest(search_dirs) AS dir FROM refs r
+        WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.doc_id = r.doc_id AND o.own_dir = r.own_dir AND o.inc = r.inc)) x
+  JOIN manifest m ON m.dir = x.dir AND m.file = x.inc
+)"""
+
+ORACLES["include_resolve"] = _with(INCLUDE_REFS) + "\nSELECT doc_id, path FROM resolved"
+
+ORACLES["include_closure"] = """
+WITH RECURSIVE n AS (SELECT count(*) AS c FROM documents),
+edges AS (
+  SELECT doc_id AS src, (doc_id * 2 + 1) % (SELECT c FROM n) AS dst FROM documents
+  UNION
+  SELECT doc_id, n_chars % (SELECT c FROM n) FROM documents
+),
+walk(root, node, lvl) AS (
+  SELECT doc_id, doc_id, 0 FROM documents WHERE lang = 'en'
+  UNION
+  SELECT w.root, e.dst, w.lvl + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.lvl < 9
+)
+SELECT root, node, CAST(min(lvl) AS BIGINT) AS depth FROM walk WHERE lvl >= 1 GROUP BY root, node"""
+
+ORACLES["find_file"] = """
+WITH m AS (SELECT regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') AS path FROM pages),
+b AS (
+  SELECT regexp_extract(path, '([^/]*)$', 1) AS name,
+         arg_min(path, (length(path) - length(replace(path, '/', '')), path)) AS path
+  FROM m GROUP BY 1
+)
+SELECT d.doc_id, CAST(d.n_chars % 1000 AS VARCHAR) AS name, b.path
+FROM documents d LEFT JOIN b ON b.name = CAST(d.n_chars % 1000 AS VARCHAR)"""
+
+# ------------------------------------------------------------------ projects
+ORACLES["longest_prefix"] = """
+WITH p AS (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(.*)/[^/]*$', 1) AS dir FROM pages),
+roots AS (
+  SELECT DISTINCT r FROM (
+    SELECT regexp_extract(url, '^[a-z]+://[^/]+', 0) AS r FROM pages WHERE contains(url, '?')
+    UNION ALL
+    SELECT regexp_extract(url, '^[a-z]+://[^/]+/[a-z]+', 0) FROM pages WHERE contains(url, '#'))
+  WHERE length(r) > 0
+)
+SELECT page_id, dir, coalesce(arg_max(r, length(r)), dir) AS root
+FROM p LEFT JOIN roots ON starts_with(p.dir, roots.r)
+GROUP BY page_id, dir"""
+
+BUFFERS = """
+buffers AS (
+  SELECT doc_id,
+         CASE lang WHEN 'en' THEN 'python' WHEN 'fr' THEN 'cpp' WHEN 'de' THEN 'vim' WHEN 'es' THEN 'es' ELSE lang END AS ft,
+         '/w/' || lang || '/' || source || '/f' || doc_id || '.txt' AS filename,
+         '/w/' || lang || '/' || source AS dir
+  FROM documents
+),
+filetypes(ft_id, ft) AS (VALUES (0, 'NONE'), (1, 'c'), (2, 'cpp'), (3, 'cs'), (4, 'go'), (5, 'java'),
+  (6, 'javascript'), (7, 'lisp'), (8, 'perl'), (9, 'php'), (10, 'python'), (11, 'ruby'), (12, 'rust'),
+  (13, 'sh'), (14, 'vim'), (15, 'zsh')),
+admitted AS (
+  SELECT b.*, CAST(f.ft_id AS BIGINT) AS ft_id,
+         CASE WHEN b.doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'rejected_id'
+              WHEN f.ft_id IS NULL THEN 'unknown_filetype'
+              WHEN b.ft IN ('vim') THEN 'ignored_filetype'
+              ELSE 'admitted' END AS status
+  FROM buffers b LEFT JOIN filetypes f USING (ft)
+),
+proots(root) AS (VALUES ('/w/en'), ('/w/fr'), ('/w/en/src1'), ('/w/es/src2')),
+norecurse(root) AS (VALUES ('/w/en/src1'), ('/w/es/src2')),
+units0 AS (
+  SELECT a.doc_id, a.ft, a.filename, a.dir, coalesce(arg_max(p.root, length(p.root)), a.dir) AS root
+  FROM admitted a LEFT JOIN proots p ON starts_with(a.dir, p.root)
+  WHERE a.status = 'admitted'
+  GROUP BY a.doc_id, a.ft, a.filename, a.dir
+),
+units AS (
+  SELECT *, root NOT IN (SELECT root FROM norecurse) AS recurse, ft IN ('c', 'cpp') AS is_c,
+         CASE WHEN root IN (SELECT root FROM norecurse) OR ft IN ('c', 'cpp') THEN filename ELSE root END AS unit
+  FROM units0
+)"""
+
+ORACLES["admit_buffers"] = _with(BUFFERS) + "\nSELECT doc_id, ft, ft_id, status FROM admitted"
+ORACLES["project_units"] = _with(BUFFERS) + "\nSELECT doc_id, ft, root, recurse, is_c, unit FROM units"
+ORACLES["project_refs"] = _with(BUFFERS) + "\nSELECT ft, unit, count(*) AS refs FROM units GROUP BY ft, unit"
+ORACLES["scan_set"] = (
+    _with(BUFFERS, INCLUDE_REFS)
+    + """
+SELECT ft, unit, filename AS member FROM units
+UNION
+SELECT u.ft, u.unit, r.path FROM units u JOIN resolved r USING (doc_id) WHERE u.is_c"""
+)
+ORACLES["cache_or_build"] = (
+    _with(BUFFERS)
+    + r"""
+SELECT doc_id, unit, regexp_replace(unit, '[/:\\]', '__', 'g') || '.' || ft || '.tags.gz' AS cache_key,
+       CASE WHEN doc_id IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+            THEN 'stored' ELSE 'built' END AS status
+FROM units"""
+)
+
+# ------------------------------------------------------------------ incremental
+AFTER_DOCS = """
+after_docs AS (
+  SELECT doc_id, lang, source,
+         CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN replace(text, 'e', 'a') ELSE text END AS text
+  FROM documents
+)"""
+ORACLES["incremental_match"] = (
+    _tag_pipeline(docs="after_docs", extra=(AFTER_DOCS,)) + "\nSELECT doc_id, name, kind FROM matches"
+)

@@ -14,12 +14,24 @@ from pyspark.sql import functions as F
 from tagweave.functions.paths import basename, cache_key, dirname, path_join
 from tagweave.functions.text import collapse_blanks, strip_source
 from tagweave.functions.tokens import distinct_tokens, vim_tokens
+from tagweave.operators.edits import replay_edits
 from tagweave.operators.events import active_switch, coerce_props, keyword_rollup, route_events, tick_gate
+from tagweave.operators.includes import include_closure, resolve_includes
 from tagweave.operators.index import normalize_tags, parse_tags
 from tagweave.operators.lines import extract_includes, line_dump, lines_range, reconcile
-from tagweave.operators.match import first_of_kind, match_stats, match_tags
+from tagweave.operators.match import first_of_kind, incremental_matches, match_stats, match_tags
 from tagweave.operators.ordered import first_occurrence_order
 from tagweave.operators.patterns import highlight_commands, kind_patterns
+from tagweave.operators.projects import (
+    admit_buffers,
+    cache_or_build,
+    filetypes,
+    find_file,
+    longest_prefix,
+    project_refs,
+    project_units,
+    scan_set,
+)
 from tagweave.operators.regions import drop_if0
 from tagweave.sources import tables as T
 
@@ -205,3 +217,92 @@ def q_event_route(spark, sf):
 def q_coerce_props(spark, sf):
     e = T.load(spark, sf, "events").select("event_id", "props")
     return coerce_props(e).select("event_id", "k", "k_bool", "k_str", "keys")
+
+
+# ------------------------------------------------------------------ edits
+@query("edit_replay")
+def q_edit_replay(spark, sf):
+    return replay_edits(T.edits(spark, sf))
+
+
+# ------------------------------------------------------------------ includes
+@query("include_resolve")
+def q_include_resolve(spark, sf):
+    return resolve_includes(T.include_refs(spark, sf), T.manifest(spark, sf))
+
+
+@query("include_closure")
+def q_include_closure(spark, sf):
+    roots = T.documents(spark, sf, ("doc_id", "lang")).where(F.col("lang") == "en")
+    return include_closure(roots.select(F.col("doc_id").alias("root")), T.include_edges(spark, sf))
+
+
+@query("find_file")
+def q_find_file(spark, sf):
+    m = _page_paths(spark, sf).select("path")
+    best = find_file(m)
+    d = T.load(spark, sf, "documents").select("doc_id", "n_chars")
+    want = d.select("doc_id", (F.col("n_chars") % 1000).cast("string").alias("name"))
+    return want.join(best, "name", "left").select("doc_id", "name", "path")
+
+
+# ------------------------------------------------------------------ projects
+@query("longest_prefix")
+def q_longest_prefix(spark, sf):
+    return longest_prefix(T.page_dirs(spark, sf), "dir", T.page_roots(spark, sf))
+
+
+def _admitted(spark, sf):
+    b = T.buffers(spark, sf)
+    rejected = T.load(spark, sf, "labels").where(F.col("quality") == 0).select("doc_id")
+    return admit_buffers(b, filetypes(spark), T.IGNORED_FILETYPES, rejected)
+
+
+@query("admit_buffers")
+def q_admit_buffers(spark, sf):
+    return _admitted(spark, sf).select("doc_id", "ft", "ft_id", "status")
+
+
+def _units(spark, sf):
+    a = _admitted(spark, sf).where(F.col("status") == "admitted").select("doc_id", "ft", "filename", "dir")
+    return project_units(
+        a,
+        T.config_list(spark, T.PROJECT_ROOTS),
+        T.config_list(spark, T.NORECURSE_DIRS),
+    )
+
+
+@query("project_units")
+def q_project_units(spark, sf):
+    return _units(spark, sf).select("doc_id", "ft", "root", "recurse", "is_c", "unit")
+
+
+@query("project_refs")
+def q_project_refs(spark, sf):
+    return project_refs(_units(spark, sf))
+
+
+@query("scan_set")
+def q_scan_set(spark, sf):
+    u = _units(spark, sf).select("doc_id", "ft", "unit", "filename", "is_c", "recurse")
+    headers = resolve_includes(T.include_refs(spark, sf), T.manifest(spark, sf))
+    return scan_set(u, headers)
+
+
+@query("cache_or_build")
+def q_cache_or_build(spark, sf):
+    u = _units(spark, sf).select("doc_id", "ft", "unit")
+    labels = T.load(spark, sf, "labels").select("doc_id", "toxic")
+    stored = labels.select("doc_id")
+    seen = labels.where(F.col("toxic") == 1).select("doc_id")
+    return cache_or_build(u, stored, seen)
+
+
+# ------------------------------------------------------------------ incremental
+@query("incremental_match")
+def q_incremental_match(spark, sf):
+    before = T.documents(spark, sf, ("doc_id", "lang", "source", "text", "n_chars"))
+    after = T.changed_documents(spark, sf)
+    tags = _norm_tags(spark, sf)
+    stored = match_tags(before.drop("n_chars"), tags)
+    return incremental_matches(stored, before, after, tags)

@@ -188,3 +188,117 @@ def editor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("tick"),
         (F.col("event_type") == "signup").alias("force"),
     )
+
+
+# ---------------------------------------------------------------- edits
+def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` as line edits: buffer = conversation, tick = turn;
+    turn 0 replaces the initial empty line, turn t replaces line ``t % 3``."""
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    t = F.col("turn")
+    first = F.when(t == 0, 0).otherwise(t % 3).cast("int")
+    last = F.when(t == 0, 1).otherwise(t % 3 + 1).cast("int")
+    return c.select(
+        F.col("conv_id").alias("buf"),
+        t.alias("ctick"),
+        first.alias("first"),
+        last.alias("last"),
+        F.split("text", "\n").alias("lines"),
+        F.lit(False).alias("more"),
+    )
+
+
+# ---------------------------------------------------------------- include graph
+def include_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, own_dir, inc, search_dirs)``: one include per document; the
+    project root is d1 or d8, the search dirs are root and own directory."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    own = F.concat(F.lit("d"), _s(F.col("doc_id") % 7))
+    root = F.concat(F.lit("d"), _s(F.col("doc_id") % 2 * 7 + 1))
+    return d.select(
+        "doc_id",
+        own.alias("own_dir"),
+        F.concat(F.lit("f"), _s(F.col("n_chars") % 40)).alias("inc"),
+        F.array(root, own).alias("search_dirs"),
+    )
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(dir, file)`` of the files that exist."""
+    d = load(spark, sf_dir, "documents").select("doc_id")
+    return d.select(
+        F.concat(F.lit("d"), _s(F.col("doc_id") % 9)).alias("dir"),
+        F.concat(F.lit("f"), _s(F.col("doc_id") % 31)).alias("file"),
+    )
+
+
+def include_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(src, dst)``: every document includes two others (by id arithmetic
+    modulo the document count)."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    n = d.count()
+    a = d.select(F.col("doc_id").alias("src"), ((F.col("doc_id") * 2 + 1) % n).alias("dst"))
+    b = d.select(F.col("doc_id").alias("src"), (F.col("n_chars") % n).alias("dst"))
+    return a.unionByName(b)
+
+
+# ---------------------------------------------------------------- buffers and projects
+BUFFER_FT = {"en": "python", "fr": "cpp", "de": "vim", "es": "es"}
+IGNORED_FILETYPES = ["vim"]
+PROJECT_ROOTS = ["/w/en", "/w/fr", "/w/en/src1", "/w/es/src2"]
+NORECURSE_DIRS = ["/w/en/src1", "/w/es/src2"]
+
+
+def buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, ft, filename, dir)``: documents as editor buffers."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    ft = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in BUFFER_FT.items()], F.col("lang"))
+    dir_ = F.concat(F.lit("/w/"), F.col("lang"), F.lit("/"), F.col("source"))
+    return d.select(
+        "doc_id",
+        ft.alias("ft"),
+        F.concat(dir_, F.lit("/f"), _s(F.col("doc_id")), F.lit(".txt")).alias("filename"),
+        dir_.alias("dir"),
+    )
+
+
+def config_list(spark: SparkSession, values: list[str], col: str = "root") -> DataFrame:
+    """A settings list as a one-column broadcast table (size bounded by the settings)."""
+    return F.broadcast(spark.createDataFrame([(v,) for v in values], f"{col} string"))
+
+
+def page_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, dir)``: the directory part of each page url (no query)."""
+    p = load(spark, sf_dir, "pages").select("page_id", "url")
+    nq = F.regexp_replace("url", "[?#].*$", "")
+    return p.select("page_id", F.regexp_extract(nq, "^(.*)/[^/]*$", 1).alias("dir"))
+
+
+def page_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Project roots taken from pages: hosts of urls with a query and
+    host/language dirs of urls with a fragment."""
+    p = load(spark, sf_dir, "pages").select("url")
+    hosts = p.where(F.col("url").contains("?")).select(
+        F.regexp_extract("url", "^[a-z]+://[^/]+", 0).alias("root")
+    )
+    langs = p.where(F.col("url").contains("#")).select(
+        F.regexp_extract("url", "^[a-z]+://[^/]+/[a-z]+", 0).alias("root")
+    )
+    return hosts.unionByName(langs)
+
+
+def changed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second snapshot: documents labelled quality 1 are edited (``e`` -> ``a``)
+    and their tick (``n_chars``) moves by one."""
+    d = documents(spark, sf_dir, ("doc_id", "lang", "source", "text", "n_chars"))
+    good = (
+        load(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id").distinct()
+        .withColumn("_chg", F.lit(True))
+    )
+    x = d.join(good, "doc_id", "left")
+    chg = F.coalesce(F.col("_chg"), F.lit(False))
+    return x.select(
+        "doc_id", "lang", "source",
+        F.when(chg, F.replace("text", F.lit("e"), F.lit("a"))).otherwise(F.col("text")).alias("text"),
+        F.when(chg, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n_chars"),
+    )
