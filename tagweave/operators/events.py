@@ -71,7 +71,9 @@ def coerce_props(events: DataFrame, props: str = "props", key: str = "k") -> Dat
     number -> bigint; number -> bool only for 0/1 (others null, where a plain
     cast would turn 2 into true); the object's keys, in document order.
     """
-    m = F.from_json(F.col(props), "map<string,string>")
+    # Rebuilding the map through map_from_entries applies the session's
+    # LAST_WIN key policy: a later duplicate key overwrites an earlier one.
+    m = F.map_from_entries(F.map_entries(F.from_json(F.col(props), "map<string,string>")))
     k_str = m[key]
     k = k_str.try_cast("bigint")
     k_bool = F.when(k == 0, F.lit(False)).when(k == 1, F.lit(True))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tagweave.constants import C_FAMILY, LANGUAGE_FIELD, PSEUDO_TAG_PREFIX
 from tagweave.functions.text import normalize_lang
+from tagweave.session import literal_table
 
 
 def skip_pseudo(raw: DataFrame, line: str = "line") -> DataFrame:
@@ -35,9 +36,9 @@ def parse_tags(raw: DataFrame, line: str = "line", keep: list[str] | None = None
     p = F.col("_p")
     rest = F.slice(p, 3, F.greatest(F.size(p) - 2, F.lit(1)))
     rest = F.when(F.size(p) > 2, rest).otherwise(F.array().cast("array<string>"))
-    kind = F.element_at(F.filter(rest, lambda x: F.octet_length(x) == 1), -1)
+    kind = F.try_element_at(F.filter(rest, lambda x: F.octet_length(x) == 1), F.lit(-1))
     lang_fields = F.filter(rest, lambda x: F.startswith(x, F.lit(LANGUAGE_FIELD)))
-    lang_raw = F.substr(F.element_at(lang_fields, -1), F.lit(len(LANGUAGE_FIELD) + 1))
+    lang_raw = F.substr(F.try_element_at(lang_fields, F.lit(-1)), F.lit(len(LANGUAGE_FIELD) + 1))
     parsed = (
         skip_pseudo(raw, line)
         .select(*keep, _fields(line).alias("_p"))
@@ -100,12 +101,12 @@ class TagConfig:
                 if to in order:
                     rows.append((lang, k, to, order.index(to)))
         return F.broadcast(
-            spark.createDataFrame(rows, "target_lang string, kind string, to_kind string, pos int")
+            literal_table(spark, rows, "target_lang string, kind string, to_kind string, pos int")
         )
 
     def ignored_df(self, spark: SparkSession) -> DataFrame:
         rows = [(lang, n) for lang, names in self.ignored.items() for n in names]
-        return F.broadcast(spark.createDataFrame(rows, "target_lang string, name string"))
+        return F.broadcast(literal_table(spark, rows, "target_lang string, name string"))
 
     def groups_df(self, spark: SparkSession) -> DataFrame:
         rows = [
@@ -114,9 +115,7 @@ class TagConfig:
             for k, (g, pre, suf) in kinds.items()
         ]
         return F.broadcast(
-            spark.createDataFrame(
-                rows, "lang string, kind string, grp string, prefix string, suffix string"
-            )
+            literal_table(spark, rows, "lang string, kind string, grp string, prefix string, suffix string")
         )
 
 

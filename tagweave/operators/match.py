@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions.text import strip_source
+from tagweave.session import broadcast_if_small
 from tagweave.functions.tokens import distinct_tokens, tokens
 
 
@@ -39,10 +40,13 @@ def match_tags(
     ``docs``: ``(doc_id, lang, source, text)``; ``norm_tags``: output of
     :func:`tagweave.operators.index.normalize_tags`.
     """
-    by_name = norm_tags.select(F.col("target_lang").alias("lang"), "name", "kind").distinct()
-    by_file = norm_tags.select(
-        F.col("target_lang").alias("lang"), F.col("file").alias(source), "name", "kind"
-    ).distinct()
+    # The symbol index side is broadcast only after a bounded size check;
+    # a large index falls back to shuffle joins on (lang, name) / (lang, file).
+    nt = broadcast_if_small(
+        norm_tags.select(F.col("target_lang").alias("lang"), "name", "file", "kind").distinct()
+    )
+    by_name = nt.select("lang", "name", "kind").distinct()
+    by_file = nt.select("lang", F.col("file").alias(source), "name", "kind")
 
     toks = document_tokens(docs, strip=strip)
     out = ["doc_id", "lang", "name", "kind"] if keep_lang else ["doc_id", "name", "kind"]

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave.session import literal_table
+
 from tagweave.constants import FILETYPES
 from tagweave.functions.paths import all_prefixes, cache_key
 
 
 def filetypes(spark: SparkSession) -> DataFrame:
     """The fixed 16-row filetype dimension (broadcast: size fixed by definition)."""
-    return F.broadcast(spark.createDataFrame(FILETYPES, "ft_id int, ft string, index_name string"))
+    return F.broadcast(literal_table(spark, FILETYPES, "ft_id int, ft string, index_name string"))
 
 
 def admit_buffers(

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every plan in this package assumes. Sizes are per task, so they hold
 # from local[8] up to a large cluster; AQE re-plans joins and partition counts
@@ -16,9 +17,12 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
-    # Catalyst broadcasts a join side only when its estimated size is below
-    # this; otherwise it shuffles.  AQE applies the same check to real sizes.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # No broadcast from static estimates: they ignore how explode/regex
+    # extraction inflate rows, and would pick the wrong side.  Broadcasts come
+    # from (a) explicit hints on configuration tables of bounded size,
+    # (b) broadcast_if_small() after a bounded row count, and (c) AQE, which
+    # converts a shuffle join to a broadcast from *measured* shuffle sizes.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     # Later duplicate map keys overwrite earlier ones (settings maps).
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
@@ -86,3 +90,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` to the reliable checkpoint directory (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
+
+    The frame is first materialised to the reliable checkpoint directory, then
+    counted with ``limit(max_rows + 1)`` (the check reads at most that many
+    rows).  Beyond the bound the frame is returned as is and the join
+    shuffles (AQE may still broadcast it from measured sizes).
+    """
+    materialised = cut_lineage(df)
+    n = materialised.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(materialised)
+    return materialised
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small constant table built inside the JVM (``inline`` of a literal
+    array), so scanning it starts no Python worker.  For configuration lists."""
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in fields])
+    structs = [
+        F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, fields)]) for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave.session import literal_table
+
 from tagweave.functions.tokens import tokens
 from tagweave.operators.index import TagConfig
 
@@ -264,7 +266,7 @@ def buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def config_list(spark: SparkSession, values: list[str], col: str = "root") -> DataFrame:
     """A settings list as a one-column broadcast table (size bounded by the settings)."""
-    return F.broadcast(spark.createDataFrame([(v,) for v in values], f"{col} string"))
+    return F.broadcast(literal_table(spark, [(v,) for v in values], f"{col} string"))
 
 
 def page_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
