@@ -127,12 +127,14 @@ def target_langs(lang_col: str = "lang"):
     return F.when(lang.isin(*C_FAMILY), family).otherwise(F.array(lang))
 
 
-def normalize_tags(tags: DataFrame, config: TagConfig, c_family: bool = True) -> DataFrame:
+def normalize_tags(tags: DataFrame, config, c_family: bool = True) -> DataFrame:
     """Apply kind mapping, kind admission and the ignore list.
 
     Output ``(target_lang, name, file, kind)``: ``target_lang`` is the buffer
     language the row is valid for (a C++ tag yields rows for C and C++ when
-    ``c_family``); ``kind`` is the mapped kind.
+    ``c_family``); ``kind`` is the mapped kind.  ``config`` is a
+    :class:`TagConfig` or a ``(kind_map, ignored)`` pair of DataFrames (e.g.
+    from :mod:`tagweave.sources.settings`).
     """
     spark = tags.sparkSession
     expanded = tags.select(
@@ -143,10 +145,13 @@ def normalize_tags(tags: DataFrame, config: TagConfig, c_family: bool = True) ->
             "target_lang"
         ),
     )
-    kinds = config.kind_map(spark)
+    if isinstance(config, TagConfig):
+        kinds, ignored = config.kind_map(spark), config.ignored_df(spark)
+    else:
+        kinds, ignored = config
     out = (
         expanded.join(kinds, ["target_lang", "kind"], "inner")
-        .join(config.ignored_df(spark), ["target_lang", "name"], "left_anti")
+        .join(ignored, ["target_lang", "name"], "left_anti")
         .select("target_lang", "name", "file", F.col("to_kind").alias("kind"))
     )
     return out

@@ -121,3 +121,9 @@ def cache_or_build(units: DataFrame, stored: DataFrame, seen: DataFrame) -> Data
     x = units.join(st, "doc_id", "left").join(sn, "doc_id", "left")
     status = F.when(F.col("_st") & F.col("_sn").isNull(), "stored").otherwise("built")
     return x.select("doc_id", "unit", cache_key("unit", "ft").alias("cache_key"), status.alias("status"))
+
+
+def new_projects(units: DataFrame, existing: DataFrame, ft: str = "ft") -> DataFrame:
+    """Project units not known yet (find-or-create: the anti-join finds the
+    ones to create); ``existing`` has ``(ft, unit)``."""
+    return units.select(ft, "unit").distinct().join(existing.select(ft, "unit"), [ft, "unit"], "left_anti")

@@ -116,3 +116,16 @@ def read_change_stream(spark, path: str, fmt: str = "json", max_files: int | Non
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(path)
+
+
+def attach_events(snapshots: DataFrame, text: str = "text") -> DataFrame:
+    """Attach: a document snapshot becomes the buffer's first edit (tick 0,
+    replacing the initial empty line), to be unioned ahead of its edits."""
+    return snapshots.select(
+        F.col("doc_id").alias("buf"),
+        F.lit(0).cast("long").alias("ctick"),
+        F.lit("lines").alias("op"),
+        F.lit(0).cast("long").alias("first"),
+        F.lit(1).cast("long").alias("last"),
+        F.split(F.col(text), "\n").alias("lines"),
+    )
