@@ -41,13 +41,17 @@ def include_closure(
     1..``max_depth`` (direct includes are depth 1; nodes up to depth 8 are
     expanded, so results reach depth 9).
 
-    Breadth-first: each level joins the frontier with the edges and removes
-    pairs already reached at an earlier level.  The loop runs ``max_depth``
-    times at most (a constant, not data-sized); every level is written to the
-    reliable checkpoint directory, so the plan stays small and a lost executor
-    recomputes one level, not the whole walk.
+    Level k holds the distinct (root, node) pairs reachable by exactly k
+    steps: one join of the previous level with the edges and one distinct.
+    The shortest depth is a single ``min`` aggregate at the end, so no level
+    has to be anti-joined with all earlier ones.  The loop runs ``max_depth``
+    times (a constant, not data-sized); every level is written to the reliable
+    checkpoint directory, so the plan stays flat and a lost executor costs one
+    level, not the whole walk.
     """
     e = edges.select("src", "dst").distinct()
+    if checkpoint:
+        e = cut_lineage(e)
     frontier = roots.select(F.col("root"), F.col("root").alias("node"))
     levels: list[DataFrame] = []
     for depth in range(1, max_depth + 1):
@@ -55,15 +59,13 @@ def include_closure(
             frontier.join(e, frontier.node == e.src, "inner")
             .select("root", F.col("dst").alias("node"))
             .distinct()
+            .withColumn("depth", F.lit(depth))
         )
-        for seen in levels:
-            nxt = nxt.join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        nxt = nxt.withColumn("depth", F.lit(depth))
         if checkpoint:
             nxt = cut_lineage(nxt)
         levels.append(nxt)
         frontier = nxt.select("root", "node")
-    out = levels[0]
+    walked = levels[0]
     for lvl in levels[1:]:
-        out = out.unionByName(lvl)
-    return out.select("root", "node", F.col("depth").cast("bigint").alias("depth"))
+        walked = walked.unionByName(lvl)
+    return walked.groupBy("root", "node").agg(F.min("depth").cast("bigint").alias("depth"))

@@ -23,7 +23,7 @@ DEFAULT_CONF = {
     # (b) broadcast_if_small() after a bounded row count, and (c) AQE, which
     # converts a shuffle join to a broadcast from *measured* shuffle sizes.
     "spark.sql.autoBroadcastJoinThreshold": "-1",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     # Later duplicate map keys overwrite earlier ones (settings maps).
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.session.timeZone": "UTC",
@@ -120,3 +120,18 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
         F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, fields)]) for row in rows
     ]
     return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def spread(df: DataFrame, factor: int = 4) -> DataFrame:
+    """Round-robin ``df`` over ``factor x defaultParallelism`` tasks when its
+    scan yields fewer partitions than that.
+
+    A small file written as one row group is decoded by a single task, and
+    all CPU-heavy per-document work after it (regex stripping, tokenizing)
+    would stay in that task.  At cluster scale the scan already has far more
+    splits than cores, so this is a no-op there and adds no shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.session import literal_table
+from tagweave.session import literal_table, spread
 
 from tagweave.functions.tokens import tokens
 from tagweave.operators.index import TagConfig
@@ -79,7 +79,9 @@ def raw_tags(spark: SparkSession, sf_dir: str, lang_names=("en", "fr", "de", "es
 
 
 def documents(spark: SparkSession, sf_dir: str, cols=("doc_id", "lang", "source", "text")) -> DataFrame:
-    return load(spark, sf_dir, "documents").select(*cols)
+    """Documents, spread over the cluster when the scan is narrow (text work is CPU-heavy)."""
+    d = load(spark, sf_dir, "documents").select(*cols)
+    return spread(d) if "text" in cols else d
 
 
 def c_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +107,7 @@ CODE_LANG = {"en": "c", "fr": "c++", "de": "java", "es": "python"}
 
 def code_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, lang, t)``: documents with comments and literals injected."""
-    d = load(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    d = spread(load(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     t = F.col("text")
     for old, new in CODE_INJECTIONS:
         t = F.replace(t, F.lit(old), F.lit(new))
@@ -118,7 +120,7 @@ def code_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- lines
 def doc_lines(spark: SparkSession, sf_dir: str, cols=("doc_id", "lang", "text")) -> DataFrame:
     """``(doc_id, lang, line_no, line)`` with 0-based line numbers."""
-    d = load(spark, sf_dir, "documents").select(*cols)
+    d = spread(load(spark, sf_dir, "documents").select(*cols))
     keep = [c for c in cols if c != "text"]
     return d.select(*keep, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
