@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.constants import MAX_HEADER_SEARCH_LEVEL
@@ -15,20 +15,31 @@ def resolve_includes(includes: DataFrame, manifest: DataFrame) -> DataFrame:
     ``includes``: ``(doc_id, own_dir, inc, search_dirs array<string>)``;
     ``manifest``: ``(dir, file)`` of existing files.  The including file's own
     directory wins; otherwise every search directory holding the file is
-    returned.  Search directories are a short per-document array (project root
-    and own directory), exploded into an equi-join -- never a cross join.
+    returned.
+
+    One equi-join: each include is exploded into its candidate directories
+    (own directory with priority 0, the other search directories with
+    priority 1 -- a short per-row array, never a cross join), joined with the
+    manifest on (dir, file), and only the best priority found per include is
+    kept.  The per-include window holds at most one row per search directory.
     """
-    m = manifest.select("dir", "file").distinct()
-    own = includes.join(
-        m, (includes.own_dir == m.dir) & (includes.inc == m.file), "inner"
-    ).select("doc_id", "own_dir", "inc", F.concat_ws("/", "dir", "file").alias("path"))
-    rest = includes.join(own.select("doc_id", "own_dir", "inc"), ["doc_id", "own_dir", "inc"], "left_anti")
-    searched = (
-        rest.select("doc_id", "inc", F.explode(F.array_distinct("search_dirs")).alias("dir"))
-        .join(m.withColumnRenamed("file", "inc"), ["dir", "inc"], "inner")
+    m = manifest.select("dir", F.col("file").alias("inc")).distinct()
+    others = F.array_distinct(F.filter("search_dirs", lambda d: d != F.col("own_dir")))
+    cands = F.concat(
+        F.array(F.struct(F.col("own_dir").alias("dir"), F.lit(0).alias("prio"))),
+        F.transform(others, lambda d: F.struct(d.alias("dir"), F.lit(1).alias("prio"))),
+    )
+    x = includes.select("doc_id", "own_dir", "inc", F.explode(cands).alias("c")).select(
+        "doc_id", "own_dir", "inc", F.col("c.dir").alias("dir"), F.col("c.prio").alias("prio")
+    )
+    hits = x.join(m, ["dir", "inc"], "inner")
+    best = F.min("prio").over(Window.partitionBy("doc_id", "own_dir", "inc"))
+    return (
+        hits.withColumn("_best", best)
+        .where(F.col("prio") == F.col("_best"))
         .select("doc_id", F.concat_ws("/", "dir", "inc").alias("path"))
+        .distinct()
     )
-    return own.select("doc_id", "path").unionByName(searched).distinct()
 
 
 def include_closure(
