@@ -35,20 +35,39 @@ def admit_buffers(
     return x.select(*docs.columns, F.col("ft_id").cast("bigint").alias("ft_id"), status.alias("status"))
 
 
+MAX_ROOT_LENGTHS = 4096
+
+
 def longest_prefix(df: DataFrame, path: str, roots: DataFrame, root: str = "root") -> DataFrame:
     """Add ``root``: the longest string in ``roots`` that is a prefix of
     ``path`` (blank roots ignored), else ``path`` itself.
 
-    Every prefix of the path is exploded (bounded by the path length) and
-    equi-joined with the roots, so the lookup is a hash join rather than a
-    nested-loop ``startswith`` join; the pick is an aggregate with a map-side
-    partial step.
+    A root can only match the prefix of the path with the root's length, so
+    each path is exploded into its prefixes at the distinct root lengths --
+    a set bounded by the longest root (at most ``MAX_ROOT_LENGTHS`` values are
+    taken to the driver; beyond that every prefix is used) -- and equi-joined
+    with the roots: a hash join instead of a nested-loop ``startswith`` join.
+    The pick is an aggregate with a map-side partial step.
     """
     r = roots.select(F.col(root).alias("_r")).where(F.length("_r") > 0).distinct()
+    lengths = [
+        row[0]
+        for row in r.select(F.length("_r").alias("n")).distinct().limit(MAX_ROOT_LENGTHS + 1).collect()
+    ]
     keys = df.columns
-    pre = df.select(*keys, F.explode_outer(all_prefixes(path)).alias("_pre"))
+    if len(lengths) <= MAX_ROOT_LENGTHS:
+        wanted = F.array(*[F.lit(n) for n in sorted(lengths)]) if lengths else F.array().cast("array<int>")
+        p = F.col(path)
+        prefixes = F.transform(
+            F.filter(wanted, lambda n: n <= F.length(p)), lambda n: F.substr(p, F.lit(1), n)
+        )
+    else:
+        prefixes = all_prefixes(path)
+    pre = df.select(*keys, F.explode_outer(prefixes).alias("_pre"))
     hit = pre.join(r, pre["_pre"] == r["_r"], "left")
-    best = hit.groupBy(*keys).agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.length("_r"))).alias("_best"))
+    best = hit.groupBy(*keys).agg(
+        F.max_by("_r", F.when(F.col("_r").isNotNull(), F.length("_r"))).alias("_best")
+    )
     return best.select(*keys, F.coalesce("_best", F.col(path)).alias(root))
 
 
