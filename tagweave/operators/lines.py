@@ -21,7 +21,7 @@ def split_lines(text: str = "text"):
 def line_dump(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(doc_id, line_no, entry)`` with ``entry = "N:<tab>line"`` (0-based)."""
     return docs.select("doc_id", F.posexplode(split_lines(text)).alias("line_no", "line")).select(
-        "doc_id", "line_no", numbered_line("line_no", "line").alias("entry")
+        "doc_id", F.col("line_no").cast("bigint").alias("line_no"), numbered_line("line_no", "line").alias("entry")
     )
 
 

@@ -122,7 +122,8 @@ def doc_lines(spark: SparkSession, sf_dir: str, cols=("doc_id", "lang", "text"))
     """``(doc_id, lang, line_no, line)`` with 0-based line numbers."""
     d = spread(load(spark, sf_dir, "documents").select(*cols))
     keep = [c for c in cols if c != "text"]
-    return d.select(*keep, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = d.select(*keep, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 # Directive injection for the #if 0 operator: a line is rewritten by its first
