@@ -74,13 +74,10 @@ def _fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def replay_edits(edits: DataFrame, partitions: int | None = None) -> DataFrame:
     """Final state per buffer: ``(buf, ctick, n_lines, text, initialized)``."""
-    spark = edits.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_edits = (
-        edits.select("buf", "ctick", "first", "last", "lines")
-        .repartition(n, "buf")
-        .sortWithinPartitions("buf", "ctick")
-    )
+    e = edits.select("buf", "ctick", "first", "last", "lines")
+    # Without an explicit count AQE sizes (coalesces) the buffer partitions.
+    e = e.repartition(partitions, "buf") if partitions else e.repartition("buf")
+    sorted_edits = e.sortWithinPartitions("buf", "ctick")
     return sorted_edits.mapInPandas(_fold_sorted, STATE_SCHEMA)
 
 
