@@ -98,16 +98,18 @@ BROADCAST_MAX_ROWS = 2_000_000
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
 
-    The frame is first materialised to the reliable checkpoint directory, then
-    counted with ``limit(max_rows + 1)`` (the check reads at most that many
-    rows).  Beyond the bound the frame is returned as is and the join
-    shuffles (AQE may still broadcast it from measured sizes).
+    The frame is cached and counted with ``limit(max_rows + 1)`` (the check
+    reads at most that many rows); within the bound the cached rows feed the
+    broadcast, beyond it the cache is dropped and the join shuffles (AQE may
+    still broadcast from measured sizes).  The frame's lineage is short (a
+    parse of the index), so a lost cached block is simply recomputed.
     """
-    materialised = cut_lineage(df)
-    n = materialised.limit(max_rows + 1).count()
+    cached = df.cache()
+    n = cached.limit(max_rows + 1).count()
     if n <= max_rows:
-        return F.broadcast(materialised)
-    return materialised
+        return F.broadcast(cached)
+    cached.unpersist()
+    return df
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
