@@ -63,3 +63,9 @@ def lang_family(lang: Column | str) -> Column:
 def numbered_line(line_no: Column | str, line: Column | str) -> Column:
     """``N:<tab>line`` as in the debug line dump (0-based)."""
     return F.concat(_col(line_no).cast("string"), F.lit(":\t"), _col(line))
+
+
+def join_lines(lines: Column | str) -> Column:
+    """Line form of a buffer: every line followed by a newline."""
+    arr = _col(lines)
+    return F.when(F.size(arr) > 0, F.concat(F.array_join(arr, "\n"), F.lit("\n"))).otherwise(F.lit(""))

@@ -146,3 +146,8 @@ def new_projects(units: DataFrame, existing: DataFrame, ft: str = "ft") -> DataF
     """Project units not known yet (find-or-create: the anti-join finds the
     ones to create); ``existing`` has ``(ft, unit)``."""
     return units.select(ft, "unit").distinct().join(existing.select(ft, "unit"), [ft, "unit"], "left_anti")
+
+
+def find_buffers(buffers: DataFrame, ids: DataFrame) -> DataFrame:
+    """Buffers whose ``doc_id`` is in ``ids`` (a semi-join; unknown ids give nothing)."""
+    return buffers.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
