@@ -66,7 +66,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     file system).  Only a local-mode session (tests, benchmarks) gets a fresh
     private directory under the system temp folder.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server resolves spark.checkpoint.dir itself
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -133,7 +136,9 @@ def spread(df: DataFrame, factor: int = 4) -> DataFrame:
     would stay in that task.  At cluster scale the scan already has far more
     splits than cores, so this is a no-op there and adds no shuffle.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism * factor
+        narrow = df.rdd.getNumPartitions() < target
+    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave as is
+        return df
+    return df.repartition(target) if narrow else df
