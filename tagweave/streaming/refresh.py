@@ -1,15 +1,18 @@
 """Refresh-on-write as a ``foreachBatch`` step.
 
-A micro-batch of saved documents ``(doc_id, lang, source, text, tick)`` is
-gated against the stored ticks (only documents whose tick moved, or forced
-ones, are recomputed), matched against the symbol index and published: the
-recomputed documents' matches replace their previous ones, keyed by batch id
-so a replayed batch overwrites its own output.
+A micro-batch of saved documents ``(doc_id, lang, source, text, tick[, force])``
+is gated against the last processed tick of each document (only documents
+whose tick moved, new ones, or forced ones are recomputed), matched against the
+symbol index and published.  Ticks and matches are written under
+``batch_id=<id>`` with overwrite, so a replayed batch rewrites its own output
+(idempotent).  The tick table is the gate's state; the current matches of a
+document are those of the latest batch that processed it (possibly none).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.operators.match import match_tags
@@ -24,17 +27,58 @@ def gate_by_stored_tick(batch: DataFrame, stored_ticks: DataFrame) -> DataFrame:
     return x.where(keep).drop("_stored")
 
 
-def refresh_step(norm_tags: DataFrame, stored_ticks: DataFrame, out_path: str):
-    """Build the ``foreachBatch`` function."""
+def _ticks(spark: SparkSession, ticks_path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(ticks_path)
+    except AnalysisException:  # nothing processed yet
+        return None
+
+
+def last_ticks(spark: SparkSession, ticks_path: str, before_batch: int | None = None) -> DataFrame:
+    """``(doc_id, tick, batch_id)`` of the latest batch that processed each doc."""
+    t = _ticks(spark, ticks_path)
+    if t is None:
+        return spark.range(0).select(
+            F.lit(None).cast("long").alias("doc_id"),
+            F.lit(None).cast("long").alias("tick"),
+            F.lit(None).cast("int").alias("batch_id"),
+        )
+    if before_batch is not None:
+        t = t.where(F.col("batch_id") < before_batch)
+    return t.groupBy("doc_id").agg(
+        F.max_by("tick", "batch_id").alias("tick"), F.max("batch_id").alias("batch_id")
+    )
+
+
+def current_matches(spark: SparkSession, ticks_path: str, out_path: str) -> DataFrame:
+    """``(doc_id, name, kind)`` from the latest batch that processed each doc."""
+    latest = last_ticks(spark, ticks_path).select("doc_id", "batch_id")
+    m = spark.read.parquet(out_path)
+    return m.join(latest, ["doc_id", "batch_id"], "left_semi").select("doc_id", "name", "kind")
+
+
+def refresh_step(norm_tags: DataFrame, ticks_path: str, out_path: str):
+    """Build the ``foreachBatch`` function.
+
+    The gate reads only ticks of earlier batches, so re-running a batch makes
+    the same decision and rewrites the same files.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        moved = gate_by_stored_tick(batch, stored_ticks)
-        matches = match_tags(moved.select("doc_id", "lang", "source", "text"), norm_tags)
+        spark = batch.sparkSession
+        stored = last_ticks(spark, ticks_path, before_batch=batch_id)
+        moved = gate_by_stored_tick(batch, stored)
         (
-            matches.join(moved.select("doc_id", "tick"), "doc_id")
-            .withColumn("batch_id", F.lit(batch_id))
+            match_tags(moved.select("doc_id", "lang", "source", "text"), norm_tags)
             .write.mode("overwrite")
             .parquet(f"{out_path}/batch_id={batch_id}")
         )
+        (
+            moved.select("doc_id", "tick")
+            .write.mode("overwrite")
+            .parquet(f"{ticks_path}/batch_id={batch_id}")
+        )
+        spark.catalog.refreshByPath(ticks_path)
+        spark.catalog.refreshByPath(out_path)
 
     return step
