@@ -19,6 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.workers import ship_by_value
+
+ship_by_value(__name__)
+
 STATE_SCHEMA = "buf long, ctick long, n_lines long, text string, initialized boolean"
 
 

@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from tagweave.workers import ship_by_value
+
+ship_by_value(__name__)
+
 INDEX_SCHEMA = "path string, line_no long, line string"
 _LINE_BATCH = 65536
 

@@ -26,6 +26,9 @@ from pyspark.sql.types import (
 )
 
 from tagweave.operators.edits import apply_edit
+from tagweave.workers import ship_by_value
+
+ship_by_value(__name__)
 
 EDIT_STREAM_SCHEMA = StructType(
     [
