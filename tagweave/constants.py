@@ -36,13 +36,29 @@ LANGUAGE_FIELD = "language:"
 DEFAULT_PREFIX = "\\C\\<"
 DEFAULT_SUFFIX = "\\>"
 PATTERN_SEPARATOR = "\\|"
-GROUP_ID_FORMAT = "_tag_highlight_%s_%s_%s"  # editor name, kind, group
+MATCH_COMMAND = (
+    "silent! syntax clear {gid} | syntax match {gid} /{prefix}\\%({pat}\\){suffix}/ display"
+    " | hi def link {gid} {group}"
+)
+KEYWORD_COMMAND = (
+    "silent! syntax clear {gid} |  syntax keyword {gid} {words} display | hi def link {gid} {group}"
+)
+RESTORE_COMMAND = "syntax clear {group} | syntax keyword {group} {words}  | hi! link {group} {link}"
+
+# Syntax group ids are "<GROUP_PREFIX>_<editor name>_<kind>_<group>"; the
+# prefix only namespaces this package's groups in the editor.
+GROUP_PREFIX = "_tw"
+
+# --- fixed values: preprocessor directives (text after "#" and blanks) ---
+IF_DIRECTIVE = "if"
+ENDIF_DIRECTIVE = "endif"
+IF0_DIRECTIVE = "if 0"
+INCLUDE_DIRECTIVE = "include"
 
 # --- fixed values: include search ---
 MAX_HEADER_SEARCH_LEVEL = 8
 
 # --- fixed values: index store naming ---
-CACHE_DIR_NAME = ".vim_tags_go"
 CACHE_SUFFIXES = {"none": ".tags", "gzip": ".tags.gz", "xz": ".tags.xz"}
 
 # --- fixed values: editor event names and their kinds ---

@@ -8,6 +8,8 @@ thread stack on literals of a few hundred kB).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,18 @@ STRIP_REGEX = "|".join([BLOCK_COMMENT, LINE_COMMENT, DQ_STRING, SQ_STRING])
 COLLAPSE_REGEX = r"([^ \t\n])([ \t])[ \t]+"
 
 
+def fill(template: str, **parts: Column) -> Column:
+    """A ``str.format``-style template with column placeholders, as one native
+    ``concat`` (literal pieces stay literals)."""
+    pieces = []
+    for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
+        if i % 2:
+            pieces.append(parts[piece])
+        elif piece:
+            pieces.append(F.lit(piece))
+    return F.concat(*pieces)
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

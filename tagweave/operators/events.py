@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.constants import EVENT_NAMES, FORCE_CODE, UPDATE_CODES
+from tagweave.constants import EVENT_NAMES, FORCE_CODE, RESTORE_COMMAND, UPDATE_CODES
+from tagweave.functions.text import fill
 from tagweave.operators.ordered import ordered_lag, time_bucket
 
 BUCKET_SECONDS = 60
@@ -101,8 +102,5 @@ def keyword_rollup(df: DataFrame, group: str, keyword: str, link: str = "Identif
         .agg(F.array_join(F.sort_array(F.collect_list(keyword), asc=False), " ").alias("keywords"))
     )
     g = F.concat(F.lit("grp_"), F.col(group).cast("string"))
-    cmd = F.concat(
-        F.lit("syntax clear "), g, F.lit(" | syntax keyword "), g, F.lit(" "), F.col("keywords"),
-        F.lit("  | hi! link "), g, F.lit(" " + link),
-    )
+    cmd = fill(RESTORE_COMMAND, group=g, words=F.col("keywords"), link=F.lit(link))
     return kw.select(group, "keywords", cmd.alias("cmd"))

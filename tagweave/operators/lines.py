@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.constants import INCLUDE_DIRECTIVE
 from tagweave.functions.text import numbered_line
 
-INCLUDE_REGEX = r'^#[ \t]*include[ \t]*(?:"([^"]*)"|<([^>]*)>)'
+INCLUDE_REGEX = r'^#[ \t]*' + INCLUDE_DIRECTIVE + r'[ \t]*(?:"([^"]*)"|<([^>]*)>)'
 
 
 def split_lines(text: str = "text"):

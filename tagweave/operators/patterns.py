@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.constants import DEFAULT_PREFIX, DEFAULT_SUFFIX, PATTERN_SEPARATOR
+from tagweave.constants import (
+    DEFAULT_PREFIX,
+    DEFAULT_SUFFIX,
+    GROUP_PREFIX,
+    KEYWORD_COMMAND,
+    MATCH_COMMAND,
+    PATTERN_SEPARATOR,
+)
+from tagweave.functions.text import fill
 
 # Names in pattern order: byte length first, then bytes (UTF8_BINARY).
 _ORDERED_NAMES = (
@@ -41,17 +49,20 @@ def highlight_commands(patterns: DataFrame, groups: DataFrame, kinds: DataFrame,
     default prefix/suffix filling the missing one.  ``kinds`` gives the display
     position ``pos`` of each kind.  Both are small broadcast dimensions.
     """
-    gid = F.concat_ws("_", F.lit("_tag_highlight"), F.col(editor_name), F.col("kind"), F.col("grp"))
-    match_cmd = F.concat(
-        F.lit("silent! syntax clear "), gid, F.lit(" | syntax match "), gid, F.lit(" /"),
-        F.coalesce("prefix", F.lit(DEFAULT_PREFIX)), F.lit("\\%("), F.col("pat"), F.lit("\\)"),
-        F.coalesce("suffix", F.lit(DEFAULT_SUFFIX)), F.lit("/ display | hi def link "), gid,
-        F.lit(" "), F.col("grp"),
+    gid = F.concat_ws("_", F.lit(GROUP_PREFIX), F.col(editor_name), F.col("kind"), F.col("grp"))
+    match_cmd = fill(
+        MATCH_COMMAND,
+        gid=gid,
+        prefix=F.coalesce("prefix", F.lit(DEFAULT_PREFIX)),
+        pat=F.col("pat"),
+        suffix=F.coalesce("suffix", F.lit(DEFAULT_SUFFIX)),
+        group=F.col("grp"),
     )
-    keyword_cmd = F.concat(
-        F.lit("silent! syntax clear "), gid, F.lit(" |  syntax keyword "), gid, F.lit(" "),
-        F.replace(F.col("pat"), F.lit(PATTERN_SEPARATOR), F.lit(" ")),
-        F.lit(" display | hi def link "), gid, F.lit(" "), F.col("grp"),
+    keyword_cmd = fill(
+        KEYWORD_COMMAND,
+        gid=gid,
+        words=F.replace(F.col("pat"), F.lit(PATTERN_SEPARATOR), F.lit(" ")),
+        group=F.col("grp"),
     )
     both_null = F.col("prefix").isNull() & F.col("suffix").isNull()
     return (

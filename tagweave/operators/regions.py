@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagweave.constants import C_FAMILY
+from tagweave.constants import C_FAMILY, ENDIF_DIRECTIVE, IF0_DIRECTIVE, IF_DIRECTIVE
 
 _HASH = r"^[ \t]*#"
 _REST = r"^[ \t]*#[ \t]*"
@@ -31,9 +31,9 @@ def mark_if0(lines: DataFrame, lang: str = "lang") -> DataFrame:
     is_hash = F.col("line").rlike(_HASH)
     rest = F.regexp_replace(F.col("line"), _REST, "")
     is_c = F.col(lang).isin(*C_FAMILY)
-    op_if = is_hash & F.startswith(rest, F.lit("if"))
-    op_endif = is_hash & F.startswith(rest, F.lit("endif"))
-    is_if0 = is_c & is_hash & F.startswith(rest, F.lit("if 0"))
+    op_if = is_hash & F.startswith(rest, F.lit(IF_DIRECTIVE))
+    op_endif = is_hash & F.startswith(rest, F.lit(ENDIF_DIRECTIVE))
+    is_if0 = is_c & is_hash & F.startswith(rest, F.lit(IF0_DIRECTIVE))
 
     by_doc = Window.partitionBy("doc_id").orderBy("line_no")
     running = by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)

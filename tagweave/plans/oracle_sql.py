@@ -124,7 +124,7 @@ pats AS (
 ),
 cmds AS (
   SELECT p.*, g.grp, g.prefix, g.suffix, o.pos,
-         '_tag_highlight_' || p.lang || '_' || p.kind || '_' || g.grp AS gid
+         '_tw_' || p.lang || '_' || p.kind || '_' || g.grp AS gid
   FROM pats p JOIN kind_groups g USING (kind) JOIN kind_order o USING (kind)
 )
 SELECT doc_id, kind, CAST(pos AS BIGINT) AS pos, pat, n,
