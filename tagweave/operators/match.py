@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.text import strip_source
 from tagweave.session import broadcast_if_small
-from tagweave.functions.tokens import distinct_tokens, tokens
+from tagweave.functions.tokens import distinct_tokens, tokens, tokens_by_lang
 
 
 def document_tokens(docs: DataFrame, text: str = "text", lang: str = "lang", strip: bool = True) -> DataFrame:
-    """``(doc_id, lang, name)``: the token set of every document.
+    """``(doc_id, lang, name)``: the token set of every document (vim buffers
+    use the vim tokenizer, all others the C one).
 
     A document is one row, so de-duplicating inside the row's array needs no
     shuffle; the explode runs in the scan stage.
     """
     body = strip_source(text, lang) if strip else F.col(text)
-    return docs.select("doc_id", F.col(lang).alias("lang"), F.explode(distinct_tokens(body)).alias("name"))
+    toks = F.array_distinct(tokens_by_lang(body, lang))
+    return docs.select("doc_id", F.col(lang).alias("lang"), F.explode(toks).alias("name"))
 
 
 def match_tags(

@@ -65,8 +65,10 @@ def highlight_commands(patterns: DataFrame, groups: DataFrame, kinds: DataFrame,
         group=F.col("grp"),
     )
     both_null = F.col("prefix").isNull() & F.col("suffix").isNull()
+    # A kind without a configured group still gets its command (empty group).
     return (
-        patterns.join(groups, ["lang", "kind"], "inner")
+        patterns.join(groups, ["lang", "kind"], "left")
+        .withColumn("grp", F.coalesce("grp", F.lit("")))
         .join(kinds, ["lang", "kind"], "inner")
         .select(
             "doc_id", "kind", "pos", "pat", "n",

@@ -61,3 +61,11 @@ def test_match_unchanged_by_partitioning(spark):
     a = q(spark, "/root/testdata/sf0.001")
     b = a.repartition(7, "kind")
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_vim_buffers_use_vim_tokens(spark):
+    cfg = TagConfig.uniform(["vim"], order="f")
+    raw = lines(spark, [f"s:helper{T}other.vim{T}p{T}f{T}language:Vim", f"helper{T}x.vim{T}p{T}f{T}language:Vim"])
+    docs = spark.createDataFrame([(1, "vim", "a.vim", "call s:helper()")], "doc_id long, lang string, source string, text string")
+    got = {tuple(r) for r in match_tags(docs, normalize_tags(parse_tags(raw), cfg)).collect()}
+    assert got == {(1, "s:helper", "f"), (1, "helper", "f")}
