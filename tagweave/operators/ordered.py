@@ -43,8 +43,14 @@ def ordered_lag(
     x = x.withColumn("_prev_in", F.lag(packed).over(in_bucket)).withColumn(
         "_first", F.row_number().over(in_bucket) == 1
     )
-    # Last row of every (key, bucket), then the previous non-empty bucket's last row.
-    last = x.groupBy(*keys, b).agg(F.max_by(packed, order_key).alias("_last"))
+    # Last row of every (key, bucket), then the previous non-empty bucket's last
+    # row.  The summary is aggregated from the window's output and references
+    # the same input columns, so it reuses the window's exchange (one scan and
+    # one shuffle of the data) and needs no exchange of its own.
+    every = F.struct(*[F.col(c) for c in x.columns if not c.startswith("_prev")])
+    last = x.groupBy(*keys, b).agg(
+        F.max_by(F.struct(packed.alias("v"), every.alias("_all")), order_key)["v"].alias("_last")
+    )
     by_key = Window.partitionBy(*keys).orderBy(b)
     carry = last.select(*keys, b, F.lag("_last").over(by_key).alias("_prev_bucket"))
 
