@@ -150,7 +150,7 @@ def exact_dedup(
     groups = rows.groupBy("n_bytes", "name").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"),
         F.count(F.lit(1)).alias("group_size"),
-    )
+    ).checkpoint()  # with a plain scan on this side, a hot group's rows can be split
     out = rows.join(groups, ["n_bytes", "name"]).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),

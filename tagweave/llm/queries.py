@@ -10,6 +10,11 @@ from tagweave.llm.common import table, tokenizer_path
 from tagweave.llm.exact_dedup import exact_dedup
 from tagweave.llm.packing import pack_documents
 from tagweave.llm.sharding import shard_documents
+from tagweave.llm.toxicity import toxicity
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +30,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_packing": op6_packing,
     "op9_sharding": op9_sharding,

@@ -7,10 +7,11 @@ each coordinate its own learning rate and an L1 term that leaves most weights
 at exactly zero, so the fitted model is a short list of weights.
 
 Fitting reads at most ``MAX_TRAIN`` labelled rows (those whose hashed ids are
-smallest).  They are dealt over ``SHARDS`` tasks; each runs the updates over
-its own rows, and the weights are averaged.  Every fifth training row is left
-out of that and fits the two parameters of a logistic calibration of the
-margins.  The model (at most ``2**BITS`` weights) is broadcast and every text
+smallest), whose features are extracted where the texts are.  The updates
+are sequential, so they run over that bounded sample in one task.  Every
+fifth training row is left out of them and fits the two parameters of a
+logistic calibration of the margins.  The L1 term grows with the root of the
+number of positive examples, as the noise of a coordinate's gradient does.  The model (at most ``2**BITS`` weights) is broadcast and every text
 is scored whole in a pass without a shuffle.
 
 Defined cases: null and empty texts have no features and get the calibrated
@@ -39,11 +40,12 @@ from tagweave.llm.common import WordHash, mix, prepare, word_arrays, windows
 from tagweave.workers import ship_by_value
 
 BITS = 20
-MAX_TRAIN = 40_000
-SHARDS = 8
+MAX_TRAIN = 20_000
 EPOCHS = 3
 THRESHOLD = 0.7
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 3.0, 1.0
+ALPHA, BETA, L2 = 3.0, 1.0, 0.0
+#: L1 strength per root of the number of positive examples.
+L1_RATE = 0.14
 _PUNCTUATION = string.punctuation.encode()
 _SKIP = np.uint64(0x51C64E6D)
 
@@ -90,10 +92,11 @@ def ftrl(examples: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, seed: int
     """Weights and intercept after ``epochs`` passes over ``(coordinates, label)``."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias_z = bias_n = 0.0
+    l1 = L1_RATE * np.sqrt(sum(label for _, label in examples))
 
     def weight(zi, ni):
         return np.where(
-            np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2)
+            np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((BETA + np.sqrt(ni)) / ALPHA + L2)
         )
 
     order = np.random.default_rng(seed)
@@ -133,14 +136,14 @@ def _extract(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cuts = np.searchsorted(owner, np.arange(1, len(part)))
             yield pd.DataFrame(
                 {
-                    "shard": part["shard"],
+                    "fitted": part["fitted"],
                     "label": part["label"],
                     "features": [x.astype(np.int32).tobytes() for x in np.split(coordinates, cuts)],
                 }
             )
 
 
-def _train_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+def _train(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = [
         (np.frombuffer(f, np.int32).astype(np.int64), int(y)) for f, y in zip(pdf["features"], pdf["label"])
     ]
@@ -174,20 +177,15 @@ def fit(
         docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
         .join(F.broadcast(sample), "doc_id")
         .select(
-            F.pmod(order, F.lit(SHARDS)).cast("int").alias("shard"),
-            "label",
-            "text",
+            (F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(5)) != 0).alias("fitted"), "label", "text"
         )
-        .withColumn("shard", F.when(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(5)) == 0, -1).otherwise(F.col("shard")))
-        .mapInPandas(_extract, "shard int, label int, features binary")
+        .mapInPandas(_extract, "fitted boolean, label int, features binary")
         .checkpoint()
     )
     trained = (
-        rows.filter("shard >= 0")
-        .groupBy("shard")
-        .applyInPandas(_train_shard, "coordinate long, weight double")
-        .groupBy("coordinate")
-        .agg((F.sum("weight") / SHARDS).alias("weight"))
+        rows.filter("fitted")
+        .groupBy("fitted")
+        .applyInPandas(_train, "coordinate long, weight double")
         .toPandas()
     )
     bias = float(trained.loc[trained["coordinate"] < 0, "weight"].sum())
@@ -201,7 +199,7 @@ def fit(
             sums = [float(dense[np.frombuffer(f, np.int32)].sum()) for f in pdf["features"]]
             yield pd.DataFrame({"margin": sums, "label": pdf["label"]})
 
-    held = rows.filter("shard < 0").mapInPandas(margins, "margin double, label int").toPandas()
+    held = rows.filter("not fitted").mapInPandas(margins, "margin double, label int").toPandas()
     if held["label"].nunique() == 2:
         model.slope, model.shift = calibrate(held["margin"].to_numpy(), held["label"].to_numpy())
     return model
