@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tagweave.llm.common import table, tokenizer_path
 from tagweave.llm.exact_dedup import exact_dedup
+from tagweave.llm.html_extract import extract_pages
 from tagweave.llm.packing import pack_documents
 from tagweave.llm.sharding import shard_documents
 from tagweave.llm.toxicity import toxicity
@@ -29,11 +30,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_packing": op6_packing,
     "op9_sharding": op9_sharding,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES: dict[str, str] = {
