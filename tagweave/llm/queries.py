@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tagweave.llm.common import table, tokenizer_path
+from tagweave.llm.decontaminate import contained_items
 from tagweave.llm.exact_dedup import exact_dedup
 from tagweave.llm.html_extract import extract_pages
 from tagweave.llm.packing import pack_documents
@@ -14,6 +15,10 @@ from tagweave.llm.sharding import shard_documents
 from tagweave.llm.toxicity import toxicity
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +40,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_packing": op6_packing,
@@ -43,6 +49,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_decontamination": r"""
+WITH dw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[!-/:-@\[-`{-~]', '', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), iw AS (
+  SELECT DISTINCT item_id, list_filter(regexp_split_to_array(regexp_replace(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[!-/:-@\[-`{-~]', '', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM benchmark
+), ish AS (
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2),
+    lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' '))) AS s
+  FROM iw WHERE len(w) > 0
+), q AS (SELECT item_id, count(*) AS n FROM ish GROUP BY item_id),
+widths AS (SELECT DISTINCT least(5, len(w)) AS k FROM iw WHERE len(w) > 0),
+dsh AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM dw, widths WHERE len(w) >= k
+)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(n) AS n_item,
+       count(*) / any_value(n)::DOUBLE AS containment
+FROM dsh JOIN ish USING (s) JOIN q USING (item_id)
+GROUP BY doc_id, item_id
+HAVING 5 * count(*) >= 4 * any_value(n)
+""",
     "op4_exact_dedup": r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents
