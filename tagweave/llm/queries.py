@@ -10,6 +10,7 @@ from tagweave.llm.common import table, tokenizer_path
 from tagweave.llm.decontaminate import contained_items
 from tagweave.llm.exact_dedup import exact_dedup
 from tagweave.llm.html_extract import extract_pages
+from tagweave.llm.jaccard_join import jaccard_join
 from tagweave.llm.packing import pack_documents
 from tagweave.llm.sharding import shard_documents
 from tagweave.llm.toxicity import toxicity
@@ -27,6 +28,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
     "op9_sharding": op9_sharding,
     "op10_html_extraction": op10_html_extraction,
@@ -81,5 +87,30 @@ WITH n AS (
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = min(doc_id) OVER g AS kept, h AS text_sha256
 FROM n WINDOW g AS (PARTITION BY h)
+""",
+    "op5_jaccard_join": r"""
+WITH RECURSIVE dw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2),
+    lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' '))) AS s
+  FROM dw WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+link AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n
+  HAVING 5 * count(*) >= 4 * (p.n + q.n - count(*))
+), reach(x, y) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y
+), class AS (SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY x),
+degree AS (SELECT x AS doc_id, count(*) AS n_links FROM link GROUP BY x)
+SELECT c.doc_id, c.class_id, coalesce(d.n_links, 0) AS n_links
+FROM class c LEFT JOIN degree d USING (doc_id)
 """,
 }
