@@ -11,6 +11,7 @@ from tagweave.llm.decontaminate import contained_items
 from tagweave.llm.exact_dedup import exact_dedup
 from tagweave.llm.html_extract import extract_pages
 from tagweave.llm.jaccard_join import jaccard_join
+from tagweave.llm.lm_score import lm_scores
 from tagweave.llm.packing import pack_documents
 from tagweave.llm.sharding import shard_documents
 from tagweave.llm.toxicity import toxicity
@@ -20,6 +21,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +51,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_jaccard_join": op5_jaccard_join,
