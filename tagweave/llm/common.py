@@ -212,6 +212,52 @@ def cut(keys: np.ndarray, slices: int) -> np.ndarray:
     return np.searchsorted(slice_of(keys, slices), np.arange(slices + 1, dtype=np.uint64))
 
 
+ENTRY_SCHEMA = "slice int, hashes binary, owner binary, extra binary, keys binary, ranks binary"
+ENTRY_COLUMNS = ["slice", "hashes", "owner", "extra", "keys", "ranks"]
+
+
+def entries(hashes, owner, extra, keys, ranks, slices: int) -> pd.DataFrame:
+    """One row per slice: sorted hashes, their documents (as places in ``keys``) and a number each."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner, extra = hashes[order], owner[order], extra[order]
+    borders = np.searchsorted(slice_of(hashes, slices), np.arange(slices + 1, dtype=np.uint64))
+    rows = []
+    for s in np.flatnonzero(np.diff(borders)):
+        part = slice(borders[s], borders[s + 1])
+        used, place = np.unique(owner[part], return_inverse=True)
+        rows.append(
+            (
+                int(s),
+                pack_sorted(hashes[part]),
+                planes(place.astype(np.uint32)),
+                planes(extra[part].astype(np.uint32)),
+                planes(keys[used]),
+                planes(ranks[used]),
+            )
+        )
+    return pd.DataFrame(rows, columns=ENTRY_COLUMNS)
+
+
+def gathered(pdf: pd.DataFrame):
+    """Entries of a slice in hash order: hash, key, rank, number, and the group borders."""
+    hashes, keys, ranks, extra = [], [], [], []
+    for h, o, e, k, r in zip(pdf["hashes"], pdf["owner"], pdf["extra"], pdf["keys"], pdf["ranks"]):
+        place = unplanes(o, np.uint32)
+        hashes.append(unpack_sorted(h))
+        keys.append(unplanes(k, np.int64)[place])
+        ranks.append(unplanes(r, np.int64)[place])
+        extra.append(unplanes(e, np.uint32))
+    h = np.concatenate(hashes)
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    return (
+        h, np.concatenate(keys)[order], np.concatenate(ranks)[order], np.concatenate(extra)[order],
+        np.flatnonzero(new), np.cumsum(new) - 1,
+    )
+
+
 def total_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.select(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tagweave.llm.common import table, tokenizer_path
 from tagweave.llm.decontaminate import contained_items
@@ -14,6 +15,7 @@ from tagweave.llm.jaccard_join import jaccard_join
 from tagweave.llm.lm_score import lm_scores
 from tagweave.llm.packing import pack_documents
 from tagweave.llm.sharding import shard_documents
+from tagweave.llm.substring_dedup import drop_repeated_passages
 from tagweave.llm.toxicity import toxicity
 
 
@@ -41,6 +43,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def _span_sum(spans: str) -> Column:
+    """Items in an array of ``(start, end)`` ranges."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_passages(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id",
+        "n_words",
+        _span_sum("removed").alias("n_removed"),
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"),
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -56,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_html_extraction": op10_html_extraction,
 }
