@@ -7,6 +7,7 @@ binary value per slice instead of one row per key.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ CONF = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # An Arrow batch of documents is bounded in bytes, not only in rows.
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
 #: Bytes of text that a Python worker turns into arrays at a time.
@@ -52,6 +53,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the checkpoint folder and read back: for tables that
+    are used twice, where column pruning and compression save what a checkpoint would not."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 #: Name of the key column that :func:`with_key` adds.
 KEY = "__row_key"
 
@@ -95,7 +104,7 @@ def chunked(
 class WordHash(dict):
     """``word bytes -> xxh64``, remembered; forgets everything at ``limit`` words."""
 
-    def __init__(self, limit: int = 2_000_000):
+    def __init__(self, limit: int = 500_000):
         super().__init__()
         self.limit = limit
 

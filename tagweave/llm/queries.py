@@ -16,6 +16,7 @@ from tagweave.llm.lm_score import lm_scores
 from tagweave.llm.packing import pack_documents
 from tagweave.llm.sharding import shard_documents
 from tagweave.llm.substring_dedup import drop_repeated_passages
+from tagweave.llm.suffix_dedup import drop_repeated_strings
 from tagweave.llm.toxicity import toxicity
 
 
@@ -58,6 +59,17 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_strings(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id",
+        "n_bytes",
+        _span_sum("removed").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -74,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sharding": op9_sharding,
     "op10_html_extraction": op10_html_extraction,
 }
