@@ -58,7 +58,7 @@ def stage(df: DataFrame) -> DataFrame:
     are used twice, where column pruning and compression save what a checkpoint would not."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Name of the key column that :func:`with_key` adds.
