@@ -32,36 +32,31 @@ def path_join(*parts: Column | str) -> Column:
     return clean_path(F.concat_ws("/", *[_col(p) for p in parts]))
 
 
-# A path segment other than "." and "..".
-_SEGMENT = r"(?:[^/.][^/]*|\.[^/.][^/]*|\.\.[^/]+)"
+def clean_path(path: Column | str) -> Column:
+    """Lexical clean-up: empty and ``.`` segments go, ``..`` takes back the segment
+    before it (at the root it is dropped, in a relative path it stays).
 
+    One fold over the segments with a stack, so any nesting is resolved.
+    """
+    p = _col(path)
+    rooted = p.startswith("/")
 
-def clean_path(path: Column | str, passes: int = 4) -> Column:
-    """Lexical clean-up: collapse ``//``, drop ``./`` and resolve ``x/../``.
+    def push(stack: Column, part: Column) -> Column:
+        top = F.try_element_at(stack, F.lit(-1))
+        pops = (F.size(stack) > 0) & (top != "..")
+        return (
+            F.when(part.isin("", "."), stack)
+            .when((part == "..") & pops, F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0))))
+            .when((part == "..") & rooted, stack)
+            .otherwise(F.concat(stack, F.array(part)))
+        )
 
-    ``passes`` bounds how deeply nested ``..`` sequences are resolved; each pass
-    is one native ``regexp_replace`` so the expression stays in codegen.
-    """
-    p = F.regexp_replace(_col(path), "/+", "/")
-    p = F.regexp_replace(p, r"(^|/)(\./)+", "$1")
-    p = F.regexp_replace(p, r"/\.$", "")
-    for _ in range(passes):
-        p = F.regexp_replace(p, r"(^|/)" + _SEGMENT + r"/\.\.(/|$)", "$1")
-    p = F.regexp_replace(p, r"(.)/$", "$1")
-    return F.when(p == "", F.lit(".")).otherwise(p)
+    parts = F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), push)
+    joined = F.array_join(parts, "/")
+    return F.when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", F.lit(".")).otherwise(joined)
 
 
 def cache_key(root: Column | str, editor_name: Column | str, comp: str = "gzip") -> Column:
     """Index store name for a project unit: ``/``, ``:`` and ``\\`` become ``__``."""
     mangled = F.regexp_replace(_col(root), r"[/:\\]", "__")
     return F.concat(mangled, F.lit("."), _col(editor_name), F.lit(CACHE_SUFFIXES[comp]))
-
-
-def all_prefixes(s: Column | str) -> Column:
-    """Every non-empty prefix of ``s`` (array), longest last.  Bounded by the
-    string length, so exploding it keeps path lookups as equi-joins."""
-    c = _col(s)
-    n = F.length(c)
-    return F.when(
-        n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(c, F.lit(1), i))
-    ).otherwise(F.array().cast("array<string>"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.constants import EVENT_NAMES, FORCE_CODE, RESTORE_COMMAND, UPDATE_CODES
 from tagweave.functions.text import fill
 from tagweave.operators.ordered import ordered_lag, time_bucket
 
-BUCKET_SECONDS = 60
+#: An hour: five sessions over a month have 3,600 buckets, whatever the rows.
+BUCKET_SECONDS = 3600
 
 
 def tick_gate(
@@ -19,14 +20,14 @@ def tick_gate(
     force: str = "force",
     ts: str = "ts",
     seq: str = "seq",
-    bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
     """Keep events whose tick differs from the last processed one (initially
     0) or that are forced.  The last processed tick always equals the
-    previous event's tick, so this is an ordered lag per buffer."""
-    x = ordered_lag(events, [buf], [ts, seq], [tick], time_bucket(ts, bucket_seconds))
-    prev = F.coalesce(F.col("prev_" + tick), F.lit(0))
-    return x.where(F.col(force) | (F.col(tick) != prev)).drop("prev_" + tick, "has_prev")
+    previous event's tick, so this is a plain lag per buffer: one exchange,
+    and a buffer holds one person's edits, a small part of the events."""
+    prev = F.coalesce(F.lag(tick).over(Window.partitionBy(buf).orderBy(ts, seq)), F.lit(0))
+    x = events.withColumn("_prev_tick", prev)
+    return x.where(F.col(force) | (F.col(tick) != F.col("_prev_tick"))).drop("_prev_tick")
 
 
 def active_switch(

@@ -52,31 +52,25 @@ def include_closure(
     1..``max_depth`` (direct includes are depth 1; nodes up to depth 8 are
     expanded, so results reach depth 9).
 
-    Level k holds the distinct (root, node) pairs reachable by exactly k
-    steps: one join of the previous level with the edges and one distinct.
-    The shortest depth is a single ``min`` aggregate at the end, so no level
-    has to be anti-joined with all earlier ones.  The loop runs ``max_depth``
-    times (a constant, not data-sized); every level is written to the reliable
+    Level k holds the (root, node) pairs first reached by k steps: one join of
+    the previous level with the edges, one distinct, and an anti-join with the
+    pairs reached before, so no pair is walked twice and the shortest depth is
+    the level itself.  The loop ends with an empty level, after ``max_depth``
+    levels (a constant) at most.  Every level is written to the reliable
     checkpoint directory, so the plan stays flat and a lost executor costs one
     level, not the whole walk.
     """
     e = edges.select("src", "dst").distinct()
-    if checkpoint:
-        e = cut_lineage(e)
-    frontier = roots.select(F.col("root"), F.col("root").alias("node"))
-    levels: list[DataFrame] = []
+    keep = cut_lineage if checkpoint else (lambda df: df)
+    e = keep(e)
+    level = roots.select(F.col("root"), F.col("root").alias("node"))
+    walked: DataFrame | None = None
     for depth in range(1, max_depth + 1):
-        nxt = (
-            frontier.join(e, frontier.node == e.src, "inner")
-            .select("root", F.col("dst").alias("node"))
-            .distinct()
-            .withColumn("depth", F.lit(depth))
-        )
-        if checkpoint:
-            nxt = cut_lineage(nxt)
-        levels.append(nxt)
-        frontier = nxt.select("root", "node")
-    walked = levels[0]
-    for lvl in levels[1:]:
-        walked = walked.unionByName(lvl)
-    return walked.groupBy("root", "node").agg(F.min("depth").cast("bigint").alias("depth"))
+        reached = level.join(e, level.node == e.src, "inner").select("root", F.col("dst").alias("node")).distinct()
+        if walked is not None:
+            reached = reached.join(walked.select("root", "node"), ["root", "node"], "left_anti")
+        level = keep(reached.withColumn("depth", F.lit(depth).cast("bigint")))
+        walked = level if walked is None else walked.unionByName(level)
+        if checkpoint and level.isEmpty():
+            break
+    return walked

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions.text import strip_source
-from tagweave.session import broadcast_if_small
-from tagweave.functions.tokens import distinct_tokens, tokens, tokens_by_lang
+from tagweave.functions.tokens import tokens_by_lang
+from tagweave.operators.regions import drop_if0_text
 
 
 def document_tokens(docs: DataFrame, text: str = "text", lang: str = "lang", strip: bool = True) -> DataFrame:
@@ -24,9 +24,18 @@ def document_tokens(docs: DataFrame, text: str = "text", lang: str = "lang", str
     A document is one row, so de-duplicating inside the row's array needs no
     shuffle; the explode runs in the scan stage.
     """
+    toks = F.array_distinct(F.col("toks"))
+    return token_arrays(docs, text, lang, strip).select("doc_id", "lang", F.explode(toks).alias("name"))
+
+
+def token_arrays(docs: DataFrame, text: str = "text", lang: str = "lang", strip: bool = True) -> DataFrame:
+    """``(doc_id, lang, toks)``: token occurrences of the text that is left after
+    ``#if 0`` regions (C family) and comments and literals (C-like) are gone."""
+    if strip:
+        docs = drop_if0_text(docs, text, lang)
     body = strip_source(text, lang) if strip else F.col(text)
-    toks = F.array_distinct(tokens_by_lang(body, lang))
-    return docs.select("doc_id", F.col(lang).alias("lang"), F.explode(toks).alias("name"))
+    clean = docs.select("doc_id", F.col(lang).alias("lang"), body.alias("_body"))
+    return clean.select("doc_id", "lang", tokens_by_lang("_body", "lang").alias("toks"))
 
 
 def match_tags(
@@ -42,11 +51,9 @@ def match_tags(
     ``docs``: ``(doc_id, lang, source, text)``; ``norm_tags``: output of
     :func:`tagweave.operators.index.normalize_tags`.
     """
-    # The symbol index side is broadcast only after a bounded size check;
-    # a large index falls back to shuffle joins on (lang, name) / (lang, file).
-    nt = broadcast_if_small(
-        norm_tags.select(F.col("target_lang").alias("lang"), "name", "file", "kind").distinct()
-    )
+    # Plain equi-joins: the adaptive planner broadcasts the index side when its
+    # measured size allows, and splits hot (lang, file) groups otherwise.
+    nt = norm_tags.select(F.col("target_lang").alias("lang"), "name", "file", "kind").distinct()
     by_name = nt.select("lang", "name", "kind").distinct()
     by_file = nt.select("lang", F.col("file").alias(source), "name", "kind")
 
@@ -62,11 +69,12 @@ def match_tags(
 
 
 def match_stats(docs: DataFrame, matches: DataFrame, text: str = "text") -> DataFrame:
-    """Per document: token occurrences, distinct tokens and distinct matches."""
-    per_doc = docs.select(
+    """Per document: token occurrences, distinct tokens and distinct matches,
+    counted on the same tokens that are matched."""
+    per_doc = token_arrays(docs, text).select(
         "doc_id",
-        F.size(tokens(text)).cast("bigint").alias("total_tokens"),
-        F.size(distinct_tokens(text)).cast("bigint").alias("unique_tokens"),
+        F.size("toks").cast("bigint").alias("total_tokens"),
+        F.size(F.array_distinct("toks")).cast("bigint").alias("unique_tokens"),
     )
     counts = matches.groupBy("doc_id").agg(F.count(F.lit(1)).alias("unique_tags"))
     return per_doc.join(counts, "doc_id", "left").select(

@@ -6,6 +6,8 @@ window partition is (key, time bucket): every bucket is small, and the only
 cross-bucket information -- the last row of the previous non-empty bucket --
 comes from a per-bucket summary (one row per key and bucket) joined back on
 the same (key, bucket) keys, so the join reuses the window's partitioning.
+Buckets must be wide enough to hold many rows: the summary is then far smaller
+than the data, and one key's summary fits in a task.
 """
 
 from __future__ import annotations
@@ -44,13 +46,9 @@ def ordered_lag(
         "_first", F.row_number().over(in_bucket) == 1
     )
     # Last row of every (key, bucket), then the previous non-empty bucket's last
-    # row.  The summary is aggregated from the window's output and references
-    # the same input columns, so it reuses the window's exchange (one scan and
-    # one shuffle of the data) and needs no exchange of its own.
-    every = F.struct(*[F.col(c) for c in x.columns if not c.startswith("_prev")])
-    last = x.groupBy(*keys, b).agg(
-        F.max_by(F.struct(packed.alias("v"), every.alias("_all")), order_key)["v"].alias("_last")
-    )
+    # row.  The summary aggregates its few columns straight from the input with a
+    # partial step, so one row per (key, bucket) and task is shuffled.
+    last = df.withColumn(b, bucket).groupBy(*keys, b).agg(F.max_by(packed, order_key).alias("_last"))
     by_key = Window.partitionBy(*keys).orderBy(b)
     carry = last.select(*keys, b, F.lag("_last").over(by_key).alias("_prev_bucket"))
 

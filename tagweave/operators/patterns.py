@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.constants import (
     DEFAULT_PREFIX,
     DEFAULT_SUFFIX,
+    FILETYPES,
     GROUP_PREFIX,
     KEYWORD_COMMAND,
     MATCH_COMMAND,
@@ -41,7 +42,13 @@ def kind_patterns(matches: DataFrame) -> DataFrame:
     )
 
 
-def highlight_commands(patterns: DataFrame, groups: DataFrame, kinds: DataFrame, editor_name: str = "lang") -> DataFrame:
+def editor_name(lang: str = "lang") -> Column:
+    """The editor's filetype name of an index language (``c++`` is ``cpp``); others as they are."""
+    names = F.create_map(*[F.lit(x) for _, ft, index in FILETYPES for x in (index, ft)])
+    return F.coalesce(names[F.col(lang)], F.col(lang))
+
+
+def highlight_commands(patterns: DataFrame, groups: DataFrame, kinds: DataFrame) -> DataFrame:
     """Full highlight command per (doc, kind).
 
     ``groups``: ``(lang, kind, grp, prefix, suffix)``; when both prefix and
@@ -49,7 +56,7 @@ def highlight_commands(patterns: DataFrame, groups: DataFrame, kinds: DataFrame,
     default prefix/suffix filling the missing one.  ``kinds`` gives the display
     position ``pos`` of each kind.  Both are small broadcast dimensions.
     """
-    gid = F.concat_ws("_", F.lit(GROUP_PREFIX), F.col(editor_name), F.col("kind"), F.col("grp"))
+    gid = F.concat_ws("_", F.lit(GROUP_PREFIX), editor_name(), F.col("kind"), F.col("grp"))
     match_cmd = fill(
         MATCH_COMMAND,
         gid=gid,

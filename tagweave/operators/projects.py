@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tagweave.session import literal_table
 
 from tagweave.constants import FILETYPES
-from tagweave.functions.paths import all_prefixes, cache_key
+from tagweave.functions.paths import cache_key
 
 
 def filetypes(spark: SparkSession) -> DataFrame:
@@ -35,40 +35,32 @@ def admit_buffers(
     return x.select(*docs.columns, F.col("ft_id").cast("bigint").alias("ft_id"), status.alias("status"))
 
 
-MAX_ROOT_LENGTHS = 4096
-
-
 def longest_prefix(df: DataFrame, path: str, roots: DataFrame, root: str = "root") -> DataFrame:
     """Add ``root``: the longest string in ``roots`` that is a prefix of
     ``path`` (blank roots ignored), else ``path`` itself.
 
-    A root can only match the prefix of the path with the root's length, so
-    each path is exploded into its prefixes at the distinct root lengths --
-    a set bounded by the longest root (at most ``MAX_ROOT_LENGTHS`` values are
-    taken to the driver; beyond that every prefix is used) -- and equi-joined
-    with the roots: a hash join instead of a nested-loop ``startswith`` join.
-    The pick is an aggregate with a map-side partial step.
+    A root can only match the prefix of a path with the root's length, so each
+    distinct path is exploded into its prefixes at the lengths that roots have
+    (a scalar subquery: at most as many values as the longest root has
+    characters) and equi-joined with the roots: a hash join instead of a
+    nested-loop ``startswith`` join, and one plan for all sizes.  The pick is
+    an aggregate with a map-side partial step; it is joined back to the rows,
+    so repeated rows stay.
     """
     r = roots.select(F.col(root).alias("_r")).where(F.length("_r") > 0).distinct()
-    lengths = [
-        row[0]
-        for row in r.select(F.length("_r").alias("n")).distinct().limit(MAX_ROOT_LENGTHS + 1).collect()
-    ]
-    keys = df.columns
-    if len(lengths) <= MAX_ROOT_LENGTHS:
-        wanted = F.array(*[F.lit(n) for n in sorted(lengths)]) if lengths else F.array().cast("array<int>")
-        p = F.col(path)
-        prefixes = F.transform(
-            F.filter(wanted, lambda n: n <= F.length(p)), lambda n: F.substr(p, F.lit(1), n)
-        )
-    else:
-        prefixes = all_prefixes(path)
-    pre = df.select(*keys, F.explode_outer(prefixes).alias("_pre"))
-    hit = pre.join(r, pre["_pre"] == r["_r"], "left")
-    best = hit.groupBy(*keys).agg(
-        F.max_by("_r", F.when(F.col("_r").isNotNull(), F.length("_r"))).alias("_best")
+    lengths = r.agg(F.collect_set(F.length("_r"))).scalar()
+    paths = df.select(F.col(path).alias("_p")).where(F.col("_p").isNotNull()).distinct()
+    paths = paths.withColumn("_lengths", lengths)
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_p"))
+    prefixes = F.transform(fitting, lambda n: F.substr(F.col("_p"), F.lit(1), n))
+    best = (
+        paths.select("_p", F.explode(prefixes).alias("_r"))
+        .join(r, "_r")
+        .groupBy("_p")
+        .agg(F.max_by("_r", F.length("_r")).alias("_best"))
     )
-    return best.select(*keys, F.coalesce("_best", F.col(path)).alias(root))
+    joined = df.join(best, df[path] == best["_p"], "left")
+    return joined.select(*df.columns, F.coalesce("_best", F.col(path)).alias(root))
 
 
 def project_units(
@@ -120,16 +112,30 @@ def find_file(manifest: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
-def scan_set(units: DataFrame, headers: DataFrame) -> DataFrame:
+def scan_set(units: DataFrame, headers: DataFrame, manifest: DataFrame) -> DataFrame:
     """``(ft, unit, member)``: files the indexer reads for each unit.
 
-    Recursive non-C units read every file of the unit; C units read the file
-    and its resolved headers; other non-recursive units read the file only.
+    A recursive unit that is not C reads every file of ``manifest (path, ft)``
+    under its root with the unit's filetype, open or not; C units read the file
+    and its resolved headers; other units read the file only.
+
+    Files meet roots by equality: each file is exploded into its parent
+    directories (as many as it has levels), never by a prefix comparison of
+    all files with all roots.
     """
-    files = units.select("ft", "unit", F.col("filename").alias("member"))
+    single = units.where(~F.col("recurse") | F.col("is_c"))
+    files = single.select("ft", "unit", F.col("filename").alias("member"))
     c_units = units.where(F.col("is_c")).select("doc_id", "ft", "unit")
     hdrs = c_units.join(headers, "doc_id").select("ft", "unit", F.col("path").alias("member"))
-    return files.unionByName(hdrs).distinct()
+    roots = units.where(F.col("recurse") & ~F.col("is_c")).select("ft", "unit").distinct()
+    parts = F.split("path", "/")
+    parents = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
+        lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
+    )
+    under = manifest.select("ft", F.col("path").alias("member"), F.explode(parents).alias("unit"))
+    tree = under.join(roots, ["ft", "unit"]).select("ft", "unit", "member")
+    return files.unionByName(hdrs).unionByName(tree).distinct()
 
 
 def cache_or_build(units: DataFrame, stored: DataFrame, seen: DataFrame) -> DataFrame:

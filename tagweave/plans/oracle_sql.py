@@ -147,10 +147,11 @@ ORACLES["match_stats"] = (
     + f""",
 counts AS (SELECT doc_id, count(*) AS c FROM matches GROUP BY doc_id)
 SELECT d.doc_id,
-       CAST(len(regexp_extract_all(d.text, '{ID}')) AS BIGINT) AS total_tokens,
-       CAST(len(list_distinct(regexp_extract_all(d.text, '{ID}'))) AS BIGINT) AS unique_tokens,
+       CAST(len(regexp_extract_all(d.body, '{ID}')) AS BIGINT) AS total_tokens,
+       CAST(len(list_distinct(regexp_extract_all(d.body, '{ID}'))) AS BIGINT) AS unique_tokens,
        CAST(coalesce(c.c, 0) AS BIGINT) AS unique_tags
-FROM documents d LEFT JOIN counts c USING (doc_id)"""
+FROM (SELECT doc_id, CASE WHEN lang IN {C_LIKE} THEN regexp_replace(text, '{STRIP_RE_SQL}', ' ', 'g') ELSE text END AS body
+      FROM documents) d LEFT JOIN counts c USING (doc_id)"""
 )
 
 ORACLES["lang_family"] = (
@@ -238,6 +239,79 @@ sim(doc_id, line_no, depth, keep) AS (
 SELECT c.doc_id, c.line_no, c.line FROM sim s JOIN cls c USING (doc_id, line_no) WHERE s.keep"""
 )
 
+ORACLES["buffer_lines"] = "SELECT doc_id, text || chr(10) AS body FROM documents"
+
+ORACLES["line_splice"] = """
+WITH d AS (SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS f, CAST(doc_id % 4 + n_chars % 3 AS INTEGER) AS t,
+                  string_split(text, chr(10)) AS l FROM documents)
+SELECT doc_id, array_to_string(list_concat(list_concat(l[1:f], ['x', 'y']), l[t + 1:]), chr(10)) AS edited FROM d"""
+
+# The whole pipeline on code: a line-by-line simulation of the #if 0 counter, then
+# comments and literals, then tokens and the join.
+ORACLES["source_match"] = (
+    "WITH RECURSIVE "
+    + ",".join(
+        [
+            C_DOCS,
+            """
+code_lines AS (
+  SELECT doc_id, lang, line_no,
+         CASE substr(line, 1, 1) WHEN 'A' THEN '#if 0' WHEN 'E' THEN '#endif' WHEN 'T' THEN '#ifdef X'
+              WHEN 'O' THEN '  #  if 0' WHEN 'I' THEN '#else' ELSE line END AS line
+  FROM (SELECT doc_id, lang, unnest(range(len(l))) AS line_no, unnest(l) AS line
+        FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM cdocs))
+),
+cls AS (
+  SELECT *, regexp_matches(line, '^[ \\t]*#') AS is_hash, regexp_replace(line, '^[ \\t]*#[ \\t]*', '') AS rest
+  FROM code_lines
+),
+sim(doc_id, line_no, depth, keep) AS (
+  SELECT doc_id, CAST(-1 AS BIGINT), 0, true FROM cdocs
+  UNION ALL
+  SELECT c.doc_id, c.line_no,
+         CASE WHEN s.depth > 0 THEN
+                s.depth + CASE WHEN c.is_hash AND starts_with(c.rest, 'if') THEN 1
+                               WHEN c.is_hash AND starts_with(c.rest, 'endif') THEN -1 ELSE 0 END
+              WHEN c.lang IN ('c', 'c++') AND c.is_hash AND starts_with(c.rest, 'if 0') THEN 1
+              ELSE 0 END,
+         s.depth = 0 AND NOT (c.lang IN ('c', 'c++') AND c.is_hash AND starts_with(c.rest, 'if 0'))
+  FROM sim s JOIN cls c ON c.doc_id = s.doc_id AND c.line_no = s.line_no + 1
+),
+sources AS (
+  SELECT d.doc_id, d.lang, d.source, coalesce(replace(k.body, ', ', ' /* x, y */ '), '') AS text
+  FROM cdocs d LEFT JOIN (
+    SELECT c.doc_id, string_agg(c.line, chr(10) ORDER BY c.line_no) AS body
+    FROM sim s JOIN cls c USING (doc_id, line_no) WHERE s.keep GROUP BY c.doc_id
+  ) k USING (doc_id)
+)""",
+            RAW_TAGS.format(langs="['c', 'C++', 'java', 'es']"),
+            PARSED_TAGS,
+            NORM_TAGS.format(langs="'c', 'c++', 'java', 'es'"),
+            MATCHES.format(docs="sources"),
+        ]
+    )
+    + "\nSELECT doc_id, name, kind FROM matches"
+)
+
+ORACLES["command_editor_name"] = (
+    _tag_pipeline(
+        langs="['c', 'C++', 'java', 'es']", lang_set="'c', 'c++', 'java', 'es'", docs="cdocs", extra=(C_DOCS,)
+    )
+    + """,
+pats AS (
+  SELECT doc_id, kind, string_agg(name, '\\|' ORDER BY strlen(name), name) AS pat,
+         string_agg(name, ' ' ORDER BY strlen(name), name) AS words, count(*) AS n,
+         '_tw_' || any_value(CASE lang WHEN 'c++' THEN 'cpp' ELSE lang END) || '_' || kind || '_'
+         || CASE kind WHEN 'd' THEN 'TagDefine' ELSE '' END AS gid,
+         CASE kind WHEN 'd' THEN 'TagDefine' ELSE '' END AS grp
+  FROM matches GROUP BY doc_id, kind
+)
+SELECT doc_id, kind, CAST(strpos('cdfm', kind) - 1 AS BIGINT) AS pos, pat, n,
+       'silent! syntax clear ' || gid || ' |  syntax keyword ' || gid || ' ' || words
+       || ' display | hi def link ' || gid || ' ' || grp AS cmd
+FROM pats"""
+)
+
 ORACLES["include_extract"] = (
     _with(DOC_LINES)
     + r""",
@@ -277,27 +351,44 @@ SELECT doc_id, n_chars AS recorded, CAST(length(text) AS BIGINT) AS counted_char
 FROM documents"""
 
 # ------------------------------------------------------------------ paths
-SEGMENT = r"(?:[^/.][^/]*|\.[^/.][^/]*|\.\.[^/]+)"
-
-
-def _clean_sql(expr: str, passes: int = 4) -> str:
-    p = f"regexp_replace({expr}, '/+', '/', 'g')"
-    p = f"regexp_replace({p}, '(^|/)(\\./)+', '\\1', 'g')"
-    p = f"regexp_replace({p}, '/\\.$', '')"
-    for _ in range(passes):
-        p = f"regexp_replace({p}, '(^|/){SEGMENT}/\\.\\.(/|$)', '\\1', 'g')"
-    p = f"regexp_replace({p}, '(.)/$', '\\1')"
-    return f"(CASE WHEN {p} = '' THEN '.' ELSE {p} END)"
-
+# Independent oracle: a stack machine over the segments, one step per row.
+CLEAN = """
+seg AS (SELECT page_id, starts_with(raw, '/') AS rooted, string_split(raw, '/') AS parts FROM raw_paths),
+steps(page_id, i, stack) AS (
+  SELECT page_id, 0, []::VARCHAR[] FROM seg
+  UNION ALL
+  SELECT s.page_id, t.i + 1,
+         CASE WHEN s.parts[t.i + 1] IN ('', '.') THEN t.stack
+              WHEN s.parts[t.i + 1] <> '..' THEN list_append(t.stack, s.parts[t.i + 1])
+              WHEN len(t.stack) > 0 AND t.stack[-1] <> '..' THEN t.stack[:-2]
+              WHEN s.rooted THEN t.stack
+              ELSE list_append(t.stack, '..') END
+  FROM steps t JOIN seg s USING (page_id) WHERE t.i < len(s.parts)
+),
+cleaned AS (
+  SELECT t.page_id,
+         CASE WHEN s.rooted THEN '/' || array_to_string(t.stack, '/')
+              WHEN len(t.stack) = 0 THEN '.' ELSE array_to_string(t.stack, '/') END AS clean
+  FROM steps t JOIN seg s USING (page_id) WHERE t.i = len(s.parts)
+)"""
 
 _DIR = "(CASE WHEN NOT contains(path, '/') THEN '.' WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END)"
 _BASE = "regexp_extract(path, '([^/]*)$', 1)"
+_PAGE_PATHS = "p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') AS path FROM pages)"
 
 ORACLES["path_parts"] = f"""
-WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') AS path FROM pages)
-SELECT page_id, path, {_DIR} AS dir, {_BASE} AS base,
-       {_clean_sql("concat_ws('/', " + _DIR + ", '.', 'x', '..', " + _BASE + ")")} AS joined
-FROM p"""
+WITH RECURSIVE {_PAGE_PATHS},
+raw_paths AS (SELECT page_id, concat_ws('/', {_DIR}, '.', 'x', '..', {_BASE}) AS raw FROM p),{CLEAN}
+SELECT page_id, path, {_DIR} AS dir, {_BASE} AS base, clean AS joined
+FROM p JOIN cleaned USING (page_id)"""
+
+ORACLES["path_clean_deep"] = f"""
+WITH RECURSIVE {_PAGE_PATHS},
+raw_paths AS (
+  SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '/' ELSE '' END || path || '/a/b/./c/d//e/f/g/h/i/j'
+                  || repeat('/..', 10 + page_id % 4) || '/./z//y/' AS raw FROM p
+),{CLEAN}
+SELECT page_id, clean FROM cleaned"""
 
 ORACLES["cache_key"] = r"""
 SELECT page_id, regexp_replace(url, '[/:\\]', '__', 'g') || '.html.tags.gz' AS cache_key FROM pages"""
@@ -416,7 +507,7 @@ edges AS (
   SELECT doc_id, n_chars % (SELECT c FROM n) FROM documents
 ),
 walk(root, node, lvl) AS (
-  SELECT doc_id, doc_id, 0 FROM documents WHERE lang = 'en'
+  SELECT doc_id, doc_id, 0 FROM documents
   UNION
   SELECT w.root, e.dst, w.lvl + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.lvl < 9
 )
@@ -446,6 +537,8 @@ SELECT page_id, dir, coalesce(arg_max(r, length(r)), dir) AS root
 FROM p LEFT JOIN roots ON starts_with(p.dir, roots.r)
 GROUP BY page_id, dir"""
 
+ORACLES["longest_prefix_rows"] = ORACLES["longest_prefix"].replace("SELECT page_id, dir, coalesce", "SELECT dir, coalesce")
+
 BUFFERS = """
 buffers AS (
   SELECT doc_id,
@@ -479,13 +572,20 @@ units AS (
   FROM units0
 )"""
 
+ORACLES["find_buffers"] = (
+    _with(BUFFERS)
+    + "\nSELECT doc_id, ft, filename, dir FROM buffers WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+)
 ORACLES["admit_buffers"] = _with(BUFFERS) + "\nSELECT doc_id, ft, ft_id, status FROM admitted"
 ORACLES["project_units"] = _with(BUFFERS) + "\nSELECT doc_id, ft, root, recurse, is_c, unit FROM units"
 ORACLES["project_refs"] = _with(BUFFERS) + "\nSELECT ft, unit, count(*) AS refs FROM units GROUP BY ft, unit"
 ORACLES["scan_set"] = (
     _with(BUFFERS, INCLUDE_REFS)
     + """
-SELECT ft, unit, filename AS member FROM units
+SELECT ft, unit, filename AS member FROM units WHERE is_c OR NOT recurse
+UNION
+SELECT u.ft, u.unit, b.filename FROM units u JOIN buffers b ON b.ft = u.ft AND starts_with(b.filename, u.unit || '/')
+WHERE u.recurse AND NOT u.is_c
 UNION
 SELECT u.ft, u.unit, r.path FROM units u JOIN resolved r USING (doc_id) WHERE u.is_c"""
 )

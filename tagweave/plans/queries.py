@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.functions.paths import basename, cache_key, dirname, path_join
-from tagweave.functions.text import collapse_blanks, strip_source
+from tagweave.functions.arrays import splice
+from tagweave.functions.paths import basename, cache_key, clean_path, dirname, path_join
+from tagweave.functions.text import collapse_blanks, join_lines, strip_source
 from tagweave.functions.tokens import distinct_tokens, vim_tokens
 from tagweave.operators.edits import replay_edits
 from tagweave.operators.events import active_switch, coerce_props, keyword_rollup, route_events, tick_gate
@@ -26,6 +27,7 @@ from tagweave.operators.projects import (
     admit_buffers,
     cache_or_build,
     filetypes,
+    find_buffers,
     find_file,
     longest_prefix,
     project_refs,
@@ -81,8 +83,11 @@ def q_tag_match(spark, sf):
 
 @query("kind_pattern")
 def q_kind_pattern(spark, sf):
-    cfg = T.DEFAULT_CONFIG
-    pats = kind_patterns(_matches(spark, sf, keep_lang=True))
+    return _commands(spark, T.DEFAULT_CONFIG, _matches(spark, sf, keep_lang=True))
+
+
+def _commands(spark, cfg, matches):
+    pats = kind_patterns(matches)
     kinds = (
         cfg.kind_map(spark)
         .select(F.col("target_lang").alias("lang"), F.col("to_kind").alias("kind"), "pos")
@@ -108,6 +113,22 @@ def q_lang_family(spark, sf):
     return match_tags(T.c_documents(spark, sf), tags)
 
 
+def _c_tags(spark, sf):
+    return _norm_tags(spark, sf, T.C_CONFIG, ("c", "C++", "java", "es"))
+
+
+@query("source_match")
+def q_source_match(spark, sf):
+    """Code with directives and comments through the whole pipeline."""
+    return match_tags(T.source_documents(spark, sf), _c_tags(spark, sf))
+
+
+@query("command_editor_name")
+def q_command_editor_name(spark, sf):
+    matches = match_tags(T.c_documents(spark, sf), _c_tags(spark, sf), keep_lang=True)
+    return _commands(spark, T.C_CONFIG, matches)
+
+
 # ------------------------------------------------------------------ text
 @query("strip")
 def q_strip(spark, sf):
@@ -154,6 +175,21 @@ def q_reconcile(spark, sf):
     return reconcile(T.documents(spark, sf, ("doc_id", "n_chars", "text")))
 
 
+@query("buffer_lines")
+def q_buffer_lines(spark, sf):
+    d = T.documents(spark, sf, ("doc_id", "text"))
+    return d.select("doc_id", join_lines(F.split("text", "\n")).alias("body"))
+
+
+@query("line_splice")
+def q_line_splice(spark, sf):
+    d = T.documents(spark, sf, ("doc_id", "n_chars", "text"))
+    first = (F.col("doc_id") % 4).cast("int")
+    last = first + (F.col("n_chars") % 3).cast("int")
+    out = splice(F.split("text", "\n"), first, last, F.array(F.lit("x"), F.lit("y")))
+    return d.select("doc_id", F.array_join(out, "\n").alias("edited"))
+
+
 # ------------------------------------------------------------------ paths
 def _page_paths(spark, sf):
     p = T.load(spark, sf, "pages").select("page_id", "url")
@@ -173,6 +209,16 @@ def q_path_parts(spark, sf):
     )
 
 
+@query("path_clean_deep")
+def q_path_clean_deep(spark, sf):
+    """Ten segments taken back by ten to thirteen ``..``, with ``.`` and empty segments."""
+    p = _page_paths(spark, sf)
+    up = F.expr("repeat('/..', cast(10 + page_id % 4 as int))")
+    lead = F.when(F.col("page_id") % 2 == 0, "/").otherwise("")
+    raw = F.concat(lead, "path", F.lit("/a/b/./c/d//e/f/g/h/i/j"), up, F.lit("/./z//y/"))
+    return p.select("page_id", raw.alias("raw")).select("page_id", clean_path("raw").alias("clean"))
+
+
 @query("cache_key")
 def q_cache_key(spark, sf):
     p = T.load(spark, sf, "pages").select("page_id", "url")
@@ -233,8 +279,8 @@ def q_include_resolve(spark, sf):
 
 @query("include_closure")
 def q_include_closure(spark, sf):
-    roots = T.documents(spark, sf, ("doc_id", "lang")).where(F.col("lang") == "en")
-    return include_closure(roots.select(F.col("doc_id").alias("root")), T.include_edges(spark, sf))
+    roots = T.documents(spark, sf, ("doc_id",)).select(F.col("doc_id").alias("root"))
+    return include_closure(roots, T.include_edges(spark, sf))
 
 
 @query("find_file")
@@ -252,6 +298,18 @@ def q_longest_prefix(spark, sf):
     return longest_prefix(T.page_dirs(spark, sf), "dir", T.page_roots(spark, sf))
 
 
+@query("longest_prefix_rows")
+def q_longest_prefix_rows(spark, sf):
+    """Rows without an id: many are equal, and all of them stay."""
+    return longest_prefix(T.page_dirs(spark, sf).select("dir"), "dir", T.page_roots(spark, sf))
+
+
+@query("find_buffers")
+def q_find_buffers(spark, sf):
+    ids = T.load(spark, sf, "labels").where(F.col("toxic") == 1).select("doc_id")
+    return find_buffers(T.buffers(spark, sf), ids)
+
+
 def _admitted(spark, sf):
     b = T.buffers(spark, sf)
     rejected = T.load(spark, sf, "labels").where(F.col("quality") == 0).select("doc_id")
@@ -286,7 +344,7 @@ def q_project_refs(spark, sf):
 def q_scan_set(spark, sf):
     u = _units(spark, sf).select("doc_id", "ft", "unit", "filename", "is_c", "recurse")
     headers = resolve_includes(T.include_refs(spark, sf), T.manifest(spark, sf))
-    return scan_set(u, headers)
+    return scan_set(u, headers, T.file_tree(spark, sf))
 
 
 @query("cache_or_build")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +20,8 @@ DEFAULT_CONF = {
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     # No broadcast from static estimates: they ignore how explode/regex
     # extraction inflate rows, and would pick the wrong side.  Broadcasts come
-    # from (a) explicit hints on configuration tables of bounded size,
-    # (b) broadcast_if_small() after a bounded row count, and (c) AQE, which
-    # converts a shuffle join to a broadcast from *measured* shuffle sizes.
+    # from explicit hints on configuration tables of bounded size, and from
+    # AQE, which converts a shuffle join from *measured* shuffle sizes.
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     # Later duplicate map keys overwrite earlier ones (settings maps).
@@ -95,24 +95,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
-
-    The frame is cached and counted with ``limit(max_rows + 1)`` (the check
-    reads at most that many rows); within the bound the cached rows feed the
-    broadcast, beyond it the cache is dropped and the join shuffles (AQE may
-    still broadcast from measured sizes).  The frame's lineage is short (a
-    parse of the index), so a lost cached block is simply recomputed.
-    """
-    cached = df.cache()
-    n = cached.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(cached)
-    cached.unpersist()
-    return df
+def read_if_exists(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
+    """The table at ``path``, or ``None`` if there is no such path; other failures
+    (a broken schema, no access) are raised."""
+    try:
+        return spark.read.format(fmt).load(path)
+    except AnalysisException as failure:
+        if failure.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

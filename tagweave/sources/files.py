@@ -8,14 +8,15 @@ read with ``binaryFile`` and decoded in an Arrow-batched ``mapInPandas``.
 
 from __future__ import annotations
 
+import io
 import lzma
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from tagweave.session import read_if_exists
 from tagweave.workers import ship_by_value
 
 ship_by_value(__name__)
@@ -27,32 +28,38 @@ _LINE_BATCH = 65536
 def _decode_xz(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
-            text = lzma.decompress(bytes(content)).decode("utf-8", errors="replace")
-            lines = text.split("\n")
-            if lines and lines[-1] == "":
-                lines.pop()
-            for start in range(0, len(lines), _LINE_BATCH):
-                chunk = lines[start:start + _LINE_BATCH]
-                yield pd.DataFrame(
-                    {
-                        "path": path,
-                        "line_no": range(start, start + len(chunk)),
-                        "line": chunk,
-                    }
-                )
+            # decoded as a stream: only the compressed bytes and one batch of lines are held
+            start, chunk = 0, []
+            reader = io.TextIOWrapper(lzma.open(io.BytesIO(content)), "utf-8", errors="replace", newline="\n")
+            for line in reader:
+                chunk.append(line.removesuffix("\n"))
+                if len(chunk) == _LINE_BATCH:
+                    yield _numbered(path, start, chunk)
+                    start, chunk = start + len(chunk), []
+            if chunk:
+                yield _numbered(path, start, chunk)
+
+
+def _numbered(path: str, start: int, lines: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({"path": path, "line_no": range(start, start + len(lines)), "line": lines})
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Index lines ``(path, line)`` from plain, gzip, bzip2 or xz text files.
 
-    ``path`` may be a file, directory or glob.  xz files are dispatched by
-    suffix; everything else goes through ``spark.read.text``.  Gzip files are
-    not splittable, so large ones are read by one task each.
+    ``path`` may be a file, directory or glob, with files of any of these kinds
+    side by side: xz files are told by their suffix, file by file, and everything
+    else goes through ``spark.read.text``.  Gzip files are not splittable, so
+    large ones are read by one task each.
     """
-    if path.endswith(".xz"):
-        raw = spark.read.format("binaryFile").load(path).select("path", "content")
-        return raw.mapInPandas(_decode_xz, INDEX_SCHEMA).select("path", "line")
-    return spark.read.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("line"))
+    packed = spark.read.format("binaryFile").load(path).select("path", "content")
+    packed = packed.where(F.col("path").endswith(".xz"))
+    plain = spark.read.text(path).where(~F.col("_metadata.file_path").endswith(".xz"))
+    return (
+        packed.mapInPandas(_decode_xz, INDEX_SCHEMA)
+        .select("path", "line")
+        .unionByName(plain.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")))
+    )
 
 
 def write_index(df: DataFrame, path: str, compression: str = "none", line: str = "line") -> None:
@@ -63,14 +70,14 @@ def write_index(df: DataFrame, path: str, compression: str = "none", line: str =
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files ``(path, text)``, byte-exact (``binaryFile`` + UTF-8
-    decode); unreadable or vanished files are skipped."""
+    """Whole files ``(path, text)`` (``binaryFile``); bytes that are not UTF-8 become
+    U+FFFD, unreadable or vanished files are skipped."""
     return (
         spark.read.format("binaryFile")
         .option("ignoreMissingFiles", True)
         .option("ignoreCorruptFiles", True)
         .load(path)
-        .select(F.regexp_replace("path", "^file:", "").alias("path"), F.decode("content", "UTF-8").alias("text"))
+        .select(F.regexp_replace("path", "^file:", "").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     )
 
 
@@ -96,8 +103,9 @@ def file_manifest(spark: SparkSession, root: str) -> DataFrame:
 def read_root_list(spark: SparkSession, path: str) -> DataFrame:
     """One project-root prefix per line; a missing file means no list (empty).
     Blank lines are dropped (a blank prefix would match every path)."""
-    try:
-        df = spark.read.text(path).select(F.col("value").alias("root"))
-    except AnalysisException:  # path does not exist: no project list
+    lines = read_if_exists(spark, path, "text")
+    if lines is None:
         df = spark.range(0).select(F.lit(None).cast("string").alias("root"))
+    else:
+        df = lines.select(F.col("value").alias("root"))
     return df.where(F.length("root") > 0)

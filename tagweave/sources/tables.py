@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tagweave.session import literal_table, spread
 
+from tagweave.constants import EVENT_NAMES
 from tagweave.functions.tokens import tokens
 from tagweave.operators.index import TagConfig
 
@@ -46,7 +47,9 @@ DEFAULT_CONFIG = TagConfig.uniform(
     },
 )
 C_LANGS = ["c", "c++", "java", "es"]
-C_CONFIG = TagConfig.uniform(C_LANGS, order="cdfm", equiv={"t": "c"}, ignored=["the", "of"])
+C_CONFIG = TagConfig.uniform(
+    C_LANGS, order="cdfm", equiv={"t": "c"}, ignored=["the", "of"], groups={"d": ("TagDefine", None, None)}
+)
 
 
 def raw_tags(spark: SparkSession, sf_dir: str, lang_names=("en", "fr", "de", "es")) -> DataFrame:
@@ -140,10 +143,7 @@ IF0_REWRITES = [
 def if0_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, lang, line_no, line)`` of C-family code with directives."""
     lines = doc_lines(spark, sf_dir)
-    first = F.substr(F.col("line"), F.lit(1), F.lit(1))
-    line = F.col("line")
-    for letter, directive in reversed(IF0_REWRITES):
-        line = F.when(first == letter, F.lit(directive)).otherwise(line)
+    line = _directive(F.substr(F.col("line"), F.lit(1), F.lit(1)), F.col("line"))
     code_lang = F.coalesce(
         *[F.when(F.col("lang") == k, F.lit(v)) for k, v in CODE_LANG.items()], F.col("lang")
     )
@@ -167,14 +167,24 @@ def include_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "line_no", line.alias("line"))
 
 
+def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, lang, source, text)``: C-family buffers whose lines hold directives
+    (by first letter) and, after every ", ", a comment."""
+    d = c_documents(spark, sf_dir)
+    line = lambda x: _directive(F.substr(x, F.lit(1), F.lit(1)), x)
+    text = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    return d.select("doc_id", "lang", "source", F.replace(text, F.lit(", "), F.lit(" /* x, y */ ")).alias("text"))
+
+
+def _directive(first, line):
+    for letter, directive in reversed(IF0_REWRITES):
+        line = F.when(first == letter, F.lit(directive)).otherwise(line)
+    return line
+
+
 # ---------------------------------------------------------------- event stream
-# event_type -> editor event name; "error" stays unknown (quarantined).
-EDITOR_EVENT_OF = {
-    "view": "nvim_buf_lines_event",
-    "click": "nvim_buf_changedtick_event",
-    "purchase": "nvim_buf_detach_event",
-    "signup": "vim_event_update",
-}
+# event_type -> editor event name, in the order of the fixed names; "error" stays unknown (quarantined).
+EDITOR_EVENT_OF = dict(zip(("view", "click", "purchase", "signup"), (name for name, _ in EVENT_NAMES)))
 
 
 def editor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,6 +277,11 @@ def buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, ft)`` of every file that exists, open as a buffer or not."""
+    return buffers(spark, sf_dir).select(F.col("filename").alias("path"), "ft")
+
+
 def config_list(spark: SparkSession, values: list[str], col: str = "root") -> DataFrame:
     """A settings list as a one-column broadcast table (size bounded by the settings)."""
     return F.broadcast(literal_table(spark, [(v,) for v in values], f"{col} string"))

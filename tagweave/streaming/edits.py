@@ -62,32 +62,33 @@ OUTPUT_SCHEMA = StructType(
 
 
 def _replay(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Apply one buffer's new edits in tick order (equal ticks in arrival order).
+
+    A detach drops the buffer; edits after it, in this batch or a later one,
+    start from a fresh buffer, so the outcome does not depend on where batches end.
+    """
     (buf,) = key
-    if state.exists:
-        lines, tick, init = state.get
-        lines = list(lines)
-    else:
-        lines, tick, init = [""], None, False
+    fresh = ([""], None, False)
+    lines, tick, init = state.get if state.exists else fresh
+    lines, alive = list(lines), state.exists
     out = []
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("ctick", kind="stable")
-    detached = False
-    for ctick, op, first, last, repl in zip(pdf["ctick"], pdf["op"], pdf["first"], pdf["last"], pdf["lines"]):
+    edits = pd.concat(list(batches), ignore_index=True).sort_values("ctick", kind="stable")
+    for ctick, op, first, last, repl in zip(edits["ctick"], edits["op"], edits["first"], edits["last"], edits["lines"]):
         if tick is not None and ctick <= tick:
             out.append((buf, ctick, "late", None, None, None))
-            continue
-        if op == "detach":
-            detached = True
+        elif op == "detach":
             out.append((buf, ctick, "detached", None, None, None))
-            break
-        if op == "lines":
-            repl = [] if repl is None else list(repl)
-            lines, init = apply_edit((lines, init), int(first), int(last), repl)
-        tick = ctick
-    if detached:
-        state.remove()
-    else:
+            (lines, tick, init), alive = ([""], None, False), False
+        else:
+            if op == "lines":
+                repl = [] if repl is None else list(repl)
+                lines, init = apply_edit((lines, init), int(first), int(last), repl)
+            tick, alive = ctick, True
+    if alive:
         state.update((lines, tick, init))
         out.append((buf, tick, "current", len(lines), "\n".join(lines), init))
+    elif state.exists:
+        state.remove()
     yield pd.DataFrame(out, columns=[f.name for f in OUTPUT_SCHEMA.fields])
 
 

@@ -1,7 +1,7 @@
 """Refresh-on-write as a ``foreachBatch`` step.
 
 A micro-batch of saved documents ``(doc_id, lang, source, text, tick[, force])``
-is gated against the last processed tick of each document (only documents
+is reduced to the newest save of each document and gated against the last processed tick of each document (only documents
 whose tick moved, new ones, or forced ones are recomputed), matched against the
 symbol index and published.  Ticks and matches are written under
 ``batch_id=<id>`` with overwrite, so a replayed batch rewrites its own output
@@ -11,11 +11,11 @@ document are those of the latest batch that processed it (possibly none).
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.operators.match import match_tags
+from tagweave.session import cut_lineage, read_if_exists
 
 
 def gate_by_stored_tick(batch: DataFrame, stored_ticks: DataFrame) -> DataFrame:
@@ -27,16 +27,21 @@ def gate_by_stored_tick(batch: DataFrame, stored_ticks: DataFrame) -> DataFrame:
     return x.where(keep).drop("_stored")
 
 
-def _ticks(spark: SparkSession, ticks_path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(ticks_path)
-    except AnalysisException:  # nothing processed yet
-        return None
+def newest_saves(batch: DataFrame) -> DataFrame:
+    """One row per document: of several saves in a batch the one with the largest
+    tick; it is forced if any of them was."""
+    columns = batch.columns
+    newest = F.max_by(F.struct(*columns), F.coalesce("tick", F.lit(-(2**63)))).alias("_row")
+    forced = F.max(F.coalesce("force", F.lit(False))) if "force" in columns else F.lit(None)
+    one = batch.groupBy("doc_id").agg(newest, forced.alias("_force"))
+    return one.select(
+        *[F.col("_force").alias(c) if c == "force" else F.col("_row")[c].alias(c) for c in columns]
+    )
 
 
 def last_ticks(spark: SparkSession, ticks_path: str, before_batch: int | None = None) -> DataFrame:
     """``(doc_id, tick, batch_id)`` of the latest batch that processed each doc."""
-    t = _ticks(spark, ticks_path)
+    t = read_if_exists(spark, ticks_path)
     if t is None:
         return spark.range(0).select(
             F.lit(None).cast("long").alias("doc_id"),
@@ -67,7 +72,7 @@ def refresh_step(norm_tags: DataFrame, ticks_path: str, out_path: str):
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored = last_ticks(spark, ticks_path, before_batch=batch_id)
-        moved = gate_by_stored_tick(batch, stored)
+        moved = cut_lineage(gate_by_stored_tick(newest_saves(batch), stored))
         (
             match_tags(moved.select("doc_id", "lang", "source", "text"), norm_tags)
             .write.mode("overwrite")
