@@ -105,3 +105,29 @@ def keyword_rollup(df: DataFrame, group: str, keyword: str, link: str = "Identif
     g = F.concat(F.lit("grp_"), F.col(group).cast("string"))
     cmd = fill(RESTORE_COMMAND, group=g, words=F.col("keywords"), link=F.lit(link))
     return kw.select(group, "keywords", cmd.alias("cmd"))
+
+
+def restore_commands(listings: DataFrame, group: str = "grp", listing: str = "listing") -> DataFrame:
+    """``listings`` with ``cmd``: the command that restores a group from the editor's
+    listing of it (``<group> xxx word ... links to <link>``, words on lines).
+
+    Null where there is nothing to restore: no such group, a pattern or region
+    group, or no link.  Words are distinct, in descending byte order.
+    """
+    at = F.instr(listing, "xxx")
+    body = F.substr(F.col(listing), at + 4)
+    skip = (at == 0) | body.startswith("match /") | body.startswith("start")
+    link = F.regexp_extract(body, r"\n[ \t\r\n]*links to (\S+)", 1)
+    lines = F.split(F.regexp_extract(body, r"(?s)^(.*?)\n[ \t\r\n]*links to ", 1), r"\n[ \t\r\n]*")
+    words = F.sort_array(F.array_distinct(F.filter(lines, lambda w: w != "")), asc=False)
+    cmd = fill(RESTORE_COMMAND, group=F.col(group), words=F.array_join(words, " "), link=link)
+    return listings.withColumn("cmd", F.when(~skip & (link != ""), cmd))
+
+
+def joined_commands(commands: DataFrame, owner: str, position: str) -> DataFrame:
+    """``(owner, cmds)``: an owner's commands in order, joined by `` | ``; an owner
+    has as many as its settings list groups."""
+    kept = commands.where(F.col("cmd").isNotNull()).groupBy(owner).agg(
+        F.sort_array(F.collect_list(F.struct(position, "cmd"))).alias("all")
+    )
+    return kept.select(owner, F.array_join(F.transform("all", lambda c: c["cmd"]), " | ").alias("cmds"))

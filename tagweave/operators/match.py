@@ -65,7 +65,10 @@ def match_tags(
         .join(by_file, ["lang", source], "inner")
         .select(*out)
     )
-    return in_buffer.unionByName(in_file).distinct()
+    # One clustering by document serves this distinct and every rollup of the
+    # matches by document and kind; a document's matches are bounded by its text
+    # and its file's tags.
+    return in_buffer.unionByName(in_file).repartition("doc_id").distinct()
 
 
 def match_stats(docs: DataFrame, matches: DataFrame, text: str = "text") -> DataFrame:

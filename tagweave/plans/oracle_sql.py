@@ -452,6 +452,35 @@ SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
        array_to_string(json_keys(props), ',') AS keys
 FROM events"""
 
+ORACLES["coerce_lists"] = """
+SELECT event_id, event_type || '|' || user_id AS strings,
+       CASE WHEN event_id % 3 <> 0 THEN (event_id % 7) || '|0|' || user_id END AS ints, true AS not_a_list
+FROM events"""
+
+ORACLES["coerce_maps"] = """
+SELECT event_id, CAST(user_id AS VARCHAR) AS n_text, 'x|' || event_type AS a_list, CAST(user_id AS VARCHAR) AS s_list,
+       true AS n_not_a_list, 'z' AS v,
+       CASE WHEN event_type[1] < 'v' THEN event_type[1] || 'v' WHEN event_type[1] > 'v' THEN 'v' || event_type[1] ELSE 'v' END AS letters
+FROM events"""
+
+ORACLES["keyword_listing"] = """
+WITH w AS (
+  SELECT doc_id, source, ltrim(line, ' ' || chr(9) || chr(13)) AS word, ord
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS ord
+        FROM documents WHERE lang NOT IN ('fr', 'de'))
+),
+k AS (
+  SELECT doc_id, any_value(source) AS source, coalesce(string_agg(DISTINCT word, ' ' ORDER BY word DESC) FILTER (word <> ''), '') AS words
+  FROM (SELECT doc_id, source, CASE WHEN ord = 0 THEN line0 ELSE word END AS word
+        FROM (SELECT w.*, string_split(d.text, chr(10))[1] AS line0 FROM w JOIN documents d USING (doc_id)))
+  GROUP BY doc_id
+),
+c AS (
+  SELECT doc_id, 'syntax clear g' || doc_id || ' | syntax keyword g' || doc_id || ' ' || words || '  | hi! link g' || doc_id
+         || ' ' || source AS cmd FROM k
+)
+SELECT doc_id // 5 AS owner, string_agg(cmd, ' | ' ORDER BY doc_id) AS cmds FROM c GROUP BY 1"""
+
 # ------------------------------------------------------------------ edits
 ORACLES["edit_replay"] = """
 WITH RECURSIVE e AS (

@@ -11,12 +11,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave.functions import coerce
 from tagweave.functions.arrays import splice
 from tagweave.functions.paths import basename, cache_key, clean_path, dirname, path_join
 from tagweave.functions.text import collapse_blanks, join_lines, strip_source
 from tagweave.functions.tokens import distinct_tokens, vim_tokens
 from tagweave.operators.edits import replay_edits
-from tagweave.operators.events import active_switch, coerce_props, keyword_rollup, route_events, tick_gate
+from tagweave.operators.events import (
+    active_switch,
+    coerce_props,
+    joined_commands,
+    keyword_rollup,
+    restore_commands,
+    route_events,
+    tick_gate,
+)
 from tagweave.operators.includes import include_closure, resolve_includes
 from tagweave.operators.index import normalize_tags, parse_tags
 from tagweave.operators.lines import extract_includes, line_dump, lines_range, reconcile
@@ -265,6 +274,38 @@ def q_coerce_props(spark, sf):
     return coerce_props(e).select("event_id", "k", "k_bool", "k_str", "keys")
 
 
+@query("coerce_lists")
+def q_coerce_lists(spark, sf):
+    j = T.json_values(spark, sf)
+    ints = F.transform(coerce.int_list("numbers"), lambda n: n.cast("string"))
+    return j.select(
+        "event_id",
+        F.array_join(coerce.string_list("mixed"), "|").alias("strings"),
+        F.array_join(ints, "|").alias("ints"),
+        coerce.string_list("letters").isNull().alias("not_a_list"),
+    )
+
+
+@query("coerce_maps")
+def q_coerce_maps(spark, sf):
+    j = T.json_values(spark, sf)
+    text, lists, letters = coerce.string_map("bag"), coerce.string_list_map("bag"), coerce.char_map("letters")
+    return j.select(
+        "event_id",
+        text["n"].alias("n_text"),
+        F.array_join(lists["a"], "|").alias("a_list"),
+        F.array_join(lists["s"], "|").alias("s_list"),
+        lists["n"].isNull().alias("n_not_a_list"),
+        letters["v"].alias("v"),
+        F.array_join(F.array_sort(F.map_keys(letters)), "").alias("letters"),
+    )
+
+
+@query("keyword_listing")
+def q_keyword_listing(spark, sf):
+    return joined_commands(restore_commands(T.group_listings(spark, sf)), "owner", "pos")
+
+
 # ------------------------------------------------------------------ edits
 @query("edit_replay")
 def q_edit_replay(spark, sf):

@@ -205,6 +205,35 @@ def editor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(event_id, mixed, numbers, bag, letters)``: JSON arrays and objects built from events."""
+    e = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    num, user, kind = _s(F.col("event_id") % 7), _s(F.col("user_id")), F.col("event_type")
+    odd = F.when(F.col("event_id") % 3 == 0, "true").otherwise("null")
+    return e.select(
+        "event_id",
+        F.concat(F.lit("["), num, F.lit(',"'), kind, F.lit('",null,"'), user, F.lit('",true]')).alias("mixed"),
+        F.concat(F.lit("["), num, F.lit(","), odd, F.lit(","), user, F.lit("]")).alias("numbers"),
+        F.concat(F.lit('{"a":["x",1,"'), kind, F.lit('"],"n":'), user, F.lit(',"s":["'), user, F.lit('"]}')).alias("bag"),
+        F.concat(F.lit('{"'), kind, F.lit('":"'), user, F.lit('","view":"z"}')).alias("letters"),
+    )
+
+
+def group_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(owner, pos, grp, listing)``: a document's lines as the words of a listed group;
+    ``fr`` groups are patterns, ``de`` groups are unknown to the editor."""
+    d = documents(spark, sf_dir)
+    grp = F.concat(F.lit("g"), _s(F.col("doc_id")))
+    words = F.replace("text", F.lit("\n"), F.lit("\n      "))
+    head = F.when(F.col("lang") == "fr", " xxx match /").when(F.col("lang") == "de", ": no such group ").otherwise(" xxx ")
+    return d.select(
+        F.expr("doc_id div 5").alias("owner"),
+        F.col("doc_id").alias("pos"),
+        grp.alias("grp"),
+        F.concat(grp, head, words, F.lit("\n      links to "), F.col("source"), F.lit("\n")).alias("listing"),
+    )
+
+
 # ---------------------------------------------------------------- edits
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` as line edits: buffer = conversation, tick = turn;

@@ -2,7 +2,7 @@ import json
 import os
 
 from tagweave.operators.edits import apply_edit, replay_edits, splice
-from tagweave.streaming.edits import EDIT_STREAM_SCHEMA, buffer_states
+from tagweave.streaming.edits import EDIT_STREAM_SCHEMA, buffer_states, read_change_stream
 
 
 def test_splice_goldens():
@@ -57,3 +57,38 @@ def test_stream_two_microbatches_equals_batch(spark, tmp_dir):
     flat = [(b, t, f, l, ls) for batch in batches for (b, t, op, f, l, ls) in batch if op == "lines" and not (b == 1 and t == 1 and ls == ["late"])]
     fold = {r.buf: r.text for r in replay_edits(edits_df(spark, flat), 2).collect()}
     assert fold[1] == "x\ny"
+
+
+def test_result_does_not_depend_on_batch_borders(spark, tmp_dir):
+    """Random splits of one edit sequence, with detach and attach, end in the same buffers."""
+    import random
+
+    rng = random.Random(12)
+    edits, tick = [], 0
+    for k in range(30):
+        tick += 1
+        op = "detach" if k in (9, 20) else "lines"
+        if op == "detach":
+            edits.append((1, tick, op, 0, 0, None))
+        else:
+            first = rng.randint(0, 3)
+            edits.append((1, tick, op, first, first + rng.randint(0, 2), [f"l{k}"] * rng.randint(0, 2)))
+    names = [f.name for f in EDIT_STREAM_SCHEMA.fields]
+    results = []
+    for trial, cuts in enumerate(([], [9], [10], [5, 10, 21])):
+        src = os.path.join(tmp_dir, f"in{trial}")
+        os.makedirs(src)
+        query = (
+            buffer_states(read_change_stream(spark, src, max_files=1)).writeStream.format("memory")
+            .queryName(f"split{trial}").outputMode("update")
+            .option("checkpointLocation", os.path.join(tmp_dir, f"ck{trial}")).start()
+        )
+        for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(edits)])):
+            with open(os.path.join(src, f"{i:03d}.json"), "w") as f:
+                f.writelines(json.dumps(dict(zip(names, row))) + "\n" for row in edits[a:b])
+            query.processAllAvailable()
+        query.stop()
+        rows = spark.sql(f"select * from split{trial} where status = 'current'").collect()
+        results.append(max((r.ctick, r.n_lines, r.text) for r in rows))
+        assert spark.sql(f"select * from split{trial} where status = 'detached'").count() == 2
+    assert len(set(results)) == 1 and results[0][0] == 30

@@ -54,3 +54,51 @@ def test_closure_cycle_and_depth(spark):
     got = {(r.root, r.node): r.depth for r in include_closure(roots, edges).collect()}
     assert got[(1, 2)] == 1 and got[(1, 1)] == 2 and got[(1, 3)] == 2
     assert max(d for (r, n), d in got.items() if r == 10) == 9 and (10, 20) not in got
+
+
+def test_clean_path_goldens(spark):
+    from tagweave.functions.paths import clean_path
+
+    cases = {
+        "/a/b/c/d/e/f/../../../../../../x": "/x", "/../x": "/x", "../../x": "../../x", "a/../..": "..",
+        "": ".", "/": "/", "a/./b//c/": "a/b/c", "a/..": ".", "/..": "/", "...": "...",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "p string")
+    assert {r.p: r.c for r in df.select("p", clean_path("p").alias("c")).collect()} == cases
+
+
+def test_longest_prefix_keeps_repeated_rows(spark):
+    from tagweave.operators.projects import longest_prefix
+
+    rows = spark.createDataFrame([("/a/b",), ("/a/b",), ("/z",), (None,)], "dir string")
+    roots = spark.createDataFrame([("/a",), ("/a/b",), ("",), (None,)], "root string")
+    got = sorted((str(r.dir), str(r.root)) for r in longest_prefix(rows, "dir", roots).collect())
+    assert got == [("/a/b", "/a/b"), ("/a/b", "/a/b"), ("/z", "/z"), ("None", "None")]
+
+
+def test_dead_code_is_not_matched(spark):
+    from tagweave.operators.match import document_tokens, match_stats
+
+    text = "#if 0\n dead();\n#endif\nlive(); /* gone */"
+    docs = spark.createDataFrame([(1, "c", text), (2, "java", text), (3, "c", "a")], "doc_id long, lang string, text string")
+    got = {}
+    for r in document_tokens(docs).collect():
+        got.setdefault(r.doc_id, set()).add(r.name)
+    assert got == {1: {"live"}, 2: {"if", "dead", "endif", "live"}, 3: {"a"}}
+    none = spark.createDataFrame([], "doc_id long, name string, kind string")
+    assert {r.doc_id: r.total_tokens for r in match_stats(docs, none).collect()} == {1: 1, 2: 4, 3: 1}
+
+
+def test_scan_set_reads_files_that_are_not_open(spark):
+    from tagweave.operators.projects import scan_set
+
+    units = spark.createDataFrame(
+        [(1, "go", "/p", "/p/a.go", False, True), (2, "c", "/q/x.c", "/q/x.c", True, True)],
+        "doc_id long, ft string, unit string, filename string, is_c boolean, recurse boolean",
+    )
+    headers = spark.createDataFrame([(2, "/q/x.h")], "doc_id long, path string")
+    tree = spark.createDataFrame(
+        [("/p/a.go", "go"), ("/p/d/b.go", "go"), ("/p/c.py", "python"), ("/pp/z.go", "go")], "path string, ft string"
+    )
+    got = {tuple(r) for r in scan_set(units, headers, tree).collect()}
+    assert got == {("go", "/p", "/p/a.go"), ("go", "/p", "/p/d/b.go"), ("c", "/q/x.c", "/q/x.c"), ("c", "/q/x.c", "/q/x.h")}

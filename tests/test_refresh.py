@@ -72,3 +72,18 @@ def test_stream_refs_drop_zero(spark):
         "ft string, unit string, op string",
     )
     assert [tuple(r) for r in stream_refs(ev).collect()] == [("c", "u1", 1)]
+
+
+def test_two_saves_in_one_batch_keep_the_newest(spark, tmp_dir):
+    raw = spark.createDataFrame([("foo\tx.c\tp\tf\tlanguage:C",), ("bar\ty.c\tp\tf\tlanguage:C",)], "line string")
+    tags = normalize_tags(parse_tags(raw), TagConfig.uniform(["c"], order="f"))
+    ticks, out = os.path.join(tmp_dir, "ticks"), os.path.join(tmp_dir, "out")
+    schema = "doc_id long, lang string, source string, text string, tick long, force boolean"
+    batch = [(1, "c", "a.c", "foo", 1, True), (1, "c", "a.c", "bar", 2, False), (2, "c", "b.c", "foo", None, None)]
+    refresh_step(tags, ticks, out)(spark.createDataFrame(batch, schema), 0)
+    assert sorted((r.doc_id, r.name) for r in current_matches(spark, ticks, out).collect()) == [(1, "bar"), (2, "foo")]
+    assert {r.doc_id: r.tick for r in spark.read.parquet(ticks).collect()} == {1: 2, 2: None}
+    from tagweave.streaming.refresh import newest_saves
+
+    got = {r.doc_id: (r.tick, r.force) for r in newest_saves(spark.createDataFrame(batch, schema)).collect()}
+    assert got == {1: (2, True), 2: (None, False)}

@@ -32,3 +32,19 @@ def test_sources_manifest_roots(spark, tmp_dir):
     with open(os.path.join(tmp_dir, "roots.txt"), "w") as f:
         f.write("/p\n\n/p/q\n")
     assert sorted(r.root for r in read_root_list(spark, os.path.join(tmp_dir, "roots.txt")).collect()) == ["/p", "/p/q"]
+
+
+def test_mixed_directory(spark, tmp_dir):
+    import gzip
+
+    for name, data in [("a.txt", b"a\n"), ("b.xz", lzma.compress(b"b1\nb2")), ("c.gz", gzip.compress(b"c\n"))]:
+        with open(os.path.join(tmp_dir, name), "wb") as f:
+            f.write(data)
+    assert sorted(r.line for r in read_index(spark, tmp_dir).collect()) == ["a", "b1", "b2", "c"]
+    assert sorted(r.line for r in read_index(spark, os.path.join(tmp_dir, "*.xz")).collect()) == ["b1", "b2"]
+
+
+def test_text_that_is_not_utf8(spark, tmp_dir):
+    with open(os.path.join(tmp_dir, "l.c"), "wb") as f:
+        f.write("ok é".encode("latin-1"))
+    assert [r.text for r in read_sources(spark, tmp_dir).collect()] == ["ok �"]
