@@ -104,7 +104,7 @@ def chunked(
 class WordHash(dict):
     """``word bytes -> xxh64``, remembered; forgets everything at ``limit`` words."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 

@@ -78,7 +78,7 @@ class TokenIds(dict):
     tokenizer itself.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 800_000):
         import re
 
         import tiktoken

@@ -53,7 +53,7 @@ WINDOW = 50
 ANCHOR_BITS = 48
 SLICE_ITEMS = 1_500_000
 #: Words that a task sorts at a time.
-CHUNK_WORDS = 3_000_000
+CHUNK_WORDS = 1_000_000
 _LAST = np.iinfo(np.int64).max
 
 def _anchor(hashes: np.ndarray) -> np.ndarray:
