@@ -1,4 +1,9 @@
+import os
+import shutil
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -39,3 +44,14 @@ def test_query_matches_oracle(spark, duck, key):
     idx = [dcols.index(c) for c in sorted(cols)]
     want = Counter(tuple(r[i] for i in idx) for r in cur.fetchall())
     assert got == want
+
+
+def test_entry_works_without_the_optional_parts(tmp_path):
+    """The same queries are there when the training-data folder and pipeline are gone."""
+    root = Path(entry.__file__).parent
+    shutil.copytree(root / "tagweave", tmp_path / "tagweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(*sorted(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.split() == [*sorted(QUERIES), str(len(QUERIES))]
