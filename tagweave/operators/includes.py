@@ -42,6 +42,11 @@ def resolve_includes(includes: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
+def sorted_headers(resolved: DataFrame) -> DataFrame:
+    """``(doc_id, headers)``: a document's distinct resolved headers in path order."""
+    return resolved.groupBy("doc_id").agg(F.array_sort(F.collect_set("path")).alias("headers"))
+
+
 def include_closure(
     roots: DataFrame,
     edges: DataFrame,

@@ -528,6 +528,10 @@ resolved AS (
 
 ORACLES["include_resolve"] = _with(INCLUDE_REFS) + "\nSELECT doc_id, path FROM resolved"
 
+ORACLES["headers_sorted"] = (
+    _with(INCLUDE_REFS) + "\nSELECT doc_id, string_agg(path, ',' ORDER BY path) AS headers FROM resolved GROUP BY doc_id"
+)
+
 ORACLES["include_closure"] = """
 WITH RECURSIVE n AS (SELECT count(*) AS c FROM documents),
 edges AS (

@@ -26,7 +26,7 @@ from tagweave.operators.events import (
     route_events,
     tick_gate,
 )
-from tagweave.operators.includes import include_closure, resolve_includes
+from tagweave.operators.includes import include_closure, resolve_includes, sorted_headers
 from tagweave.operators.index import normalize_tags, parse_tags
 from tagweave.operators.lines import extract_includes, line_dump, lines_range, reconcile
 from tagweave.operators.match import first_of_kind, incremental_matches, match_stats, match_tags
@@ -318,6 +318,12 @@ def q_include_resolve(spark, sf):
     return resolve_includes(T.include_refs(spark, sf), T.manifest(spark, sf))
 
 
+@query("headers_sorted")
+def q_headers_sorted(spark, sf):
+    h = sorted_headers(resolve_includes(T.include_refs(spark, sf), T.manifest(spark, sf)))
+    return h.select("doc_id", F.array_join("headers", ",").alias("headers"))
+
+
 @query("include_closure")
 def q_include_closure(spark, sf):
     roots = T.documents(spark, sf, ("doc_id",)).select(F.col("doc_id").alias("root"))

@@ -100,6 +100,16 @@ def buffer_states(edit_stream: DataFrame) -> DataFrame:
     )
 
 
+def seen_files(events: DataFrame, file: str = "filename") -> DataFrame:
+    """Files that were closed at least once (their index is rebuilt when they open again)."""
+    return events.where(F.col("op") == "detach").select(file).distinct()
+
+
+def attached_edits(snapshots: DataFrame, edits: DataFrame) -> DataFrame:
+    """The stream of a buffer's life: each attached snapshot as its first edit, then its edits."""
+    return attach_events(snapshots).unionByName(edits.select("buf", "ctick", "op", "first", "last", "lines"))
+
+
 def publish(out_path: str):
     """``foreachBatch`` sink: write each micro-batch under ``batch_id=<id>``
     with overwrite, so a replayed batch rewrites the same files (idempotent)."""

@@ -1,6 +1,8 @@
 import json
 import os
 
+from pyspark.sql import functions as F
+
 from tagweave.operators.edits import apply_edit, replay_edits, splice
 from tagweave.streaming.edits import EDIT_STREAM_SCHEMA, buffer_states, read_change_stream
 
@@ -92,3 +94,33 @@ def test_result_does_not_depend_on_batch_borders(spark, tmp_dir):
         results.append(max((r.ctick, r.n_lines, r.text) for r in rows))
         assert spark.sql(f"select * from split{trial} where status = 'detached'").count() == 2
     assert len(set(results)) == 1 and results[0][0] == 30
+
+
+def test_attach_edit_detach_stream(spark, tmp_dir):
+    from tagweave.operators.projects import stream_refs
+    from tagweave.streaming.edits import attached_edits, seen_files
+
+    snap, src = os.path.join(tmp_dir, "snap"), os.path.join(tmp_dir, "in")
+    os.makedirs(snap)
+    os.makedirs(src)
+    with open(os.path.join(snap, "0.json"), "w") as f:
+        f.write(json.dumps({"doc_id": 7, "text": "a\nb"}) + "\n")
+    names = [f.name for f in EDIT_STREAM_SCHEMA.fields]
+    with open(os.path.join(src, "0.json"), "w") as f:
+        f.write(json.dumps(dict(zip(names, (7, 1, "lines", 1, 2, ["c"])))) + "\n")
+    stream = attached_edits(
+        spark.readStream.schema("doc_id long, text string").json(snap), read_change_stream(spark, src)
+    )
+    query = (
+        buffer_states(stream).writeStream.format("memory").queryName("attached")
+        .outputMode("update").option("checkpointLocation", os.path.join(tmp_dir, "ck")).start()
+    )
+    query.processAllAvailable()
+    query.stop()
+    assert [r.text for r in spark.sql("select * from attached where status = 'current'").collect()] == ["a\nc"]
+    life = spark.createDataFrame(
+        [("open", "c", "u", "f1"), ("open", "c", "u", "f2"), ("detach", "c", "u", "f1")], "op string, ft string, unit string, filename string"
+    )
+    assert [r.filename for r in seen_files(life).collect()] == ["f1"]
+    closes = life.withColumn("op", F.regexp_replace("op", "detach", "close"))
+    assert [r.refs for r in stream_refs(closes).collect()] == [1]
