@@ -7,11 +7,13 @@ binary value per slice instead of one row per key.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,8 @@ CONF = {
     # need the disk of their largest job and not of all of them.
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # An Arrow batch of documents is bounded in bytes, not only in rows.
+    # An Arrow batch of documents is bounded in rows and in bytes.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
@@ -101,18 +104,33 @@ def chunked(
             yield rows
 
 
+def lean() -> None:
+    """In a Python worker: large arrays go back to the system when they are freed.
+
+    By default the C allocator keeps ever larger blocks for itself, and a worker
+    that is used again holds the peak of every task it has run.  No effect where
+    the C library has no such settings.
+    """
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD: blocks from here on are mapped
+        libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD: free memory that stays at the top
+    except (OSError, AttributeError):
+        pass
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 class WordHash(dict):
-    """``word bytes -> xxh64``, remembered; forgets everything at ``limit`` words."""
+    """``word bytes -> xxh64``; the first ``limit`` words are remembered (frequent ones come early)."""
 
     def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
         value = xxhash.xxh64_intdigest(word)
-        self[word] = value
+        if len(self) < self.limit:
+            self[word] = value
         return value
 
 
@@ -221,12 +239,13 @@ def cut(keys: np.ndarray, slices: int) -> np.ndarray:
     return np.searchsorted(slice_of(keys, slices), np.arange(slices + 1, dtype=np.uint64))
 
 
-ENTRY_SCHEMA = "slice int, hashes binary, owner binary, extra binary, keys binary, ranks binary"
-ENTRY_COLUMNS = ["slice", "hashes", "owner", "extra", "keys", "ranks"]
+ENTRY_SCHEMA = "slice int, hashes binary, owner binary, extra binary, keys binary, ranks binary, batch long"
+ENTRY_COLUMNS = ["slice", "hashes", "owner", "extra", "keys", "ranks", "batch"]
 
 
-def entries(hashes, owner, extra, keys, ranks, slices: int) -> pd.DataFrame:
-    """One row per slice: sorted hashes, their documents (as places in ``keys``) and a number each."""
+def entries(hashes, owner, extra, keys, ranks, slices: int, batch: int = 0) -> pd.DataFrame:
+    """One row per slice: sorted hashes, their documents (as places in ``keys``) and a number
+    each; ``batch`` says which rows were sent together."""
     order = np.argsort(hashes, kind="stable")
     hashes, owner, extra = hashes[order], owner[order], extra[order]
     borders = np.searchsorted(slice_of(hashes, slices), np.arange(slices + 1, dtype=np.uint64))
@@ -242,13 +261,15 @@ def entries(hashes, owner, extra, keys, ranks, slices: int) -> pd.DataFrame:
                 planes(extra[part].astype(np.uint32)),
                 planes(keys[used]),
                 planes(ranks[used]),
+                batch,
             )
         )
     return pd.DataFrame(rows, columns=ENTRY_COLUMNS)
 
 
 def gathered(pdf: pd.DataFrame):
-    """Entries of a slice in hash order: hash, key, rank, number, and the group borders."""
+    """Entries of a slice in hash order: hash, key, rank, number, the group borders and
+    each one's group, and the row of ``pdf`` it came in."""
     hashes, keys, ranks, extra = [], [], [], []
     for h, o, e, k, r in zip(pdf["hashes"], pdf["owner"], pdf["extra"], pdf["keys"], pdf["ranks"]):
         place = unplanes(o, np.uint32)
@@ -263,7 +284,7 @@ def gathered(pdf: pd.DataFrame):
     new[1:] = h[1:] != h[:-1]
     return (
         h, np.concatenate(keys)[order], np.concatenate(ranks)[order], np.concatenate(extra)[order],
-        np.flatnonzero(new), np.cumsum(new) - 1,
+        np.flatnonzero(new), np.cumsum(new) - 1, np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])[order],
     )
 
 

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from tagweave.llm.common import (
     WordHash,
     keyed,
+    lean,
     mix,
     pack_sorted,
     planes,
@@ -67,8 +68,8 @@ SEGMENT_BITS = 1 << 23
 MAX_FREQUENT = 1 << 20
 SLICE_ITEMS = 1_500_000
 #: Tokens that a task adds up, and tokens that it scores, at a time.
-COUNT_TOKENS = 4_000_000
-SCORE_TOKENS = 1_000_000
+COUNT_TOKENS = 800_000
+SCORE_TOKENS = 500_000
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _BEGIN = np.uint64(0x14057B7EF767814F)
@@ -88,10 +89,10 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 
 def value_of(levels: np.ndarray) -> np.ndarray:
     """Mean of the whole counts of each level (0 for level 0)."""
-    j = np.asarray(levels, dtype=np.float64)
+    j = np.arange(int(np.max(levels, initial=0)) + 1, dtype=np.float64)
     low = np.ceil(BASE ** (j - 1) - 1e-9)
     high = np.maximum(low, np.ceil(BASE**j - 1e-9) - 1)
-    return np.where(j > 0, (low + high) / 2, 0.0)
+    return np.where(j > 0, (low + high) / 2, 0.0)[levels]
 
 
 def _kind(keys: np.ndarray, kind: np.uint64) -> np.ndarray:
@@ -184,7 +185,8 @@ _COUNT_SCHEMA = "slice int, kind int, first binary, second binary, counts binary
 
 
 def _count(slices: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
         cache = WordHash()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -217,7 +219,7 @@ def _count(slices: int):
 
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for at, end in _text_groups(texts, 8 << 20):
+            for at, end in _text_groups(texts, 4 << 20):
                 tokens, before, _ = _tokens(texts[at:end], cache)
                 held.append((tokens, before))
                 size += len(tokens)
@@ -232,6 +234,7 @@ def _count(slices: int):
 
 def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     """Counts of one slice: ``words`` (hash, count) and the keys of the filter (key, count, kind)."""
+    lean()
     words = pdf[pdf["kind"] == 1]
     x = np.concatenate([unpack_sorted(f) for f in words["first"]] or [np.empty(0, np.uint64)])
     n = np.concatenate([unplanes(c, np.uint64) for c in words["counts"]] or [np.empty(0, np.uint64)])
@@ -370,6 +373,7 @@ def train(rows: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, max_frequen
                     )
 
     def set_bits(pdf: pd.DataFrame) -> pd.DataFrame:
+        lean()
         bits = np.zeros(SEGMENT_BITS, dtype=bool)
         for keys, low, high in zip(pdf["keys"], pdf["low"], pdf["high"]):
             key = np.frombuffer(keys, np.uint64)
@@ -433,6 +437,7 @@ def _score(shared, first_word: int, first_pair: int, tokens_seen: int, distinct:
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         bits, frequent, frequent_counts = shared.value
         held, cache = Filter(bits), WordHash()
         for batch in batches:
@@ -466,9 +471,9 @@ def _score(shared, first_word: int, first_pair: int, tokens_seen: int, distinct:
                 p = np.minimum(1.0, np.where(share < 1, direct, 0.0) + share * unigram[place])
                 rare = ~known[place]
                 word, owner = tokens[rare], docs[rare]
-                pair, times = np.unique(np.rec.fromarrays([owner, word.view(np.int64)]), return_counts=True)
-                cuts = np.searchsorted(pair["f0"], np.arange(1, len(sizes)))
+                owner, word, times = _summed(owner, word, np.ones(len(word), np.int64))
                 n = len(sizes)
+                cuts = np.searchsorted(owner, np.arange(1, n))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, end - at),
@@ -476,8 +481,8 @@ def _score(shared, first_word: int, first_pair: int, tokens_seen: int, distinct:
                         pa.array(np.bincount(docs, known[place], n).astype(np.int64)),
                         pa.array(np.bincount(docs, base[place], n)),
                         pa.array(np.bincount(docs, np.log10(p), n)),
-                        pa.array(np.split(pair["f1"], cuts), pa.list_(pa.int64())),
-                        pa.array(np.split(times.astype(np.int64), cuts), pa.list_(pa.int64())),
+                        pa.array(np.split(word.view(np.int64), cuts), pa.list_(pa.int64())),
+                        pa.array(np.split(times, cuts), pa.list_(pa.int64())),
                     ],
                     schema=schema,
                 )
