@@ -70,7 +70,7 @@ _END = b"\xff"  # stands for the word-end mark; no UTF-8 text has this byte
 
 
 class TokenIds(dict):
-    """``word bytes -> its ids as little-endian uint32 bytes``, remembered.
+    """``word bytes -> its ids as little-endian uint32 bytes``; the first ``limit`` are remembered.
 
     White space always separates tokens here, so a text's ids are those of its
     words.  Plain words go through byte-pair merging by rank of the same
@@ -103,8 +103,6 @@ class TokenIds(dict):
         self.plain = re.compile(_PLAIN).fullmatch
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
         text = word.decode()
         if self.plain(text) and "<|" not in text:
             ids = []
@@ -113,7 +111,8 @@ class TokenIds(dict):
         else:
             ids = self.whole.encode(text, add_special_tokens=False).ids
         value = np.array(ids, "<u4").tobytes()
-        self[word] = value
+        if len(self) < self.limit:
+            self[word] = value
         return value
 
     def ids(self, text: str) -> bytes:
