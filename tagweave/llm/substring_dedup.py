@@ -31,6 +31,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +41,13 @@ from tagweave.llm.common import (
     entries,
     gathered,
     keyed,
+    lean,
+    planes,
     rolling,
     run_starts,
     slices_for,
     total_bytes,
+    unplanes,
     windows,
     word_arrays,
 )
@@ -64,6 +68,7 @@ def _probe(block: int, slices: int):
     """Every rolling block of the texts; ``extra`` is 1 for reference blocks."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
         cache = WordHash()
         held, size = [], 0
 
@@ -94,7 +99,8 @@ def _probe(block: int, slices: int):
 
 def _hits(pdf: pd.DataFrame) -> pd.DataFrame:
     """Anchors of one slice: blocks hit from a larger id, and windows that hit a smaller one."""
-    h, key, rank, aligned, starts, group = gathered(pdf)
+    lean()
+    h, key, rank, aligned, starts, group, _ = gathered(pdf)
     aligned = aligned > 0
     least = np.minimum.reduceat(np.where(aligned, rank, _LAST), starts)[group]
     most = np.maximum.reduceat(rank, starts)[group]
@@ -113,8 +119,10 @@ def _extend(window: int, block: int, slices: int):
     """Hashes of all passages around the hits of each text; ``extra`` is the passage's start."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
         cache = WordHash()
-        for pdf in batches:
+        for number, pdf in enumerate(batches):
+            batch = (TaskContext.get().partitionId() << 32) + number
             found, owner, start = [], [], []
             for place, (text, probes, blocks) in enumerate(zip(pdf["text"], pdf["probes"], pdf["blocks"])):
                 hashes, _ = word_arrays([text], cache)
@@ -135,21 +143,38 @@ def _extend(window: int, block: int, slices: int):
             if found:
                 yield entries(
                     np.concatenate(found), np.concatenate(owner), np.concatenate(start),
-                    pdf["key"].to_numpy(np.int64), pdf["rank"].to_numpy(np.int64), slices,
+                    pdf["key"].to_numpy(np.int64), pdf["rank"].to_numpy(np.int64), slices, batch,
                 )
 
     return run
 
 
 def _covered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one slice: starts of passages that also start under a smaller id, by document."""
-    _, key, rank, start, starts, group = gathered(pdf)
-    late = rank > np.minimum.reduceat(rank, starts)[group]
-    key, start = key[late], start[late]
+    """Of one slice: passages that also start under a smaller id, one row per batch they came in."""
+    lean()
+    _, key, rank, start, starts, group, source = gathered(pdf)
+    late = np.flatnonzero(rank > np.minimum.reduceat(rank, starts)[group])
+    batch = pdf["batch"].to_numpy()[source[late]]
+    order = np.argsort(batch, kind="stable")
+    late, batch = late[order], batch[order]
+    numbers, at = np.unique(batch, return_index=True)
+    parts = np.split(late, at[1:]) if len(numbers) else []
+    return pd.DataFrame(
+        {
+            "batch": numbers,
+            "keys": [planes(key[p]) for p in parts],
+            "starts": [planes(start[p]) for p in parts],
+        }
+    )
+
+
+def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The covered starts of one batch, one row per document."""
+    key = np.concatenate([unplanes(k, np.int64) for k in pdf["keys"]])
+    start = np.concatenate([unplanes(s, np.uint32) for s in pdf["starts"]]).astype(np.int64)
     order = np.argsort(key, kind="stable")
-    key, start = key[order], start[order].astype(np.int64)
-    keys, at = np.unique(key, return_index=True)
-    return pd.DataFrame({"key": keys, "starts": [x.tobytes() for x in np.split(start, at[1:])] if len(keys) else []})
+    keys, at = np.unique(key[order], return_index=True)
+    return pd.DataFrame({"key": keys, "starts": [x.tobytes() for x in np.split(start[order], at[1:])]})
 
 
 def _cut(window: int):
@@ -201,7 +226,9 @@ def drop_repeated_passages(
         .select("key", "rank", "text", "probes", "blocks")
         .mapInPandas(_extend(window, block, slices), ENTRY_SCHEMA)
         .groupBy("slice")
-        .applyInPandas(_covered, "key long, starts binary")
+        .applyInPandas(_covered, "batch long, keys binary, starts binary")
+        .groupBy("batch")
+        .applyInPandas(_by_document, "key long, starts binary")
         .checkpoint()
     )
     by_doc = covered.groupBy("key").agg(F.collect_list("starts").alias("starts"))
