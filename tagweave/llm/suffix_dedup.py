@@ -8,7 +8,7 @@ hold all strings of one minimizer occurrence.  Equal chunks are one chunk
 with a count.
 
 Each shard joins its distinct chunks and builds their suffix array by
-Larsson-Sadakane refinement (sort by eight bytes, then refine only groups that
+Larsson-Sadakane refinement (sort by five bytes, then refine only groups that
 are not yet told apart by doubling ranks) and the common prefixes of
 neighbours by Kasai's bound.  A run of neighbours that share ``LENGTH`` bytes
 is one string; with two or more starts in it, all of them are repeated.
@@ -43,6 +43,7 @@ from tagweave.llm.common import (
     entries,
     gathered,
     keyed,
+    lean,
     mix,
     rolling,
     run_starts,
@@ -59,10 +60,12 @@ LENGTH = 200
 #: Bytes of a minimizer gram, as a share of the length.
 GRAM_SHARE = 0.24
 #: Occurrences of a minimizer that stay in one shard, and chunks per shard.
-SPLIT = 4096
-SHARD_CHUNKS = 8192
+SPLIT = 2048
+SHARD_CHUNKS = 4096
+#: Minimizers that one task counts together.
+GRAM_SLICE = 300_000
 #: Bytes whose minimizers a task looks for at a time; places in them take 24 bits.
-PIECE = 4 << 20
+PIECE = 1 << 18
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -120,6 +123,7 @@ def _groups(texts: Iterable[str], length: int) -> Iterator[tuple[list[bytes], li
 
 def _occurrences(length: int, gram: int, slices: int):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
         for pdf in batches:
             keys = pdf["key"].to_numpy(np.int64)
             found, owners = [], []
@@ -136,7 +140,8 @@ def _occurrences(length: int, gram: int, slices: int):
 
 def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     """Minimizers that occur twice or more: each document's, with the number of occurrences."""
-    h, key, _, _, starts, group = gathered(pdf)
+    lean()
+    h, key, _, _, starts, group, _ = gathered(pdf)
     times = np.diff(np.append(starts, len(h)))[group]
     often = times > 1
     return pd.DataFrame(
@@ -154,6 +159,7 @@ def _chunks(length: int, gram: int, shards: int):
     """Chunks around repeated minimizers; a chunk's bytes are sent once by each task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         sent: set[bytes] = set()
         for batch in batches:
             for row in range(batch.num_rows):
@@ -200,6 +206,17 @@ def _words(text: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sorted_places(code: np.ndarray, bits: int) -> np.ndarray:
+    """Places of ``code`` (below ``2**bits``) in ascending order.  If code and place fit in
+    one 64-bit word, plain words are sorted, which is several times faster."""
+    own = max(1, (len(code) - 1).bit_length())
+    if bits + own > 64:
+        return np.argsort(code, kind="stable")
+    word = (code.astype(np.uint64) << np.uint64(own)) | np.arange(len(code), dtype=np.uint64)
+    word.sort()
+    return (word & np.uint64((1 << own) - 1)).astype(np.int64)
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of ``text`` (uint8) in the order of their first ``depth`` bytes or more.
 
@@ -208,22 +225,23 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     ``h`` doubles.
     """
     n = len(text)
-    first = _words(text)
-    order = np.argsort(first, kind="stable")
+    h = 5
+    first = _words(text) >> np.uint64(64 - 8 * h)
+    order = _sorted_places(first, 8 * h)
     sorted_ = first[order]
     new = np.ones(n, dtype=bool)
     new[1:] = sorted_[1:] != sorted_[:-1]
     slots = np.flatnonzero(new)
+    size = np.diff(np.append(slots, n))
     rank = np.empty(n + 1, np.int64)
-    rank[order] = np.repeat(slots, np.diff(np.append(slots, n)))
+    rank[order] = np.repeat(slots, size)
     rank[n] = -1
-    size = np.diff(np.append(slots, n))
     open_ = np.flatnonzero(np.repeat(size > 1, size))  # slots in groups of two or more
-    h = 8
+    bits = ((n + 2) * (n + 2)).bit_length()
     while h < depth and len(open_):
         at = order[open_]
         code = rank[at] * (n + 2) + rank[np.minimum(at + h, n)] + 1
-        by = np.argsort(code, kind="stable")
+        by = _sorted_places(code, bits)
         at, code = at[by], code[by]
         order[open_] = at
         new = np.ones(len(at), dtype=bool)
@@ -285,6 +303,7 @@ def _shard(length: int, slices: int):
     columns = ["digest", "flags", "hashes", "owner", "extra", "keys", "ranks", "slice"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lean()
         pdf = pdf.drop_duplicates("digest")
         chunks = pdf["chunk"].tolist()
         size = np.array([len(c) for c in chunks], dtype=np.int64)
@@ -406,7 +425,7 @@ def drop_repeated_strings(
     gram = max(1, int(length * GRAM_SHARE))
     rows = keyed(docs, id_col, text_col)
     size = total_bytes(rows)
-    slices = slices_for(size * 2 // (length - gram + 1))
+    slices = slices_for(size * 2 // (length - gram + 1), GRAM_SLICE)
     grams = (
         rows.select("key", "text")
         .mapInPandas(_occurrences(length, gram, slices), ENTRY_SCHEMA)
