@@ -5,7 +5,8 @@ add-0.1 unigrams.  Its counts are held in one Bloom filter: a count becomes a
 level on a logarithmic scale, and a key is inserted once for each level up to
 its own, so the level is read back by probing level after level until one is
 absent.  The filter holds three kinds of keys: word counts, bigram counts
-(from two occurrences on) and each context's backed-off mass.
+(from one occurrence on) and each context's number of distinct followers, of
+which every one gives ``DISCOUNT`` to the mass that backs off.
 
 Counting covers every training token.  Tasks sum what they read into sorted
 arrays of hashes and send one binary value per slice of the hash space, so a
@@ -14,7 +15,7 @@ one task.  Slices have about ``SLICE_ITEMS`` entries, their number grows with
 the input.
 
 The filter is broadcast, so its size has a bound, ``MAX_FILTER_BYTES``.
-Within it, all word counts, and all bigrams seen twice or more, are held; the
+Within it, all word counts and all bigrams are held; the
 smallest count that is held rises only when the histogram of all counts says
 that the filter would not fit (then rarer words score like unknown ones).
 
@@ -244,18 +245,11 @@ def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     b = np.concatenate([unplanes(s, np.uint64) for s in pairs["second"]] or [np.empty(0, np.uint64)])
     c = np.concatenate([unplanes(c, np.uint64) for c in pairs["counts"]] or [np.empty(0, np.uint64)])
     a, b, c = _summed(a, b, c.astype(np.int64))
-    often = c >= 2
     new = np.ones(len(a), dtype=bool)
     new[1:] = a[1:] != a[:-1]
     starts = np.flatnonzero(new)
-    if len(starts):
-        kept = np.add.reduceat(np.where(often, c - DISCOUNT, 0.0), starts)
-        mass = np.add.reduceat(c, starts) - kept
-        heads, mass = a[starts][kept > 0], mass[kept > 0]
-    else:
-        heads, mass = a, c.astype(np.float64)
-    keys = [_kind(x, _WORD), _kind(mix(a[often], b[often]), _PAIR), _kind(heads, _MASS)]
-    counts = [n, c[often], np.maximum(1, np.rint(mass)).astype(np.int64)]
+    keys = [_kind(x, _WORD), _kind(mix(a, b), _PAIR), _kind(a[starts], _MASS)]
+    counts = [n, c, np.diff(np.append(starts, len(a)))]
     kinds = [np.full(len(k), i + 1, np.int8) for i, k in enumerate(keys)]
     known = x != _BEGIN
     return pd.DataFrame(
@@ -342,7 +336,10 @@ def train(rows: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, max_frequen
     tokens, distinct = histogram.pop(-1, 0), histogram.pop(-2, 0)
     by_count = {code: n for code, n in histogram.items() if code < 1000}
     filter_counts = {code: n for code, n in histogram.items() if code >= 1000}
-    first_word, first_pair = _first_levels(filter_counts, max_filter_bytes * 8 // BITS_PER_ITEM)
+    max_items = max_filter_bytes * 8 // BITS_PER_ITEM
+    first_word, first_pair = 1, 1
+    if sum(n * (code % 1000) for code, n in filter_counts.items()) > max_items:
+        first_word, first_pair = _first_levels(filter_counts, max_items)
 
     def held(code: int, n: int) -> int:
         first = {1: first_word, 2: first_pair, 3: 1}[code // 1000]
@@ -458,7 +455,7 @@ def _score(shared, first_word: int, first_pair: int, tokens_seen: int, distinct:
                 base = np.log10((exact + ADD) / scale)
                 # the model: quantised counts from the filter
                 count = value_of(held.levels(_kind(vocabulary, _WORD), first_word))
-                mass = value_of(held.levels(_kind(vocabulary, _MASS)))
+                mass = DISCOUNT * value_of(held.levels(_kind(vocabulary, _MASS)))
                 unigram = (count + ADD) / scale
                 pairs = value_of(
                     held.levels(_kind(mix(before, tokens >> _NEXT_BITS), _PAIR), first_pair)

@@ -171,6 +171,46 @@ def test_filter_bound_raises_the_cutoff():
     assert open_ == (1, int(lm.level_of(np.array([2]))[0])) and tight[1] > open_[1]
 
 
+def brute_scores(texts, train):
+    """Scores of the discounted bigram model with counts rounded to their levels, without a filter."""
+    pairs, words = Counter(), Counter()
+    for text in train:
+        tokens = lm_tokens(text)
+        pairs.update(zip(["<", *tokens], tokens))
+        words.update([*tokens, "<"])
+    followers = Counter(a for a, _ in pairs)
+    scale = sum(words.values()) - words["<"] + 0.1 * len(words.keys() - {"<"}) + 0.1
+    value = lambda c: float(lm.value_of(lm.level_of(np.array([c])))[0])
+    out = []
+    for text in texts:
+        tokens, score = lm_tokens(text), 0.0
+        for a, b in zip(["<", *tokens], tokens):
+            p = (value(words[b]) + 0.1) / scale
+            if words[a]:
+                seen = max(value(pairs[a, b]) - lm.DISCOUNT, 0)
+                p = min(1.0, (seen + lm.DISCOUNT * value(followers[a]) * p) / value(words[a]))
+            score += math.log10(p)
+        out.append(score)
+    return out
+
+
+def lm_case():
+    rng = random.Random(11)
+    rows = [(k, prose(rng, rng.randint(0, 60), "abcd"), 1, 1.0) for k in range(120)]
+    rows += [(200, "only once", 1, 1.0), (201, None, 1, 1.0), (200, "only once more", 1, 1.0)]
+    train = [r[1] for r in rows if zlib.crc32(str(r[0]).encode()) % 10]
+    return rows, train
+
+
+def test_single_pairs_are_held(spark):
+    """Pairs seen once give their 0.25, and their contexts back off by the rest."""
+    rows, train = lm_case()
+    got = sorted((r.doc_id, r.score) for r in lm.lm_scores(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())
+    want = sorted(zip([r[0] for r in rows], brute_scores([r[1] for r in rows], train)))
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-6)
+
+
 def test_lm_empty_and_untrained(spark):
     assert lm.lm_scores(spark.createDataFrame([], SCHEMA)).count() == 0
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
