@@ -11,8 +11,10 @@ which every one gives ``DISCOUNT`` to the mass that backs off.
 Counting covers every training token.  Tasks sum what they read into sorted
 arrays of hashes and send one binary value per slice of the hash space, so a
 frequent word or pair is one entry per task; each slice is then added up by
-one task.  Slices have about ``SLICE_ITEMS`` entries, their number grows with
-the input.
+one task.  A pair's slice is that of both its words, so the followers of one
+word are spread over all slices; their numbers per context are added up after
+that, in slices by the context.  Slices have about ``SLICE_ITEMS`` entries,
+their number grows with the input.
 
 The filter is broadcast, so its size has a bound, ``MAX_FILTER_BYTES``.
 Within it, all word counts and all bigrams are held; the
@@ -42,6 +44,7 @@ from pyspark.sql import functions as F
 
 from tagweave.llm.common import (
     WordHash,
+    cut,
     keyed,
     lean,
     mix,
@@ -203,8 +206,12 @@ def _count(slices: int):
             order = np.argsort(words)
             words, n = words[order], n[order]
             a, b, c = _summed(before, tokens >> _NEXT_BITS, np.ones(len(tokens), np.int64))
-            for kind, x, y, z in ((1, words, None, n), (2, a, b, c)):
-                borders = np.searchsorted(slice_of(x, slices), np.arange(slices + 1, dtype=np.uint64))
+            # a pair's slice is that of both its words: the followers of a frequent word are spread
+            own = slice_of(mix(a, b), slices)
+            order = np.argsort(own, kind="stable")
+            a, b, c, own = a[order], b[order], c[order], own[order]
+            for kind, x, y, z, part in ((1, words, None, n, slice_of(words, slices)), (2, a, b, c, own)):
+                borders = np.searchsorted(part, np.arange(slices + 1, dtype=np.uint64))
                 for s in np.flatnonzero(np.diff(borders)):
                     low, high = borders[s], borders[s + 1]
                     rows.append(
@@ -234,7 +241,8 @@ def _count(slices: int):
 
 
 def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Counts of one slice: ``words`` (hash, count) and the keys of the filter (key, count, kind)."""
+    """Counts of one slice: ``words`` (hash, count), the keys of the filter (key, count, kind) and
+    the slice's own contexts (``heads``) with their followers there."""
     lean()
     words = pdf[pdf["kind"] == 1]
     x = np.concatenate([unpack_sorted(f) for f in words["first"]] or [np.empty(0, np.uint64)])
@@ -248,8 +256,8 @@ def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     new = np.ones(len(a), dtype=bool)
     new[1:] = a[1:] != a[:-1]
     starts = np.flatnonzero(new)
-    keys = [_kind(x, _WORD), _kind(mix(a, b), _PAIR), _kind(a[starts], _MASS)]
-    counts = [n, c, np.diff(np.append(starts, len(a)))]
+    keys = [_kind(x, _WORD), _kind(mix(a, b), _PAIR)]
+    counts = [n, c]
     kinds = [np.full(len(k), i + 1, np.int8) for i, k in enumerate(keys)]
     known = x != _BEGIN
     return pd.DataFrame(
@@ -260,11 +268,52 @@ def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
             "keys": [np.concatenate(keys).tobytes()],
             "counts": [np.concatenate(counts).astype(np.int64).tobytes()],
             "kinds": [np.concatenate(kinds).tobytes()],
+            "heads": [pack_sorted(a[starts])],
+            "followers": [planes(np.diff(np.append(starts, len(a))).astype(np.uint32))],
         }
     )
 
 
-_SLICE_SCHEMA = "slice int, words binary, word_counts binary, keys binary, counts binary, kinds binary"
+_KEY_SCHEMA = "slice int, words binary, word_counts binary, keys binary, counts binary, kinds binary"
+_SLICE_SCHEMA = f"{_KEY_SCHEMA}, heads binary, followers binary"
+
+
+def _deal_heads(slices: int):
+    """Contexts of pair slices to slices by their own hash."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for heads, followers in zip(pdf["heads"], pdf["followers"]):
+                x, n = unpack_sorted(heads), unplanes(followers, np.uint32)
+                borders = cut(x, slices)
+                own = np.flatnonzero(np.diff(borders))
+                yield pd.DataFrame(
+                    {
+                        "slice": own.astype(np.int32),
+                        "heads": [pack_sorted(x[borders[s] : borders[s + 1]]) for s in own],
+                        "followers": [planes(n[borders[s] : borders[s + 1]]) for s in own],
+                    }
+                )
+
+    return run
+
+
+def _add_heads(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Keys of the contexts of one slice with their numbers of followers."""
+    lean()
+    x = np.concatenate([unpack_sorted(h) for h in pdf["heads"]])
+    n = np.concatenate([unplanes(f, np.uint32) for f in pdf["followers"]]).astype(np.int64)
+    x, _, n = _summed(x, np.zeros_like(x), n)
+    return pd.DataFrame(
+        {
+            "slice": pdf["slice"].iloc[:1].to_numpy(),
+            "words": [b""],
+            "word_counts": [b""],
+            "keys": [_kind(x, _MASS).tobytes()],
+            "counts": [n.tobytes()],
+            "kinds": [np.full(len(x), 3, np.int8).tobytes()],
+        }
+    )
 
 
 @dataclass
@@ -321,7 +370,7 @@ def train(rows: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, max_frequen
     """Counts of ``rows (text)`` as a model."""
     spark = prepare(rows.sparkSession)
     slices = max(12, total_bytes(rows) // 6 // SLICE_ITEMS)
-    summed = (
+    added = (
         rows.select("text")
         .mapInPandas(_count(slices), _COUNT_SCHEMA)
         .repartition(slices, "slice")
@@ -329,6 +378,15 @@ def train(rows: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, max_frequen
         .applyInPandas(_add_up, _SLICE_SCHEMA)
         .checkpoint()
     )
+    heads = (
+        added.select("heads", "followers")
+        .mapInPandas(_deal_heads(slices), "slice int, heads binary, followers binary")
+        .repartition(slices, "slice")
+        .groupBy("slice")
+        .applyInPandas(_add_heads, _KEY_SCHEMA)
+        .checkpoint()
+    )
+    summed = added.drop("heads", "followers").unionByName(heads)
     histogram = {
         r["code"]: r["n"]
         for r in summed.mapInPandas(_histogram, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()

@@ -211,6 +211,22 @@ def test_single_pairs_are_held(spark):
     assert np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-6)
 
 
+def test_followers_of_one_word_are_spread():
+    """Entries of a word with 40,000 followers go to all slices evenly."""
+    import pandas as pd
+
+    text = " ".join(f"the w{k}" for k in range(40_000))
+    sent = pd.concat(lm._count(8)([pd.DataFrame({"text": [text]})]))
+    pairs = sent[sent["kind"] == 2]
+    sizes = [len(c) // 8 for c in pairs["counts"]]
+    assert sum(sizes) == 80_001 and len(sizes) == 8 and max(sizes) < 1.1 * sum(sizes) / 8
+    added = pd.concat(lm._add_up(part) for _, part in sent.groupby("slice"))
+    heads = pd.concat(lm._deal_heads(8)([added]))
+    summed = pd.concat(lm._add_heads(part) for _, part in heads.groupby("slice"))
+    counts = np.concatenate([np.frombuffer(c, np.int64) for c in summed["counts"]])
+    assert sorted(counts.tolist())[-2:] == [1, 40_000] and counts.sum() == 80_001
+
+
 def test_lm_empty_and_untrained(spark):
     assert lm.lm_scores(spark.createDataFrame([], SCHEMA)).count() == 0
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
