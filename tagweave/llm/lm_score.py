@@ -16,10 +16,12 @@ word are spread over all slices; their numbers per context are added up after
 that, in slices by the context.  Slices have about ``SLICE_ITEMS`` entries,
 their number grows with the input.
 
-The filter is broadcast, so its size has a bound, ``MAX_FILTER_BYTES``.
-Within it, all word counts and all bigrams are held; the
-smallest count that is held rises only when the histogram of all counts says
-that the filter would not fit (then rarer words score like unknown ones).
+The filter is a table of segments of 1 MB whose number grows with the input;
+every count of words, bigrams and followers is held at any size.  Up to
+``MAX_FILTER_BYTES`` it is broadcast.  A larger one stays a table: texts are
+cut into batches, each batch sends the distinct keys it asks for to their
+segments and gets the levels back, which gives the same scores.  Tasks then
+hold one segment or one batch at a time.
 
 Base scores are exact.  The counts of the most frequent words (at most
 ``MAX_FREQUENT``) are broadcast; every other word of a text is joined with its
@@ -39,6 +41,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +55,7 @@ from tagweave.llm.common import (
     planes,
     prepare,
     slice_of,
+    stage,
     total_bytes,
     unpack_sorted,
     unplanes,
@@ -67,6 +71,7 @@ BASE = 1.5
 #: Filter bits for each inserted (key, level), and hash functions.
 BITS_PER_ITEM = 10
 PROBES = 7
+#: Largest filter that is broadcast; a larger one is asked segment by segment.
 MAX_FILTER_BYTES = 128 << 20
 SEGMENT_BITS = 1 << 23
 MAX_FREQUENT = 1 << 20
@@ -103,10 +108,21 @@ def _kind(keys: np.ndarray, kind: np.uint64) -> np.ndarray:
     return mix(keys, kind)
 
 
+def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
+    return slice_of(keys * np.uint64(0xD6E8FEB86659FD93), segments)
+
+
+def _by_segment(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys by their segment, and the segments' borders in it."""
+    segment = _segment(keys, segments)
+    order = np.argsort(segment, kind="stable")
+    return order, np.searchsorted(segment[order], np.arange(segments + 1, dtype=np.uint64))
+
+
 def _spots(keys: np.ndarray, level: int | np.ndarray, segments: int):
     """Segment, first position and stride of the probes of (key, level)."""
     h = mix(keys, np.asarray(level, dtype=np.uint64))
-    segment = slice_of(keys * np.uint64(0xD6E8FEB86659FD93), segments)
+    segment = _segment(keys, segments)
     at = h & np.uint64(SEGMENT_BITS - 1)
     stride = ((h >> np.uint64(40)) | np.uint64(1)) & np.uint64(SEGMENT_BITS - 1)
     return segment, at, stride
@@ -318,11 +334,11 @@ def _add_heads(pdf: pd.DataFrame) -> pd.DataFrame:
 
 @dataclass
 class Model:
-    """What scoring needs, all of bounded size but ``words``, a table (hash, count)."""
+    """What scoring needs: the filter as a table (segment, bits), the frequent words, of bounded
+    number, and a table (hash, count) of all others."""
 
-    bits: np.ndarray
-    first_word: int
-    first_pair: int
+    segments: int
+    bits: DataFrame
     tokens: int
     distinct: int
     frequent: np.ndarray
@@ -344,7 +360,10 @@ def _histogram(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _first_levels(histogram: dict[int, int], max_items: int) -> tuple[int, int]:
-    """Smallest held level of words and of pairs so that at most ``max_items`` are inserted."""
+    """Smallest held level of words and of pairs so that at most ``max_items`` are inserted.
+
+    For a filter of fixed size only: ``train`` holds all levels and does not use it.
+    """
 
     def items(first_word: int, first_pair: int) -> int:
         total = 0
@@ -366,7 +385,7 @@ def _first_levels(histogram: dict[int, int], max_items: int) -> tuple[int, int]:
     return first_word, first_pair
 
 
-def train(rows: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, max_frequent: int = MAX_FREQUENT) -> Model:
+def train(rows: DataFrame, max_frequent: int = MAX_FREQUENT) -> Model:
     """Counts of ``rows (text)`` as a model."""
     spark = prepare(rows.sparkSession)
     slices = max(12, total_bytes(rows) // 6 // SLICE_ITEMS)
@@ -393,49 +412,33 @@ def train(rows: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, max_frequen
     }
     tokens, distinct = histogram.pop(-1, 0), histogram.pop(-2, 0)
     by_count = {code: n for code, n in histogram.items() if code < 1000}
-    filter_counts = {code: n for code, n in histogram.items() if code >= 1000}
-    max_items = max_filter_bytes * 8 // BITS_PER_ITEM
-    first_word, first_pair = 1, 1
-    if sum(n * (code % 1000) for code, n in filter_counts.items()) > max_items:
-        first_word, first_pair = _first_levels(filter_counts, max_items)
-
-    def held(code: int, n: int) -> int:
-        first = {1: first_word, 2: first_pair, 3: 1}[code // 1000]
-        return n * max(0, code % 1000 - first + 1)
-
-    items = sum(held(code, n) for code, n in filter_counts.items())
+    items = sum(n * (code % 1000) for code, n in histogram.items() if code >= 1000)
     segments = max(1, -(-items * BITS_PER_ITEM // SEGMENT_BITS))
 
     def inserts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for keys, counts, kinds in zip(pdf["keys"], pdf["counts"], pdf["kinds"]):
-                key, kind = np.frombuffer(keys, np.uint64), np.frombuffer(kinds, np.int8).astype(np.int64)
-                level = level_of(np.frombuffer(counts, np.int64))
-                first = np.array([0, first_word, first_pair, 1])[kind]
-                segment = slice_of(key * np.uint64(0xD6E8FEB86659FD93), segments).astype(np.int64)
-                order = np.argsort(segment, kind="stable")
-                borders = np.searchsorted(segment[order], np.arange(segments + 1))
-                for s in np.flatnonzero(np.diff(borders)):
-                    own = order[borders[s] : borders[s + 1]]
-                    own = own[level[own] >= first[own]]
-                    yield pd.DataFrame(
-                        {
-                            "segment": [int(s)],
-                            "keys": [key[own].tobytes()],
-                            "low": [first[own].astype(np.int16).tobytes()],
-                            "high": [level[own].astype(np.int16).tobytes()],
-                        }
-                    )
+            for keys, counts in zip(pdf["keys"], pdf["counts"]):
+                key = np.frombuffer(keys, np.uint64)
+                level = level_of(np.frombuffer(counts, np.int64)).astype(np.uint8)
+                order, borders = _by_segment(key, segments)
+                key, level = key[order], level[order]
+                own = np.flatnonzero(np.diff(borders))
+                yield pd.DataFrame(
+                    {
+                        "segment": own.astype(np.int32),
+                        "keys": [key[borders[s] : borders[s + 1]].tobytes() for s in own],
+                        "levels": [level[borders[s] : borders[s + 1]].tobytes() for s in own],
+                    }
+                )
 
     def set_bits(pdf: pd.DataFrame) -> pd.DataFrame:
         lean()
         bits = np.zeros(SEGMENT_BITS, dtype=bool)
-        for keys, low, high in zip(pdf["keys"], pdf["low"], pdf["high"]):
+        for keys, levels in zip(pdf["keys"], pdf["levels"]):
             key = np.frombuffer(keys, np.uint64)
-            low, high = np.frombuffer(low, np.int16), np.frombuffer(high, np.int16)
-            times = (high - low + 1).astype(np.int64)
+            times = np.frombuffer(levels, np.uint8).astype(np.int64)
             each = np.repeat(np.arange(len(key)), times)
-            level = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times) + low[each]
+            level = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times) + 1
             _, at, stride = _spots(key[each], level, 1)
             for _ in range(PROBES):
                 bits[at.astype(np.int64)] = True
@@ -444,17 +447,13 @@ def train(rows: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, max_frequen
             {"segment": pdf["segment"].iloc[:1].to_numpy(), "bits": [np.packbits(bits, bitorder="little").tobytes()]}
         )
 
-    made = (
-        summed.mapInPandas(inserts, "segment int, keys binary, low binary, high binary")
+    bits = (
+        summed.select("keys", "counts")
+        .mapInPandas(inserts, "segment int, keys binary, levels binary")
         .repartition(segments, "segment")
         .groupBy("segment")
         .applyInPandas(set_bits, "segment int, bits binary")
-        .collect()
     )
-    bits = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
-    for r in made:
-        at = r["segment"] * (SEGMENT_BITS // 8)
-        bits[at : at + SEGMENT_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
 
     least, so_far = max(by_count, default=0) + 1, 0
     while by_count.get(least - 1, 0) + so_far <= max_frequent and least > 1:
@@ -471,25 +470,88 @@ def train(rows: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, max_frequen
 
         return run
 
-    top = summed.mapInPandas(part(True), "word long, n long").toPandas()
+    counted = added.select("words", "word_counts")
+    top = counted.mapInPandas(part(True), "word long, n long").toPandas()
     words = top["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
     return Model(
-        bits, first_word, first_pair, tokens, distinct, words[order], top["n"].to_numpy(np.int64)[order],
-        summed.mapInPandas(part(False), "word long, n long"),
+        segments, bits, tokens, distinct, words[order], top["n"].to_numpy(np.int64)[order],
+        counted.mapInPandas(part(False), "word long, n long"),
     )
 
 
 # --- scoring --------------------------------------------------------------------
 
 
-def _score(shared, first_word: int, first_pair: int, tokens_seen: int, distinct: int):
-    scale = tokens_seen + ADD * (distinct + 1)
-    unknown = np.log10(ADD / scale)
-    schema = pa.schema(
-        [("key", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()),
-         ("score", pa.float64()), ("words", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
-    )
+_SCORED = pa.schema(
+    [("key", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()),
+     ("score", pa.float64()), ("words", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
+)
+_SCORED_SCHEMA = "key long, n_tokens long, n_known long, base double, score double, words array<long>, times array<long>"
+
+
+@dataclass
+class _Texts:
+    """Some texts as places in their vocabulary, and the keys of the filter that their scores need."""
+
+    vocabulary: np.ndarray
+    place: np.ndarray
+    sizes: np.ndarray
+
+    def __post_init__(self):
+        self.previous = np.empty_like(self.place)
+        self.previous[1:] = self.place[:-1]
+        self.previous[np.cumsum(self.sizes) - self.sizes] = np.searchsorted(self.vocabulary, _BEGIN)
+        codes, self.pair = np.unique(self.previous * len(self.vocabulary) + self.place, return_inverse=True)
+        first, second = np.divmod(codes, len(self.vocabulary))
+        words = self.vocabulary
+        pairs = mix(words[first], words[second] >> _NEXT_BITS)
+        self.keys = np.concatenate((_kind(words, _WORD), _kind(words, _MASS), _kind(pairs, _PAIR)))
+
+
+def _texts(texts: list[str], cache: WordHash) -> _Texts:
+    tokens, _, sizes = _tokens(texts, cache)
+    vocabulary, place = np.unique(np.append(tokens, _BEGIN), return_inverse=True)
+    return _Texts(vocabulary, place[:-1], sizes)
+
+
+def _scores(t: _Texts, levels: np.ndarray, keys: pa.Array, frequent, frequent_counts, scale) -> pa.RecordBatch:
+    """One row per text, from the levels of ``t.keys`` in the filter."""
+    vocabulary, place, sizes = t.vocabulary, t.place, t.sizes
+    v, n = len(vocabulary), len(sizes)
+    docs = np.repeat(np.arange(n), sizes)
+    # exact counts of frequent words
+    found = np.minimum(np.searchsorted(frequent, vocabulary), max(0, len(frequent) - 1))
+    known = frequent[found] == vocabulary if len(frequent) else np.zeros(v, bool)
+    exact = np.where(known, frequent_counts[found], 0) if len(frequent) else np.zeros(v)
+    base = np.log10((exact + ADD) / scale)
+    # the model: quantised counts from the filter
+    values = value_of(levels)
+    count, mass, pairs = values[:v], DISCOUNT * values[v : 2 * v], values[2 * v :][t.pair]
+    unigram = (count + ADD) / scale
+    context, backed = count[t.previous], mass[t.previous]
+    share = np.where((backed > 0) & (context > 0), np.minimum(1.0, backed / np.maximum(context, 1)), 1.0)
+    direct = np.where(context > 0, np.maximum(pairs - DISCOUNT, 0) / np.maximum(context, 1), 0.0)
+    p = np.minimum(1.0, np.where(share < 1, direct, 0.0) + share * unigram[place])
+    rare = ~known[place]
+    owner, word, times = _summed(docs[rare], vocabulary[place[rare]], np.ones(int(rare.sum()), np.int64))
+    cuts = np.searchsorted(owner, np.arange(1, n))
+    return pa.RecordBatch.from_arrays(
+        [
+            keys,
+            pa.array(sizes),
+            pa.array(np.bincount(docs, known[place], n).astype(np.int64)),
+            pa.array(np.bincount(docs, base[place], n)),
+            pa.array(np.bincount(docs, np.log10(p), n)),
+            pa.array(np.split(word.view(np.int64), cuts), pa.list_(pa.int64())),
+            pa.array(np.split(times, cuts), pa.list_(pa.int64())),
+        ],
+        schema=_SCORED,
+    )
+
+
+def _score(shared, scale: float):
+    """Scores with the whole filter at hand."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -498,51 +560,107 @@ def _score(shared, first_word: int, first_pair: int, tokens_seen: int, distinct:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for at, end in _text_groups(texts, 6 * SCORE_TOKENS):
-                tokens, before, sizes = _tokens(texts[at:end], cache)
-                docs = np.repeat(np.arange(len(sizes)), sizes)
-                vocabulary, inverse = np.unique(np.append(tokens, _BEGIN), return_inverse=True)
-                place = inverse[:-1]
-                begin = inverse[-1]
-                previous = np.empty_like(place)
-                previous[1:] = place[:-1]
-                previous[before == _BEGIN] = begin
-                # exact counts of frequent words
-                found = np.minimum(np.searchsorted(frequent, vocabulary), max(0, len(frequent) - 1))
-                known = frequent[found] == vocabulary if len(frequent) else np.zeros(len(vocabulary), bool)
-                exact = np.where(known, frequent_counts[found], 0) if len(frequent) else np.zeros(len(vocabulary))
-                base = np.log10((exact + ADD) / scale)
-                # the model: quantised counts from the filter
-                count = value_of(held.levels(_kind(vocabulary, _WORD), first_word))
-                mass = DISCOUNT * value_of(held.levels(_kind(vocabulary, _MASS)))
-                unigram = (count + ADD) / scale
-                pairs = value_of(
-                    held.levels(_kind(mix(before, tokens >> _NEXT_BITS), _PAIR), first_pair)
-                )
-                context = count[previous]
-                share = np.where(
-                    (mass[previous] > 0) & (context > 0), np.minimum(1.0, mass[previous] / np.maximum(context, 1)), 1.0
-                )
-                direct = np.where(context > 0, np.maximum(pairs - DISCOUNT, 0) / np.maximum(context, 1), 0.0)
-                p = np.minimum(1.0, np.where(share < 1, direct, 0.0) + share * unigram[place])
-                rare = ~known[place]
-                word, owner = tokens[rare], docs[rare]
-                owner, word, times = _summed(owner, word, np.ones(len(word), np.int64))
-                n = len(sizes)
-                cuts = np.searchsorted(owner, np.arange(1, n))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at, end - at),
-                        pa.array(sizes),
-                        pa.array(np.bincount(docs, known[place], n).astype(np.int64)),
-                        pa.array(np.bincount(docs, base[place], n)),
-                        pa.array(np.bincount(docs, np.log10(p), n)),
-                        pa.array(np.split(word.view(np.int64), cuts), pa.list_(pa.int64())),
-                        pa.array(np.split(times, cuts), pa.list_(pa.int64())),
-                    ],
-                    schema=schema,
-                )
+                t = _texts(texts[at:end], cache)
+                keys = batch.column(0).slice(at, end - at)
+                yield _scores(t, held.levels(t.keys), keys, frequent, frequent_counts, scale)
+
+    return run
+
+
+_ASKED_SCHEMA = "batch long, segment int, data binary, keys binary, sizes binary, words binary"
 
-    return run, scale, unknown
+
+def _ask(segments: int):
+    """Batches of texts (segment -1) and the keys that each asks of each segment."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
+        cache, number = WordHash(), TaskContext.get().partitionId() << 40
+        for pdf in batches:
+            texts, keys = pdf["text"].tolist(), pdf["key"].to_numpy(np.int64)
+            for at, end in _text_groups(texts, 6 * SCORE_TOKENS):
+                t = _texts(texts[at:end], cache)
+                rows = [
+                    (number, -1, planes(t.place.astype(np.uint32)), keys[at:end].tobytes(), planes(t.sizes),
+                     pack_sorted(t.vocabulary))
+                ]
+                order, borders = _by_segment(t.keys, segments)
+                asked = t.keys[order]
+                for s in np.flatnonzero(np.diff(borders)):
+                    rows.append((number, int(s), asked[borders[s] : borders[s + 1]].tobytes(), None, None, None))
+                yield pd.DataFrame(rows, columns=["batch", "segment", "data", "keys", "sizes", "words"])
+                number += 1
+
+    return run
+
+
+def _answer(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Levels of the keys asked; rows come by segment, its bits (batch -1) first."""
+    lean()
+    held, own = Filter(np.empty(0, np.uint8)), -1
+    for pdf in batches:
+        rows = []
+        for batch, segment, data in zip(pdf["batch"], pdf["segment"], pdf["data"]):
+            if segment != own:  # a segment without bits holds nothing
+                held, own = Filter(np.frombuffer(data if batch < 0 else b"", np.uint8)), segment
+            if batch >= 0:
+                rows.append((batch, segment, held.levels(np.frombuffer(data, np.uint64)).astype(np.uint8).tobytes()))
+        yield pd.DataFrame(rows, columns=["batch", "segment", "data"])
+
+
+def _score_answers(shared, scale: float, segments: int):
+    """Scores of batches; rows come by batch, its texts (segment -1) before the answers."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        frequent, frequent_counts = shared.value
+        t = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["segment"] >= 0:
+                    s = row["segment"]
+                    levels[order[borders[s] : borders[s + 1]]] = np.frombuffer(row["data"], np.uint8)
+                    continue
+                if t is not None:
+                    yield _scores(t, levels, keys, frequent, frequent_counts, scale)
+                place = unplanes(row["data"], np.uint32).astype(np.int64)
+                t = _Texts(unpack_sorted(row["words"]), place, unplanes(row["sizes"], np.int64))
+                keys = pa.array(np.frombuffer(row["keys"], np.int64))
+                order, borders = _by_segment(t.keys, segments)
+                levels = np.zeros(len(t.keys), np.int64)
+        if t is not None:
+            yield _scores(t, levels, keys, frequent, frequent_counts, scale)
+
+    return run
+
+
+def _scored(rows: DataFrame, model: Model, scale: float, max_filter_bytes: int) -> DataFrame:
+    """Scores of ``rows (key, text)``, without the base scores of rare words."""
+    context = rows.sparkSession.sparkContext
+    size, segments = SEGMENT_BITS // 8, model.segments
+    if segments * size <= max_filter_bytes:
+        bits = np.zeros(segments * size, np.uint8)
+        for r in model.bits.toLocalIterator():
+            bits[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+        shared = context.broadcast((bits, model.frequent, model.frequent_counts))
+        return rows.mapInArrow(_score(shared, scale), _SCORED_SCHEMA)
+    shared = context.broadcast((model.frequent, model.frequent_counts))
+    sent = stage(rows.mapInPandas(_ask(segments), _ASKED_SCHEMA))
+    asked = sent.filter("segment >= 0").select("batch", "segment", "data")
+    bits = model.bits.select(F.lit(-1).cast("long").alias("batch"), "segment", F.col("bits").alias("data"))
+    answered = (
+        asked.unionByName(bits)
+        .repartition(max(12, segments // 8), "segment")
+        .sortWithinPartitions("segment", "batch")
+        .mapInPandas(_answer, "batch long, segment int, data binary")
+    )
+    return (
+        sent.filter("segment < 0")
+        .unionByName(answered, allowMissingColumns=True)
+        .repartition("batch")
+        .sortWithinPartitions("batch", "segment")
+        .mapInArrow(_score_answers(shared, scale, segments), _SCORED_SCHEMA)
+    )
 
 
 def lm_scores(
@@ -556,23 +674,17 @@ def lm_scores(
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``held_out`` (over ``doc_id``) are the rows that are not learned from; by
-    default those whose crc32(id as text) mod 10 is 0.
+    default those whose crc32(id as text) mod 10 is 0.  A filter of more than
+    ``max_filter_bytes`` is not broadcast.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     if held_out is None:
         held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0
     rows = keyed(docs, id_col, text_col).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    model = train(rows.filter(~F.col("held_out")), max_filter_bytes, max_frequent)
-    shared = spark.sparkContext.broadcast((model.bits, model.frequent, model.frequent_counts))
-    run, scale, unknown = _score(shared, model.first_word, model.first_pair, model.tokens, model.distinct)
-    scored = (
-        rows.select("key", "text")
-        .mapInArrow(
-            run,
-            "key long, n_tokens long, n_known long, base double, score double, words array<long>, times array<long>",
-        )
-        .checkpoint()
-    )
+    model = train(rows.filter(~F.col("held_out")), max_frequent)
+    scale = model.tokens + ADD * (model.distinct + 1)
+    unknown = np.log10(ADD / scale)
+    scored = _scored(rows.select("key", "text"), model, scale, max_filter_bytes).checkpoint()
     rare = (
         scored.select("key", F.explode(F.arrays_zip("words", "times")).alias("w"))
         .select("key", F.col("w.words").alias("word"), F.col("w.times").alias("times"))

@@ -227,6 +227,42 @@ def test_followers_of_one_word_are_spread():
     assert sorted(counts.tolist())[-2:] == [1, 40_000] and counts.sum() == 80_001
 
 
+def test_filter_beyond_its_broadcast(spark, monkeypatch):
+    """A filter that is too large to broadcast drops nothing: scores are the same, segment by segment."""
+    rows, train = lm_case()
+    monkeypatch.setattr(lm, "SCORE_TOKENS", 100)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    alone = sorted(r.score for r in lm.lm_scores(docs, max_filter_bytes=100).collect())
+    assert np.allclose(alone, sorted(brute_scores([r[1] for r in rows], train)), atol=1e-6)
+    monkeypatch.setattr(lm, "SEGMENT_BITS", 1 << 14)  # several segments
+    assert lm.train(docs.na.fill("").select("text")).segments > 3
+    whole = sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.lm_scores(docs).collect())
+    got = lm.lm_scores(docs, max_filter_bytes=100).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == whole
+
+
+def test_segments_answer_like_the_whole_filter(monkeypatch):
+    """Keys dealt to several segments get the levels that the whole filter gives."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    segments, size = 3, lm.SEGMENT_BITS // 8
+    bits = rng.integers(0, 256, segments * size).astype(np.uint8) | rng.integers(0, 256, segments * size).astype(np.uint8)
+    keys = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    order, borders = lm._by_segment(keys, segments)
+    rows = []
+    for s in range(segments):
+        rows.append((-1, s, bits[s * size : (s + 1) * size].tobytes()))
+        rows.append((7, s, keys[order[borders[s] : borders[s + 1]]].tobytes()))
+    frames = [pd.DataFrame([r], columns=["batch", "segment", "data"]) for r in rows]
+    answers = pd.concat(lm._answer(frames))
+    levels = np.empty(len(keys), np.int64)
+    for s, data in zip(answers["segment"], answers["data"]):
+        levels[order[borders[s] : borders[s + 1]]] = np.frombuffer(data, np.uint8)
+    want = lm.Filter(bits).levels(keys)
+    assert (levels == want).all() and want.max() > 0
+
+
 def test_lm_empty_and_untrained(spark):
     assert lm.lm_scores(spark.createDataFrame([], SCHEMA)).count() == 0
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
