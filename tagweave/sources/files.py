@@ -52,8 +52,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     else goes through ``spark.read.text``.  Gzip files are not splittable, so
     large ones are read by one task each.
     """
-    packed = spark.read.format("binaryFile").load(path).select("path", "content")
-    packed = packed.where(F.col("path").endswith(".xz"))
+    # a filter on the path comes after the content is read, so other files are not listed at all
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.xz").load(path).select("path", "content")
     plain = spark.read.text(path).where(~F.col("_metadata.file_path").endswith(".xz"))
     return (
         packed.mapInPandas(_decode_xz, INDEX_SCHEMA)

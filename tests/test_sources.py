@@ -48,3 +48,21 @@ def test_text_that_is_not_utf8(spark, tmp_dir):
     with open(os.path.join(tmp_dir, "l.c"), "wb") as f:
         f.write("ok é".encode("latin-1"))
     assert [r.text for r in read_sources(spark, tmp_dir).collect()] == ["ok �"]
+
+
+def test_only_xz_files_are_read_whole(spark, tmp_dir):
+    """Plain and gzip files beyond the binary reader's largest file are read line by line."""
+    import gzip
+
+    lines = [f"line {k * k}" for k in range(3000)]
+    text = "\n".join(lines).encode()
+    for name, data in [("a.txt", text), ("b.gz", gzip.compress(text)), ("c.xz", lzma.compress(b"x\ny"))]:
+        with open(os.path.join(tmp_dir, name), "wb") as f:
+            f.write(data)
+    assert os.path.getsize(os.path.join(tmp_dir, "b.gz")) > 1000
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        assert sorted(r.line for r in read_index(spark, tmp_dir).collect()) == sorted([*lines, *lines, "x", "y"])
+        assert read_index(spark, os.path.join(tmp_dir, "a.txt")).count() == len(lines)
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
