@@ -17,7 +17,8 @@ are smallest) are read for training, in one task; every page is decoded whole
 in a pass without a shuffle.
 
 Defined cases: null and empty html give an empty text; markup that is never
-closed ends with the page; repeated rows and null ids are extracted row by
+closed ends with the page, but an svg, object, canvas or select without an end
+tag hides nothing; formulas (``math``) are text; repeated rows and null ids are extracted row by
 row; a table without a labelled page is trained on blocks of ten words or
 more in frames; an empty table gives an empty result; other columns are
 ignored.
@@ -45,9 +46,11 @@ MAX_TRAIN = 300
 MAX_TRAIN_CHARS = 20_000
 STEPS = 150
 
-# Fixed values of HTML: elements that never show text, that break a line of
-# text, that have no end tag, and whose start tag closes an open one.
-HIDDEN = frozenset("script style template noscript svg iframe object canvas math title select textarea".split())
+# Fixed values of HTML: elements that never show text (and those of them that hide
+# the rest of the page if they are not closed), that break a line of text, that have
+# no end tag, and whose start tag closes an open one.
+HIDDEN = frozenset("script style template noscript svg iframe object canvas title select textarea".split())
+TO_THE_END = HIDDEN - {"svg", "object", "canvas", "select"}
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol "
@@ -100,6 +103,7 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     pieces: list[str] = []
     linked = links = 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -141,8 +145,13 @@ def blocks_of(page: str) -> list[Block]:
             links = sum(e[0] == "a" for e in stack)
             continue
         if name in HIDDEN and not attributes.endswith("/"):
-            stop = re.compile(f"</{name}[^>]*(?:>|\\Z)", re.I).search(page, at)
-            at = stop.end() if stop else size
+            stop = None if name in unclosed else re.compile(f"</{name}[^>]*(?:>|\\Z)", re.I).search(page, at)
+            if stop:
+                at = stop.end()
+            elif name in TO_THE_END:
+                at = size
+            else:  # only the tag is skipped; no later one has an end tag either
+                unclosed.add(name)
             continue
         if name in BLOCK:
             flush()

@@ -191,6 +191,31 @@ def test_extracts_articles_only(spark):
         assert got[number].n_chars == len(got[number].text)
 
 
+@pytest.mark.parametrize("tag", ["svg", "canvas", "object", "select"])
+def test_unclosed_elements_hide_nothing(tag):
+    page = f"<article><p>{ARTICLE}</p><{tag} class=x><p>Second.</p><{tag}><p>Third.</p></article>"
+    assert [b.text for b in he.blocks_of(page)] == [ARTICLE, "Second.", "Third."]
+    closed = f"<article><p>One.</p><{tag}>hidden</{tag}><p>Two.</p><{tag}><p>Three.</p></article>"
+    assert [b.text for b in he.blocks_of(closed)] == ["One.", "Two.", "Three."]
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "title", "textarea", "iframe", "noscript", "template"])
+def test_unclosed_raw_text_hides_the_rest(tag):
+    assert [b.text for b in he.blocks_of(f"<p>One.</p><{tag}><p>Two.</p>")] == ["One."]
+
+
+def test_formulas_and_unclosed_elements_in_articles(spark):
+    formula = "<math><mi>x</mi><mo>+</mo><mn>1</mn></math>"
+    pages = [
+        (1, "u", f"<nav><a href=x>Home</a></nav><article><p>{ARTICLE}</p><p>So {formula} holds here, with some words in it, to the end.</p></article>",
+         f"{ARTICLE}\nSo x+1 holds here, with some words in it, to the end."),
+        (2, "u", f"<nav><a href=x>Home</a></nav><article><p>{ARTICLE}</p><svg viewBox='0 0 1 1'><p>{ARTICLE}</p></article>", f"{ARTICLE}\n{ARTICLE}"),
+    ]
+    weights = he.fit(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    got = he.extract(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string"), weights)
+    assert {r.page_id: r.text for r in got.collect()} == {p[0]: p[3] for p in pages}
+
+
 def test_held_out_pages_are_exact(spark):
     """Blocks of pages that training has not seen get their publisher's labels."""
     table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
