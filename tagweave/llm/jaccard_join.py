@@ -1,12 +1,11 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
-
-Documents are sets of five-word shingles.  Each of ``TREES`` prefix tries
-orders the documents by a signature of up to ``MAX_DEPTH`` minimum hashes;
-two documents are candidates if they share a prefix in any trie.  The
-matched prefix starts at the full depth and is shortened until a pair at the
-threshold is found with at least the target recall, which
-:func:`prefix_length` solves for; equal prefixes of that length are the
-nodes of the tries, found by one grouping.
+"""N-gram Jaccard join with MinHash bands of fixed depth and exact verification.
+
+Documents are sets of five-word shingles.  Each of ``TREES`` bands has the
+longest prefix, of at most ``MAX_DEPTH`` minimum hashes, with which a pair at
+the threshold is found with at least the target recall (:func:`prefix_length`);
+two documents are candidates if they share the whole prefix in any band.  Equal
+prefixes are nodes, found by one grouping.  This replaces an LSH forest: there
+are no sorted tries and nothing is shortened on matched prefixes.
 
 Candidates are verified exactly without writing out pairs.  Documents that
 meet in a node are chained to the node's smallest member, the chains'
