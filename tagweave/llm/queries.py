@@ -13,6 +13,7 @@ from tagweave.llm.exact_dedup import exact_dedup
 from tagweave.llm.html_extract import extract_pages
 from tagweave.llm.jaccard_join import jaccard_join
 from tagweave.llm.lm_score import lm_scores
+from tagweave.llm.merkle import merkle_manifest, tampered_counts
 from tagweave.llm.packing import pack_documents
 from tagweave.llm.sharding import shard_documents
 from tagweave.llm.substring_dedup import drop_repeated_passages
@@ -78,6 +79,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"), tampered=tampered_counts())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_lm_scoring": op2_lm_scoring,
@@ -89,8 +94,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sharding": op9_sharding,
     "op10_html_extraction": op10_html_extraction,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
+#: The 256 remainders of CRC-32, by its rule.
+_CRC_TABLE = """list_transform(range(256), lambda i: list_reduce(range(8),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i))"""
+
+
+def _crc32(data: str, table: str = "crc_table") -> str:
+    """SQL of the unsigned CRC-32 of a list of bytes."""
+    step = f"lambda c, b: xor(c >> 8, {table}[(xor(c, b::BIGINT) & 255) + 1])"
+    return f"xor(list_reduce({data}, {step}, 4294967295::BIGINT), 4294967295)"
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || {name}, '-')"
+
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": r"""
 WITH dw AS (
@@ -149,5 +170,51 @@ link AS (
 degree AS (SELECT x AS doc_id, count(*) AS n_links FROM link GROUP BY x)
 SELECT c.doc_id, c.class_id, coalesce(d.n_links, 0) AS n_links
 FROM class c LEFT JOIN degree d USING (doc_id)
+""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS crc_table),
+leaves AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+    sha256({_field('doc_id')} || {_field('source')} || {_field('lang')} || {_field('n_chars')} || {_field('text')}) AS leaf,
+    sha256({_field('doc_id')} || {_field('source')} || {_field('lang')} || {_field('(n_chars + 1)')} || {_field('text')}) AS tampered,
+    {_crc32("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x))")} % 7 = 0 AS hit
+  FROM documents, crc
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY tree) AS n
+  FROM leaves
+), low(tree, lvl, pos, h, n) AS (
+  SELECT tree, 0, pos, leaf, n FROM placed
+  UNION ALL
+  SELECT tree, lvl, pos // 2, h, n FROM (
+    SELECT tree, lvl + 1 AS lvl, pos, (n + 1) // 2 AS n,
+      sha256(h || coalesce(lead(h) OVER (PARTITION BY tree ORDER BY pos), '')) AS h
+    FROM low WHERE n > 1) WHERE pos % 2 = 0
+), high(tree, lvl, pos, h, n) AS (
+  SELECT -1::BIGINT, 0, tree, h, (SELECT count(DISTINCT tree) FROM placed) FROM low WHERE n = 1
+  UNION ALL
+  SELECT tree, lvl, pos // 2, h, n FROM (
+    SELECT tree, lvl + 1 AS lvl, pos, (n + 1) // 2 AS n,
+      sha256(h || coalesce(lead(h) OVER (PARTITION BY tree ORDER BY pos), '')) AS h
+    FROM high WHERE n > 1) WHERE pos % 2 = 0
+), node AS (SELECT * FROM low UNION ALL SELECT * FROM high),
+climb(doc_id, leaf, start, tree, lvl, pos, f, proof) AS (
+  SELECT doc_id, leaf, tree, tree, 0, pos, CASE WHEN hit THEN coalesce(tampered, leaf) ELSE leaf END, '' FROM placed
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.start,
+    CASE WHEN x.n = 1 THEN -1 ELSE c.tree END,
+    CASE WHEN x.n = 1 THEN 0 ELSE c.lvl + 1 END,
+    CASE WHEN x.n = 1 THEN c.tree ELSE c.pos // 2 END,
+    CASE WHEN x.n = 1 THEN c.f WHEN s.h IS NULL THEN sha256(c.f)
+         WHEN c.pos % 2 = 1 THEN sha256(s.h || c.f) ELSE sha256(c.f || s.h) END,
+    CASE WHEN x.n = 1 THEN c.proof ELSE c.proof || coalesce(s.h, '') END
+  FROM climb c JOIN node x ON x.tree = c.tree AND x.lvl = c.lvl AND x.pos = c.pos
+  LEFT JOIN node s ON s.tree = c.tree AND s.lvl = c.lvl AND s.pos = xor(c.pos, 1)
+  WHERE NOT (c.tree = -1 AND x.n = 1)
+)
+SELECT c.doc_id, c.leaf, b.h AS subroot, r.h AS root, sha256(c.proof) AS proof_sha256,
+       c.f AS folded_root, c.f = r.h AS verified
+FROM climb c JOIN high r ON r.n = 1 AND c.tree = -1 AND c.lvl = r.lvl
+JOIN low b ON b.tree = c.start AND b.n = 1
 """,
 }
