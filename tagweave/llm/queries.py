@@ -16,6 +16,7 @@ from tagweave.llm.lm_score import lm_scores
 from tagweave.llm.merkle import merkle_manifest, tampered_counts
 from tagweave.llm.packing import pack_documents
 from tagweave.llm.sharding import shard_documents
+from tagweave.llm.spelling import spelling_variants
 from tagweave.llm.substring_dedup import drop_repeated_passages
 from tagweave.llm.suffix_dedup import drop_repeated_strings
 from tagweave.llm.toxicity import toxicity
@@ -83,6 +84,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"), tampered=tampered_counts())
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_lm_scoring": op2_lm_scoring,
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_html_extraction": op10_html_extraction,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 #: The 256 remainders of CRC-32, by its rule.
@@ -216,5 +222,45 @@ SELECT c.doc_id, c.leaf, b.h AS subroot, r.h AS root, sha256(c.proof) AS proof_s
        c.f AS folded_root, c.f = r.h AS verified
 FROM climb c JOIN high r ON r.n = 1 AND c.tree = -1 AND c.lvl = r.lvl
 JOIN low b ON b.tree = c.start AND b.n = 1
+""",
+    "op12_spelling_variants": f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS crc_table),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), told AS (
+  SELECT run, count(*) AS n,
+    {_crc32("""list_concat(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':', ''), lambda x: ascii(x)),
+      flatten(list_transform(string_split(run, ''), lambda x: CASE WHEN ascii(x) < 128 THEN [ascii(x)]
+        ELSE [195, ascii(x) - 64] END)))""", "any_value(crc_table)")} AS h
+  FROM runs, crc WHERE length(run) >= 7 GROUP BY doc_id, run
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+         ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM told GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2
+), less AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words)
+), near AS (
+  SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION
+  SELECT w.word, l.word FROM words w JOIN less l ON l.rest = w.word
+  UNION
+  SELECT l.word, w.word FROM words w JOIN less l ON l.rest = w.word
+), best AS (
+  SELECT a AS word, count(*) AS n_near, max(n) AS most, arg_min(b, (-n, b)) AS nearest
+  FROM near JOIN words ON words.word = b GROUP BY a
+), formed AS (
+  SELECT word, CASE WHEN most >= 10 * n THEN nearest END AS form, n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN most >= 10 * n THEN most END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), up(word, root) AS (
+  SELECT word, word FROM formed
+  UNION ALL
+  SELECT up.word, form FROM up JOIN formed f ON f.word = up.root WHERE form IS NOT NULL
+)
+SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN up ON up.word = f.word JOIN formed r ON r.word = up.root AND r.form IS NULL
 """,
 }
