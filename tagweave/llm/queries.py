@@ -12,6 +12,7 @@ from tagweave.llm.decontaminate import contained_items
 from tagweave.llm.exact_dedup import exact_dedup
 from tagweave.llm.html_extract import extract_pages
 from tagweave.llm.jaccard_join import jaccard_join
+from tagweave.llm.language_id import language_id
 from tagweave.llm.lm_score import lm_scores
 from tagweave.llm.merkle import merkle_manifest, tampered_counts
 from tagweave.llm.packing import pack_documents
@@ -88,6 +89,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_lm_scoring": op2_lm_scoring,
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_language_id": op13_language_id,
 }
 
 #: The 256 remainders of CRC-32, by its rule.
