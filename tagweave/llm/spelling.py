@@ -187,8 +187,8 @@ def _parts(start: int, end: int):
         yield at, min(at + width, end)
 
 
-def word_entries(word: str, frequent, tail: set[str], rows: list) -> None:
-    """Append ``(key, longer, part, word)``: a word's entries under its own length, and as the
+def word_entries(place: int, word: str, frequent, tail: set[str], rows: list) -> None:
+    """Append ``(key, longer, part, place)``: a word's entries under its own length, and as the
     longer word under one code point less; ``part`` is the part that the key leaves out."""
     p, size, pad = padded(word), len(word), Q_MAX - 1
     grams = decompose(p, frequent)
@@ -203,18 +203,18 @@ def word_entries(word: str, frequent, tail: set[str], rows: list) -> None:
                 name = f"{i} {length} {g} "
                 for a, b in _parts(end if end > 0 else 0, length):
                     b += longer
-                    rows.append((digest(f"{name}{word[:a]} {word[b:]}") - HALF, longer, word[a:b], word))
+                    rows.append((digest(f"{name}{word[:a]} {word[b:]}") - HALF, longer, word[a:b], place))
             if start >= longer:  # the edit comes before it
                 name = f"{i - size - 1} {length} {g} "
                 for a, b in _parts(0, (start if start < size else size) - longer):
                     b += longer
-                    rows.append((digest(f"{name}{word[:a]} {word[b:]}") - HALF, longer, word[a:b], word))
+                    rows.append((digest(f"{name}{word[:a]} {word[b:]}") - HALF, longer, word[a:b], place))
 
 
 def list_entries(words: DataFrame, frequent: dict[str, int]) -> DataFrame:
-    """The entries of all words, at most some 8,192 a batch."""
+    """The entries of all ``(place, word)`` rows, at most some 8,192 a batch."""
     dictionary = words.sparkSession.sparkContext.broadcast(frequent)
-    types = [("key", pa.int64()), ("longer", pa.bool_()), ("part", pa.string()), ("word", pa.string())]
+    types = [("key", pa.int64()), ("longer", pa.bool_()), ("part", pa.string()), ("place", pa.int64())]
 
     def frame(rows):
         return pa.RecordBatch.from_arrays(
@@ -225,26 +225,29 @@ def list_entries(words: DataFrame, frequent: dict[str, int]) -> DataFrame:
         known = dictionary.value
         tail, rows = tails(known), []
         for batch in batches:
-            for word in batch.column(0).to_pylist():
-                word_entries(word, known, tail, rows)
+            for place, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                word_entries(place, word, known, tail, rows)
                 if len(rows) >= 8192:
                     yield frame(rows)
                     rows = []
         if rows:
             yield frame(rows)
 
-    return words.select("word").mapInArrow(run, "key long, longer boolean, part string, word string")
+    return words.select("place", "word").mapInArrow(run, "key long, longer boolean, part string, place long")
 
 
 def near_pairs(words: DataFrame, frequent: dict[str, int] | None = None) -> DataFrame:
-    """``(a, b)``: all pairs of words at edit distance one, once each."""
-    entries = stage(list_entries(words, frequent_grams(words) if frequent is None else frequent))
-    a = entries.where(~F.col("longer")).select("key", F.col("part").alias("part_a"), F.col("word").alias("a"))
-    b = entries.select(F.col("key").alias("key_b"), "longer", F.col("part").alias("part_b"), F.col("word").alias("b"))
+    """``(a, b)``: the places of all pairs of ``(place, word)`` rows at edit distance one, once each."""
+    entries = list_entries(words, frequent_grams(words) if frequent is None else frequent).repartition("key")
     # Words of a list are equal outside of the part.  Of two words of one length the
-    # smaller is ``a``; a longer one is always ``b``.
-    near = F.expr("key = key_b and (longer or a < b) and levenshtein(part_a, part_b, 1) = 1")
-    return a.join(b, near).select("a", "b").distinct()
+    # first is ``a``; a longer one is always ``b``.  No condition is on one side alone:
+    # then both sides read one exchange.
+    near = F.expr(
+        "x.key = y.key and if(y.longer, not x.longer, x.place < y.place and not x.longer)"
+        " and levenshtein(x.part, y.part, 1) = 1"
+    )
+    pairs = entries.alias("x").join(entries.alias("y"), near)
+    return pairs.select(F.col("x.place").alias("a"), F.col("y.place").alias("b")).distinct()
 
 
 def spelling_variants(
@@ -252,18 +255,18 @@ def spelling_variants(
 ) -> DataFrame:
     """One row per word: word, form, root, n, n_near, form_n."""
     prepare(docs.sparkSession)
-    words = stage(vocabulary(docs, id_col, text_col))
+    words = stage(vocabulary(docs, id_col, text_col).withColumn("place", F.monotonically_increasing_id()))
     pairs = stage(near_pairs(words))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    named = both.join(words.select(F.col("word").alias("b"), F.col("n").alias("n_b")), "b")
-    best = named.groupBy(F.col("a").alias("word")).agg(
+    other = words.select(F.col("place").alias("b"), F.col("word").alias("near"), F.col("n").alias("n_b"))
+    best = both.join(other, "b").groupBy(F.col("a").alias("place")).agg(
         F.count(F.lit(1)).alias("n_near"),
         F.max("n_b").alias("most"),
-        F.min_by("b", F.struct(-F.col("n_b"), F.col("b"))).alias("nearest"),
+        F.min_by("near", F.struct(-F.col("n_b"), F.col("near"))).alias("nearest"),
     )
     has_form = F.col("most") >= ratio * F.col("n")
     table = stage(
-        words.join(best, "word", "left").select(
+        words.join(best, "place", "left").select(
             "word",
             F.when(has_form, F.col("nearest")).alias("form"),
             "n",
