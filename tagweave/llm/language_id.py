@@ -66,27 +66,65 @@ def words_of(text: str) -> list[str]:
 
 @dataclass
 class Pieces:
-    """Places of the vocabulary's pieces, of its 256 byte pieces, and the longest piece."""
+    """The vocabulary for array lookups: sorted 64-bit hashes of the pieces, the place of each,
+    which table slots have any, the places of the 256 byte pieces, and the longest piece."""
 
-    place: dict[str, int]
+    hashes: np.ndarray
+    places: np.ndarray
+    slots: np.ndarray
     byte: list[int]
     longest: int
     size: int
 
 
+_STEP, _CODE, _SLOT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+#: log2 of the slots that sort out most strings that are no pieces.
+_BITS = 20
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes ^ (hashes >> np.uint64(29))) * _SLOT) >> np.uint64(64 - _BITS)
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, one row a place."""
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32)
+    return flat.reshape(len(words), -1).T.astype(np.uint64)
+
+
+def _extend(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes of strings with one more code point each."""
+    return hashes * _STEP + (codes + np.uint64(1)) * _CODE
+
+
+def pieces_of(places: dict[str, int], byte: list[int], size: int) -> Pieces:
+    hashes, order = [], []
+    for piece, place in places.items():
+        codes, h = _codes([piece]), np.zeros(1, np.uint64)
+        for code in codes:
+            h = _extend(h, code)
+        hashes.append(h[0])
+        order.append(place)
+    hashes, order = np.array(hashes, np.uint64), np.array(order, np.int32)
+    by = np.argsort(hashes)
+    slots = np.zeros(1 << _BITS, bool)
+    slots[_slot(hashes)] = True
+    return Pieces(hashes[by], order[by], slots, byte, max(map(len, places)), size)
+
+
 def load_pieces(path: str) -> Pieces:
     """The pieces of a sentencepiece vocabulary file with byte fallback."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    place, byte = {}, [0] * 256
+    places, byte = {}, [0] * 256
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         if model.is_byte(i):
             byte[int(piece[1:-1], 16)] = i
         elif not (model.is_control(i) or model.is_unknown(i)):
-            place[piece] = i
-    return Pieces(place, byte, max(map(len, place)), model.get_piece_size())
+            places[piece] = i
+    return pieces_of(places, byte, model.get_piece_size())
 
 
 class Lattice:
@@ -94,32 +132,34 @@ class Lattice:
 
     ``ids[j][k]``: per word the place of the piece of k + 1 code points that
     ends behind code point j, or -1.  Unknown code points get places of their
-    own behind the vocabulary's: ``spare`` lists the byte pieces of each.
+    own behind the vocabulary's, in the order of ``spare``.
     """
 
     def __init__(self, words: list[str], pieces: Pieces, spare: dict[str, int]):
-        get, size = pieces.place.get, len(words[0])
-        self.ids = []
-        for j in range(size):
-            row = []
-            for k in range(min(j + 1, pieces.longest)):
-                found = [get(w[j - k : j + 1], -1) for w in words]
-                if k == 0 and -1 in found:
-                    found = [
-                        pieces.size + spare.setdefault(w[j], len(spare)) if f < 0 else f for w, f in zip(words, found)
-                    ]
-                row.append(found)
-            self.ids.append(np.array(row))
+        codes = _codes(words)
+        size, most = len(codes), min(len(codes), pieces.longest)
+        self.ids = np.full((size, most, len(words)), -1, np.int32)
+        ending = np.zeros((size, len(words)), np.uint64)  # strings of k code points ending behind j
+        for k in range(most):
+            ending = _extend(ending if k == 0 else ending[:-1], codes[k:])
+            j, w = np.nonzero(pieces.slots[_slot(ending)])
+            found = ending[j, w]
+            at = np.minimum(np.searchsorted(pieces.hashes, found), len(pieces.hashes) - 1)
+            hit = pieces.hashes[at] == found
+            self.ids[j[hit] + k, k, w[hit]] = pieces.places[at[hit]]
+        j, w = np.nonzero(self.ids[:, 0] < 0)
+        for a, b in zip(j.tolist(), w.tolist()):
+            self.ids[a, 0, b] = pieces.size + spare.setdefault(words[b][a], len(spare))
 
     def forward(self, p: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Log probability per word and language, and the scale of each step.
 
         ``ahead[k]``: one over the scales since the start of a piece of k + 1 code points."""
-        words = self.ids[0].shape[1]
-        longest = max(len(x) for x in self.ids)
-        ahead = np.ones((longest + 1, words, p.shape[1]))
+        size, most, words = self.ids.shape
+        ahead = np.ones((most + 1, words, p.shape[1]))
         total, scales = np.zeros((words, p.shape[1])), []
-        for ids in self.ids:
+        for j in range(size):
+            ids = self.ids[j, : j + 1]
             step = (p[ids] * ahead[: len(ids)]).sum(0)
             total += np.log(step)
             scales.append(step)
@@ -133,13 +173,15 @@ class Lattice:
         behind = [np.zeros_like(weight) for _ in range(len(self.ids) + 1)]
         behind[-1] = weight
         for j in range(len(self.ids) - 1, -1, -1):
-            share = behind[j + 1]
-            for k, ids in enumerate(self.ids[j]):
+            share, ids = behind[j + 1], self.ids[j, : j + 1]
+            mass = np.empty((*ids.shape, p.shape[1]))
+            for k in range(len(ids)):
                 share = share / scales[j - k]
-                mass = p[ids] * share
-                behind[j - k] += mass
-                hit = ids >= 0
-                np.add.at(into, ids[hit], mass[hit])
+                mass[k] = p[ids[k]] * share
+                behind[j - k] += mass[k]
+            hit = ids >= 0
+            for lang in range(p.shape[1]):
+                into[:, lang] += np.bincount(ids[hit], mass[..., lang][hit], len(into))
 
 
 def _grouped(words: list[str]) -> Iterator[list[int]]:
