@@ -12,9 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.functions.text import strip_source
 from tagweave.functions.tokens import tokens_by_lang
-from tagweave.operators.regions import drop_if0_text
+from tagweave.operators.lexer import strip_joint
 
 
 def document_tokens(docs: DataFrame, text: str = "text", lang: str = "lang", strip: bool = True) -> DataFrame:
@@ -30,11 +29,11 @@ def document_tokens(docs: DataFrame, text: str = "text", lang: str = "lang", str
 
 def token_arrays(docs: DataFrame, text: str = "text", lang: str = "lang", strip: bool = True) -> DataFrame:
     """``(doc_id, lang, toks)``: token occurrences of the text that is left after
-    ``#if 0`` regions (C family) and comments and literals (C-like) are gone."""
+    ``#if 0`` regions (C family), comments and literals (C-like) are gone, all
+    decided by one lexer."""
+    clean = docs.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("_body"))
     if strip:
-        docs = drop_if0_text(docs, text, lang)
-    body = strip_source(text, lang) if strip else F.col(text)
-    clean = docs.select("doc_id", F.col(lang).alias("lang"), body.alias("_body"))
+        clean = strip_joint(clean, "_body", "lang")
     return clean.select("doc_id", "lang", tokens_by_lang("_body", "lang").alias("toks"))
 
 

@@ -70,24 +70,3 @@ def mark_if0(lines: DataFrame, lang: str = "lang") -> DataFrame:
 def drop_if0(lines: DataFrame, lang: str = "lang") -> DataFrame:
     """Lines outside ``#if 0`` regions (C and C++ only; others pass through)."""
     return mark_if0(lines, lang).where(~F.col("in_if0")).drop("in_if0")
-
-
-def drop_if0_text(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """``docs`` with the ``#if 0`` regions cut out of the text of C and C++ buffers.
-
-    Only texts that hold such a line are taken apart into lines and put
-    together again (one exchange on ``key``, bounded by a text); all others
-    pass through in the scan.
-    """
-    has = F.coalesce(F.col(lang).isin(*C_FAMILY) & F.col(text).rlike(r"(?m)^[ \t]*#[ \t]*if 0"), F.lit(False))
-    lines = docs.where(has).select(
-        key, F.col(lang).alias("lang"), F.posexplode(F.split(text, "\n")).alias("line_no", "line")
-    )
-    kept = drop_if0(lines).groupBy(F.col(key).alias("_key")).agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n"
-        ).alias("_text")
-    )
-    cut = docs.where(has).join(kept, F.col(key) == F.col("_key"), "left")
-    cut = cut.select(*[F.coalesce("_text", F.lit("")).alias(c) if c == text else F.col(c) for c in docs.columns])
-    return docs.where(~has).unionByName(cut)

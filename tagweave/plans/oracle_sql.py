@@ -182,6 +182,59 @@ SELECT doc_id, lang,
 FROM code"""
 )
 
+# One character at a time inside a line, one line at a time inside a document.
+# Modes: 0 code, 1 comment, 2 string, 3 character literal, 4 region, 9 line comment.
+ORACLES["strip_joint"] = r"""
+WITH RECURSIVE joint AS (
+  SELECT doc_id, CASE lang WHEN 'en' THEN 'c' WHEN 'fr' THEN 'c++' WHEN 'de' THEN 'java' WHEN 'es' THEN 'python' ELSE lang END AS lang,
+    replace(replace(replace(array_to_string(list_transform(
+      string_split(regexp_replace(text, '["''\\*/#]', '', 'g'), chr(10)),
+      lambda x: CASE substr(x, 1, 1) WHEN 'A' THEN '#if 0' WHEN 'E' THEN '#endif' WHEN 'T' THEN '#ifdef X'
+        WHEN 'O' THEN '  #  if 0' WHEN 'I' THEN '#else' ELSE x END), chr(10)),
+      ', ', ' /* x' || chr(10) || '#endif' || chr(10) || ' */ '),
+      '. ', ' "s\"' || chr(10) || '#if 0' || chr(10) || 't" '),
+      '-', ' // e' || chr(10)) AS text
+  FROM documents
+), code_lines AS (
+  SELECT doc_id, lang, unnest(range(len(l))) AS line_no, unnest(l) AS line, len(l) AS n
+  FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM joint WHERE lang IN ('c', 'c++', 'java'))
+), cls AS (
+  SELECT *, string_split(line, '') AS ch,
+    lang <> 'java' AND regexp_matches(line, '^[ \t]*#[ \t]*if 0') AS opens,
+    CASE WHEN regexp_matches(line, '^[ \t]*#[ \t]*if') THEN 1
+         WHEN regexp_matches(line, '^[ \t]*#[ \t]*endif') THEN -1 ELSE 0 END AS step
+  FROM code_lines
+), sim(doc_id, line_no, mode, depth, part) AS (
+  SELECT doc_id, CAST(-1 AS BIGINT), 0, 0, '' FROM joint WHERE lang IN ('c', 'c++', 'java')
+  UNION ALL
+  SELECT doc_id, line_no,
+    CASE WHEN region THEN (CASE WHEN depth + step = 0 THEN 0 ELSE 4 END) WHEN z.m = 9 THEN 0 ELSE z.m END,
+    CASE WHEN region THEN depth + step ELSE 0 END,
+    CASE WHEN region THEN '' ELSE z.o || CASE WHEN z.m IN (0, 9) AND line_no + 1 < n THEN chr(10) ELSE '' END END
+  FROM (
+    SELECT c.doc_id, c.line_no, c.n, c.step, s.depth, s.mode = 4 OR (s.mode = 0 AND c.opens) AS region,
+      list_reduce(range(1, len(c.ch) + 1), lambda a, i: {
+        'm': CASE WHEN a.s > 0 THEN a.m
+             WHEN a.m = 0 THEN CASE WHEN c.ch[i] = '/' AND c.ch[i + 1] = '/' THEN 9 WHEN c.ch[i] = '/' AND c.ch[i + 1] = '*' THEN 1
+                               WHEN c.ch[i] = '"' THEN 2 WHEN c.ch[i] = '''' THEN 3 ELSE 0 END
+             WHEN a.m = 1 AND c.ch[i] = '*' AND c.ch[i + 1] = '/' THEN 0
+             WHEN a.m = 2 AND c.ch[i] = '"' THEN 0 WHEN a.m = 3 AND c.ch[i] = '''' THEN 0 ELSE a.m END,
+        's': CASE WHEN a.s > 0 THEN a.s - 1
+             WHEN a.m = 0 AND c.ch[i] = '/' AND c.ch[i + 1] = '*' THEN 1
+             WHEN a.m = 1 AND c.ch[i] = '*' AND c.ch[i + 1] = '/' THEN 1
+             WHEN a.m IN (2, 3) AND c.ch[i] = '\' THEN 1 ELSE 0 END,
+        'o': CASE WHEN a.s > 0 OR a.m <> 0 THEN a.o
+             WHEN (c.ch[i] = '/' AND c.ch[i + 1] IN ('/', '*')) OR c.ch[i] IN ('"', '''') THEN a.o || ' '
+             ELSE a.o || c.ch[i] END
+      }, {'m': s.mode, 's': 0, 'o': ''}) AS z
+    FROM sim s JOIN cls c ON c.doc_id = s.doc_id AND c.line_no = s.line_no + 1
+  )
+)
+SELECT doc_id, lang, coalesce(string_agg(part, '' ORDER BY line_no), '') AS stripped
+FROM sim JOIN joint USING (doc_id) GROUP BY doc_id, lang
+UNION ALL
+SELECT doc_id, lang, text FROM joint WHERE lang NOT IN ('c', 'c++', 'java')"""
+
 ORACLES["collapse_blanks"] = r"""
 SELECT doc_id,
        regexp_replace(replace(replace(text, ', ', ',  ' || chr(9) || ' '), chr(10), chr(10) || '  '),

@@ -28,6 +28,7 @@ from tagweave.operators.events import (
 )
 from tagweave.operators.includes import include_closure, resolve_includes, sorted_headers
 from tagweave.operators.index import normalize_tags, parse_tags
+from tagweave.operators.lexer import joined_blocks, line_blocks, strip_blocks
 from tagweave.operators.lines import extract_includes, line_dump, lines_range, reconcile
 from tagweave.operators.match import first_of_kind, incremental_matches, match_stats, match_tags
 from tagweave.operators.ordered import first_occurrence_order
@@ -145,6 +146,13 @@ def q_strip(spark, sf):
     return c.select("doc_id", "lang", strip_source("t", "lang").alias("stripped"))
 
 
+@query("strip_joint")
+def q_strip_joint(spark, sf):
+    """Comments, literals and regions decided together, texts cut into blocks of lines."""
+    stripped = joined_blocks(strip_blocks(line_blocks(T.joint_text(spark, sf), 4096)))
+    return stripped.select(F.col("key").alias("doc_id"), "lang", F.col("text").alias("stripped"))
+
+
 @query("collapse_blanks")
 def q_collapse_blanks(spark, sf):
     d = T.documents(spark, sf, ("doc_id", "text"))

@@ -120,6 +120,30 @@ def code_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", code_lang.alias("lang"), t.alias("t"))
 
 
+# (search, replacement) pairs: tokens that hold a directive line.  Every one is closed,
+# and a region can only end inside a comment, whose end is plain code.
+JOINT_INJECTIONS = [
+    (", ", " /* x\n#endif\n */ "),
+    (". ", ' "s\\"\n#if 0\nt" '),
+    ("-", " // e\n"),
+]
+
+
+def joint_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, lang, text)``: code whose directives lie in lines of their own (by the line's
+    first letter), in comments and in strings."""
+    d = spread(load(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    plain = F.regexp_replace("text", r"[\"'\\*/#]", "")
+    line = lambda x: _directive(F.substr(x, F.lit(1), F.lit(1)), x)
+    t = F.array_join(F.transform(F.split(plain, "\n"), line), "\n")
+    for old, new in JOINT_INJECTIONS:
+        t = F.replace(t, F.lit(old), F.lit(new))
+    code_lang = F.coalesce(
+        *[F.when(F.col("lang") == k, F.lit(v)) for k, v in CODE_LANG.items()], F.col("lang")
+    )
+    return d.select("doc_id", code_lang.alias("lang"), t.alias("text"))
+
+
 # ---------------------------------------------------------------- lines
 def doc_lines(spark: SparkSession, sf_dir: str, cols=("doc_id", "lang", "text")) -> DataFrame:
     """``(doc_id, lang, line_no, line)`` with 0-based line numbers."""
