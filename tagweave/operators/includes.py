@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.constants import MAX_HEADER_SEARCH_LEVEL
+from tagweave.functions.paths import clean_path, path_join
+from tagweave.operators.lines import extract_includes
 from tagweave.session import cut_lineage
 
 
@@ -47,35 +51,157 @@ def sorted_headers(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("doc_id").agg(F.array_sort(F.collect_set("path")).alias("headers"))
 
 
+def _grow(first: DataFrame, step, keys: list[str], max_depth: int, checkpoint: bool) -> DataFrame:
+    """Semi-naive reachability of many roots at once: ``(keys, block, word, depth)``.
+
+    64 roots are the bits of one ``word`` of a ``block``, so a row says which of
+    them reach a node.  ``first`` holds the rows of depth 1, ``step`` takes the
+    rows of one depth to their successors.  One aggregation a depth (``bit_or``,
+    map-side first) adds up the words that arrive at a node and those seen there
+    before; bits not seen before are the next depth, so no pair is walked twice.
+    The loop ends with an empty depth, after ``max_depth`` (a constant) at most.
+    Every depth is written to the reliable checkpoint directory: a lost executor
+    costs one depth.
+    """
+    keep = cut_lineage if checkpoint else (lambda df: df)
+    at, none = [*keys, "block"], F.lit(0).cast("long")
+    arrived, old, depths = first.withColumn("seen", none), None, []
+    for depth in range(1, max_depth + 1):
+        if old is not None:
+            arrived = step(level).withColumn("seen", none).unionByName(
+                old.select(*at, "seen", none.alias("word"))
+            )
+        sums = arrived.groupBy(*at).agg(F.bit_or("word").alias("_new"), F.bit_or("seen").alias("_old"))
+        fresh = F.col("_new").bitwiseAND(F.bitwise_not("_old"))
+        old = keep(sums.select(*at, fresh.alias("word"), F.col("_new").bitwiseOR(F.col("_old")).alias("seen")))
+        level = old.where(F.col("word") != 0).drop("seen")
+        depths.append(level.withColumn("depth", F.lit(depth).cast("bigint")))
+        if checkpoint and level.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, depths)
+
+
+def _bits(root: str) -> list:
+    """Block and word of one integral root."""
+    bit = F.expr(f"shiftleft(1L, cast({root} & 63 as int))")
+    return [F.shiftright(root, 6).alias("block"), bit.alias("word")]
+
+
+def _roots(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row per bit: ``root`` and ``columns``."""
+    bits = rows.select("block", "word", *columns, F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_bit"))
+    return bits.where(F.expr("shiftright(word, _bit) & 1 = 1")).select(
+        (F.shiftleft("block", 6) + F.col("_bit")).alias("root"), *columns
+    )
+
+
 def include_closure(
     roots: DataFrame,
     edges: DataFrame,
     max_depth: int = MAX_HEADER_SEARCH_LEVEL + 1,
     checkpoint: bool = True,
 ) -> DataFrame:
-    """``(root, node, depth)``: nodes reachable from each root, shortest depth
+    """``(root, node, depth)``: nodes reachable from each root (an integer), shortest depth
     1..``max_depth`` (direct includes are depth 1; nodes up to depth 8 are
-    expanded, so results reach depth 9).
-
-    Level k holds the (root, node) pairs first reached by k steps: one join of
-    the previous level with the edges, one distinct, and an anti-join with the
-    pairs reached before, so no pair is walked twice and the shortest depth is
-    the level itself.  The loop ends with an empty level, after ``max_depth``
-    levels (a constant) at most.  Every level is written to the reliable
-    checkpoint directory, so the plan stays flat and a lost executor costs one
-    level, not the whole walk.
-    """
-    e = edges.select("src", "dst").distinct()
+    expanded, so results reach depth 9)."""
     keep = cut_lineage if checkpoint else (lambda df: df)
-    e = keep(e)
-    level = roots.select(F.col("root"), F.col("root").alias("node"))
-    walked: DataFrame | None = None
-    for depth in range(1, max_depth + 1):
-        reached = level.join(e, level.node == e.src, "inner").select("root", F.col("dst").alias("node")).distinct()
-        if walked is not None:
-            reached = reached.join(walked.select("root", "node"), ["root", "node"], "left_anti")
-        level = keep(reached.withColumn("depth", F.lit(depth).cast("bigint")))
-        walked = level if walked is None else walked.unionByName(level)
-        if checkpoint and level.isEmpty():
-            break
-    return walked
+    e = keep(edges.select("src", "dst").distinct())
+    r = roots.select(F.col("root").cast("long").alias("root")).where(F.col("root").isNotNull()).distinct()
+    first = r.join(e, r.root == e.src).select(F.col("dst").alias("node"), *_bits("root"))
+
+    def step(level: DataFrame) -> DataFrame:
+        return level.join(e, level.node == e.src).select(F.col("dst").alias("node"), "block", "word")
+
+    return _roots(_grow(first, step, ["node"], max_depth, checkpoint), "node", "depth")
+
+
+def _parent_dir(path: str):
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
+def resolve_paths(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``(files' columns, path)`` of every include that exists, among ``files
+    (..., own_dir, inc, search array<string>)``: the including file's directory
+    wins, otherwise every search directory that has it.  ``inc`` may hold
+    directories and ``..``.
+
+    One equi-join with ``manifest (path)``: an include is its short list of
+    candidate paths, and only those of the best rank found stay (a window per
+    include, as long as the search list).
+    """
+    own = path_join("own_dir", "inc")
+    others = F.array_except(
+        F.array_distinct(F.transform("search", lambda d: path_join(d, F.col("inc")))), F.array(own)
+    )
+    wanted = files.withColumn("_id", F.struct(*files.columns)).select(
+        "_id", F.posexplode(F.concat(F.array(own), others)).alias("_at", "path")
+    )
+    hits = wanted.join(manifest.select("path").distinct(), "path").withColumn("_rank", F.least("_at", F.lit(1)))
+    best = F.min("_rank").over(Window.partitionBy("_id"))
+    found = hits.withColumn("_best", best).where(F.col("_rank") == F.col("_best"))
+    return found.select("_id.*", "path").distinct()
+
+
+def _above(directory, levels):
+    """The directory ``levels`` higher (the root has none above it)."""
+    parts = F.split(directory, "/")
+    return F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - levels, F.lit(1))), "/")
+
+
+def header_closure(
+    buffers: DataFrame,
+    lines: DataFrame,
+    max_depth: int = MAX_HEADER_SEARCH_LEVEL + 1,
+) -> DataFrame:
+    """``(doc_id, path, depth)``: headers that each buffer includes, directly or not.
+
+    ``buffers (doc_id, path, search array<string>)``, ``lines (path, line)`` of
+    all files that exist, buffers among them; paths are absolute.  An include is
+    looked up next to the file that holds it, then in the search directories of
+    the *buffer*, so what a header includes can differ between buffers: a node
+    is a header as seen from one list of search directories.
+
+    Which include exists in which directory is one equi-join, made once: every
+    file is listed under each end of its path that some include names.  A depth
+    then is two equi-joins, with the includes of its files and with that list.
+    """
+    parts = F.split(F.regexp_replace(clean_path("inc"), "^/", ""), "/")
+    inc = extract_includes(lines.select("path", "line")).distinct()
+    inc = inc.select(
+        F.col("path").alias("src"),
+        F.size(F.filter(parts, lambda p: p == "..")).alias("up"),
+        F.array_join(F.filter(parts, lambda p: p != ".."), "/").alias("rest"),
+    )
+    inc = cut_lineage(inc.distinct())
+    path = F.split("path", "/")
+    ends = F.transform(
+        F.sequence(F.lit(1), F.size(path) - 1),
+        lambda n: F.struct(
+            F.array_join(F.slice(path, F.lit(1), F.size(path) - n), "/").alias("dir"),
+            F.array_join(F.slice(path, F.size(path) - n + 1, n), "/").alias("rest"),
+        ),
+    )
+    files = lines.select("path").distinct().select("path", F.explode(ends).alias("e")).select("e.*", "path")
+    there = cut_lineage(files.join(inc.select("rest").distinct(), "rest", "left_semi"))
+    beside = inc.withColumn("dir", _above(_parent_dir("src"), F.col("up"))).join(there, ["dir", "rest"])
+    near = cut_lineage(beside.select("src", "up", "rest", "path").distinct())
+    far = cut_lineage(inc.join(near, ["src", "up", "rest"], "left_anti"))
+    near = near.select("src", "path").distinct()
+
+    def includes_of(rows: DataFrame) -> DataFrame:
+        keep = ["search", "block", "word", F.col("path").alias("node")]
+        own = rows.join(near, rows.node == near.src).select(*keep)
+        wanted = rows.join(far, rows.node == far.src).select(
+            "search", "block", "word", "up", "rest", F.explode("search").alias("d")
+        )
+        wanted = wanted.withColumn("dir", _above(F.col("d"), F.col("up")))
+        return own.unionByName(wanted.join(there, ["dir", "rest"]).select(*keep))
+
+    roots = buffers.where(F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("path").alias("node"), "search"
+    )
+    first = includes_of(roots.select("search", "node", *_bits("doc_id")))
+    grown = _grow(first, includes_of, ["search", "node"], max_depth, True)
+    return _roots(grown, "node", "depth").select(
+        F.col("root").alias("doc_id"), F.col("node").alias("path"), "depth"
+    )

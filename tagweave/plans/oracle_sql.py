@@ -665,15 +665,63 @@ ORACLES["find_buffers"] = (
 ORACLES["admit_buffers"] = _with(BUFFERS) + "\nSELECT doc_id, ft, ft_id, status FROM admitted"
 ORACLES["project_units"] = _with(BUFFERS) + "\nSELECT doc_id, ft, root, recurse, is_c, unit FROM units"
 ORACLES["project_refs"] = _with(BUFFERS) + "\nSELECT ft, unit, count(*) AS refs FROM units GROUP BY ft, unit"
+SOURCE_FILES = r"""
+src_lines AS (
+  SELECT doc_id, lang, source, unnest(range(len(l))) AS line_no, unnest(l) AS line
+  FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS l FROM documents)
+),
+src_targets AS (
+  SELECT *, (doc_id * 2 + length(line)) % 500 AS far, (doc_id + 3 * length(line)) % 600 AS own, (doc_id * 7 + length(line)) % 400 AS other
+  FROM src_lines
+),
+src_incs AS (
+  SELECT DISTINCT doc_id, lang, source, CASE line_no % 5 WHEN 0 THEN 'h' || (far % 3) || '/f' || far || '.h'
+    WHEN 1 THEN 'f' || own || '.h' ELSE '../h' || (other % 3) || '/f' || other || '.h' END AS inc
+  FROM src_targets WHERE line_no % 5 IN (0, 1, 3)
+),
+hdr AS (SELECT doc_id, '/w/fr/h' || (doc_id % 3) || '/f' || doc_id || '.h' AS path, '/w/fr/h' || (doc_id % 3) AS dir FROM documents),
+bufs AS (SELECT doc_id, '/w/fr/' || source || '/f' || doc_id || '.txt' AS path, '/w/fr/' || source AS dir FROM documents WHERE lang = 'fr'),
+all_files AS (SELECT * FROM hdr UNION ALL SELECT * FROM bufs),
+all_incs AS (
+  SELECT f.path AS src, f.dir, i.inc, regexp_replace(f.dir || '/' || i.inc, '/[^/]+/[.][.]/', '/') AS near
+  FROM all_files f JOIN src_incs i USING (doc_id)
+)"""
+ORACLES["include_edges"] = (
+    _with(SOURCE_FILES)
+    + """
+SELECT src, near AS dst FROM all_incs WHERE near IN (SELECT path FROM all_files)
+UNION
+SELECT src, regexp_replace('/w/fr/' || inc, '/[^/]+/[.][.]/', '/') FROM all_incs
+WHERE near NOT IN (SELECT path FROM all_files)
+  AND regexp_replace('/w/fr/' || inc, '/[^/]+/[.][.]/', '/') IN (SELECT path FROM all_files)"""
+)
+# A walk of (buffer, file) pairs; the search directories are the buffer's.
+HEADER_WALK = SOURCE_FILES + """,
+c_units AS (SELECT u.doc_id, u.filename, u.dir, u.root FROM units u WHERE is_c),
+walk(doc_id, root, dir, path, lvl) AS (
+  SELECT doc_id, root, dir, filename, 0 FROM c_units
+  UNION
+  SELECT doc_id, root, dir, unnest(CASE WHEN near IN (SELECT path FROM all_files) THEN [near]
+    ELSE list_filter([CASE WHEN at_root IN (SELECT path FROM all_files) THEN at_root END,
+                      CASE WHEN at_dir IN (SELECT path FROM all_files) THEN at_dir END], lambda x: x IS NOT NULL) END), lvl + 1
+  FROM (SELECT w.doc_id, w.root, w.dir, w.lvl, i.near,
+          regexp_replace(w.root || '/' || i.inc, '/[^/]+/[.][.]/', '/') AS at_root,
+          regexp_replace(w.dir || '/' || i.inc, '/[^/]+/[.][.]/', '/') AS at_dir
+        FROM walk w JOIN all_incs i ON i.src = w.path WHERE w.lvl < 9)
+)"""
+ORACLES["header_closure"] = (
+    _with(BUFFERS, HEADER_WALK).replace("WITH", "WITH RECURSIVE", 1)
+    + "\nSELECT doc_id, path, CAST(min(lvl) AS BIGINT) AS depth FROM walk WHERE lvl > 0 GROUP BY doc_id, path"
+)
 ORACLES["scan_set"] = (
-    _with(BUFFERS, INCLUDE_REFS)
+    _with(BUFFERS, HEADER_WALK).replace("WITH", "WITH RECURSIVE", 1)
     + """
 SELECT ft, unit, filename AS member FROM units WHERE is_c OR NOT recurse
 UNION
 SELECT u.ft, u.unit, b.filename FROM units u JOIN buffers b ON b.ft = u.ft AND starts_with(b.filename, u.unit || '/')
 WHERE u.recurse AND NOT u.is_c
 UNION
-SELECT u.ft, u.unit, r.path FROM units u JOIN resolved r USING (doc_id) WHERE u.is_c"""
+SELECT u.ft, u.unit, w.path FROM units u JOIN walk w USING (doc_id) WHERE w.lvl > 0"""
 )
 ORACLES["cache_or_build"] = (
     _with(BUFFERS)

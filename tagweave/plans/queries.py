@@ -26,7 +26,13 @@ from tagweave.operators.events import (
     route_events,
     tick_gate,
 )
-from tagweave.operators.includes import include_closure, resolve_includes, sorted_headers
+from tagweave.operators.includes import (
+    header_closure,
+    include_closure,
+    resolve_includes,
+    resolve_paths,
+    sorted_headers,
+)
 from tagweave.operators.index import normalize_tags, parse_tags
 from tagweave.operators.lexer import joined_blocks, line_blocks, strip_blocks
 from tagweave.operators.lines import extract_includes, line_dump, lines_range, reconcile
@@ -332,6 +338,16 @@ def q_headers_sorted(spark, sf):
     return h.select("doc_id", F.array_join("headers", ",").alias("headers"))
 
 
+@query("include_edges")
+def q_include_edges(spark, sf):
+    """What every file of the C project includes, from its lines."""
+    lines = T.source_lines(spark, sf)
+    inc = extract_includes(lines).distinct()
+    own = dirname("path")
+    files = inc.select(F.col("path").alias("src"), own.alias("own_dir"), "inc", F.array(F.lit(T.HEADER_ROOT), own).alias("search"))
+    return resolve_paths(files, lines).select("src", F.col("path").alias("dst")).distinct()
+
+
 @query("include_closure")
 def q_include_closure(spark, sf):
     roots = T.documents(spark, sf, ("doc_id",)).select(F.col("doc_id").alias("root"))
@@ -395,11 +411,23 @@ def q_project_refs(spark, sf):
     return project_refs(_units(spark, sf))
 
 
+def _header_closure(spark, sf):
+    """Headers of the admitted C buffers: search directories are the project root and the own one."""
+    c = _units(spark, sf).where("is_c").select(
+        "doc_id", F.col("filename").alias("path"), F.array_distinct(F.array("root", "dir")).alias("search")
+    )
+    return header_closure(c, T.source_lines(spark, sf))
+
+
+@query("header_closure")
+def q_header_closure(spark, sf):
+    return _header_closure(spark, sf)
+
+
 @query("scan_set")
 def q_scan_set(spark, sf):
     u = _units(spark, sf).select("doc_id", "ft", "unit", "filename", "is_c", "recurse")
-    headers = resolve_includes(T.include_refs(spark, sf), T.manifest(spark, sf))
-    return scan_set(u, headers, T.file_tree(spark, sf))
+    return scan_set(u, _header_closure(spark, sf).select("doc_id", "path"), T.file_tree(spark, sf))
 
 
 @query("cache_or_build")

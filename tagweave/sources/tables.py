@@ -310,6 +310,34 @@ def include_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+HEADER_ROOT = "/w/fr"
+
+
+def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, line)``: the lines of every file of the C project.
+
+    Each document is a header ``h<id % 3>/f<id>.h`` under the project root, those
+    in French are buffers as well.  A line is an include directive whose target
+    follows from its document, number and length; ``line_no % 5`` gives its form.
+    """
+    d = documents(spark, sf_dir)
+    header = F.concat(F.lit(f"{HEADER_ROOT}/h"), _s(F.col("doc_id") % 3), F.lit("/f"), _s(F.col("doc_id")), F.lit(".h"))
+    buffer = F.concat(F.lit("/w/"), F.col("lang"), F.lit("/"), F.col("source"), F.lit("/f"), _s(F.col("doc_id")), F.lit(".txt"))
+    paths = F.when(F.col("lang") == "fr", F.array(header, buffer)).otherwise(F.array(header))
+    lines = d.select("doc_id", paths.alias("paths"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    size, id_ = F.char_length("line"), F.col("doc_id")
+    far, own, any_ = (id_ * 2 + size) % 500, (id_ + 3 * size) % 600, (id_ * 7 + size) % 400
+    form = F.col("line_no") % 5
+    line = (
+        F.when(form == 0, F.concat(F.lit('#include "h'), _s(far % 3), F.lit("/f"), _s(far), F.lit('.h"')))
+        .when(form == 1, F.concat(F.lit('#  include   "f'), _s(own), F.lit('.h" // c')))
+        .when(form == 2, F.concat(F.lit(' #include "f'), _s(own), F.lit('.h"')))
+        .when(form == 3, F.concat(F.lit("#include <../h"), _s(any_ % 3), F.lit("/f"), _s(any_), F.lit(".h>")))
+        .otherwise(F.lit('#include ""'))
+    )
+    return lines.select(F.explode("paths").alias("path"), line.alias("line"))
+
+
 # ---------------------------------------------------------------- buffers and projects
 BUFFER_FT = {"en": "python", "fr": "cpp", "de": "vim", "es": "es"}
 IGNORED_FILETYPES = ["vim"]
