@@ -1,11 +1,16 @@
 """Structured Streaming: keep buffers current from a change stream.
 
-The stream carries ``(buf, ctick, op, first, last, lines)`` rows with ``op`` in
-``lines`` (replace ``[first, last)``), ``tick`` (tick only) and ``detach``
-(drop the buffer).  State per buffer -- its lines, tick and initialised flag --
-lives in the state store, keyed and partitioned by ``buf``; one micro-batch
-applies a buffer's new edits in tick order.  Edits whose tick is not newer
-than the stored tick go to the output with status ``late`` and are not applied.
+The stream carries ``(buf, seq, ctick, op, first, last, lines)`` rows with ``op``
+in ``attach`` (open the buffer with ``lines``), ``lines`` (replace
+``[first, last)``), ``tick`` (tick only) and ``detach`` (drop the buffer).
+
+``seq`` is the event's place in the change log (an offset, a line number): the
+order of arrival, which ticks do not give, as they begin anew with every
+attach.  A micro-batch applies a buffer's events in that order; events without
+one come first, in tick order, attaches before all others.  State per buffer --
+its lines, tick and initialised flag -- lives in the state store, keyed and
+partitioned by ``buf``.  Edits whose tick is not newer than the stored tick go
+to the output with status ``late`` and are not applied.
 """
 
 from __future__ import annotations
@@ -38,6 +43,7 @@ EDIT_STREAM_SCHEMA = StructType(
         StructField("first", LongType()),
         StructField("last", LongType()),
         StructField("lines", ArrayType(StringType())),
+        StructField("seq", LongType()),
     ]
 )
 
@@ -61,42 +67,75 @@ OUTPUT_SCHEMA = StructType(
 )
 
 
-def _replay(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Apply one buffer's new edits in tick order (equal ticks in arrival order).
+def _in_order(batches: Iterator[pd.DataFrame]) -> list[tuple]:
+    """A buffer's events of one micro-batch in the order of arrival."""
+    events = []
+    for pdf in batches:
+        for ctick, op, first, last, repl, seq in zip(
+            pdf["ctick"], pdf["op"], pdf["first"], pdf["last"], pdf["lines"], pdf["seq"]
+        ):
+            known, tick = pd.notna(seq), int(ctick) if pd.notna(ctick) else 0
+            events.append(((known, int(seq) if known else 0, op != "attach", tick), op, first, last, repl))
+    events.sort(key=lambda e: e[0])  # stable: what is equal stays as it came
+    return [(order[3], op, first, last, repl) for order, op, first, last, repl in events]
+
+
+def _replay(idle: int | None):
+    def replay(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Apply one buffer's new events.
+
+        A detach drops the buffer, an attach opens it with its lines, whatever was
+        there; edits after a detach start from a fresh buffer.  So the outcome does
+        not depend on where batches end.
+        """
+        (buf,) = key
+        names = [f.name for f in OUTPUT_SCHEMA.fields]
+        if state.hasTimedOut:
+            _, tick, _ = state.get
+            state.remove()
+            yield pd.DataFrame([(buf, tick, "expired", None, None, None)], columns=names)
+            return
+        lines, tick, init = state.get if state.exists else ([""], None, False)
+        lines, alive = list(lines), state.exists
+        out = []
+        for ctick, op, first, last, repl in _in_order(batches):
+            repl = [] if repl is None else list(repl)
+            if op == "attach":
+                lines, tick, init, alive = repl or [""], ctick, True, True
+            elif tick is not None and ctick <= tick:
+                out.append((buf, ctick, "late", None, None, None))
+            elif op == "detach":
+                out.append((buf, ctick, "detached", None, None, None))
+                (lines, tick, init), alive = ([""], None, False), False
+            else:
+                if op == "lines":
+                    lines, init = apply_edit((lines, init), int(first), int(last), repl)
+                tick, alive = ctick, True
+        if alive:
+            state.update((lines, tick, init))
+            if idle is not None:
+                state.setTimeoutDuration(idle)
+            out.append((buf, tick, "current", len(lines), "\n".join(lines), init))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=names)
+
+    return replay
+
+
+def buffer_states(edit_stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Per micro-batch, the current state of every buffer that changed, plus
+    ``late`` and ``detached`` markers.  Works on batch frames as well.
 
-    A detach drops the buffer; edits after it, in this batch or a later one,
-    start from a fresh buffer, so the outcome does not depend on where batches end.
+    With ``idle_ms`` a buffer without events for that long leaves the state
+    store, with an ``expired`` marker, so the state does not grow with buffers
+    that are never closed; a later edit finds a fresh buffer.
     """
-    (buf,) = key
-    fresh = ([""], None, False)
-    lines, tick, init = state.get if state.exists else fresh
-    lines, alive = list(lines), state.exists
-    out = []
-    edits = pd.concat(list(batches), ignore_index=True).sort_values("ctick", kind="stable")
-    for ctick, op, first, last, repl in zip(edits["ctick"], edits["op"], edits["first"], edits["last"], edits["lines"]):
-        if tick is not None and ctick <= tick:
-            out.append((buf, ctick, "late", None, None, None))
-        elif op == "detach":
-            out.append((buf, ctick, "detached", None, None, None))
-            (lines, tick, init), alive = ([""], None, False), False
-        else:
-            if op == "lines":
-                repl = [] if repl is None else list(repl)
-                lines, init = apply_edit((lines, init), int(first), int(last), repl)
-            tick, alive = ctick, True
-    if alive:
-        state.update((lines, tick, init))
-        out.append((buf, tick, "current", len(lines), "\n".join(lines), init))
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame(out, columns=[f.name for f in OUTPUT_SCHEMA.fields])
-
-
-def buffer_states(edit_stream: DataFrame) -> DataFrame:
-    """Per micro-batch, the current state of every buffer that changed, plus
-    ``late`` and ``detached`` markers.  Works on batch frames as well."""
+    if "seq" not in edit_stream.columns:
+        edit_stream = edit_stream.withColumn("seq", F.lit(None).cast("long"))
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return edit_stream.groupBy("buf").applyInPandasWithState(
-        _replay, OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
+        _replay(idle_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "update", timeout
     )
 
 
@@ -106,8 +145,11 @@ def seen_files(events: DataFrame, file: str = "filename") -> DataFrame:
 
 
 def attached_edits(snapshots: DataFrame, edits: DataFrame) -> DataFrame:
-    """The stream of a buffer's life: each attached snapshot as its first edit, then its edits."""
-    return attach_events(snapshots).unionByName(edits.select("buf", "ctick", "op", "first", "last", "lines"))
+    """The stream of a buffer's life: attached snapshots and edits (``seq`` tells their order)."""
+    columns = [f.name for f in EDIT_STREAM_SCHEMA.fields]
+    if "seq" not in edits.columns:
+        edits = edits.withColumn("seq", F.lit(None).cast("long"))
+    return attach_events(snapshots).unionByName(edits.select(*columns))
 
 
 def publish(out_path: str):
@@ -133,13 +175,15 @@ def read_change_stream(spark, path: str, fmt: str = "json", max_files: int | Non
 
 
 def attach_events(snapshots: DataFrame, text: str = "text") -> DataFrame:
-    """Attach: a document snapshot becomes the buffer's first edit (tick 0,
-    replacing the initial empty line), to be unioned ahead of its edits."""
+    """Attach: a document snapshot opens the buffer at tick 0, at its place ``seq`` in the
+    change log (without that column: before all events of the batch)."""
+    seq = F.col("seq").cast("long") if "seq" in snapshots.columns else F.lit(None).cast("long")
     return snapshots.select(
         F.col("doc_id").alias("buf"),
         F.lit(0).cast("long").alias("ctick"),
-        F.lit("lines").alias("op"),
+        F.lit("attach").alias("op"),
         F.lit(0).cast("long").alias("first"),
         F.lit(1).cast("long").alias("last"),
         F.split(F.col(text), "\n").alias("lines"),
+        seq.alias("seq"),
     )

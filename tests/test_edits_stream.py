@@ -124,3 +124,60 @@ def test_attach_edit_detach_stream(spark, tmp_dir):
     assert [r.filename for r in seen_files(life).collect()] == ["f1"]
     closes = life.withColumn("op", F.regexp_replace("op", "detach", "close"))
     assert [r.refs for r in stream_refs(closes).collect()] == [1]
+
+
+def run_split(spark, tmp_dir, name, events, cuts, **options):
+    """The change log cut into micro-batches; each one's events shuffled, as nothing keeps their order."""
+    import random
+
+    names = [f.name for f in EDIT_STREAM_SCHEMA.fields]
+    src = os.path.join(tmp_dir, name)
+    os.makedirs(src)
+    query = (
+        buffer_states(read_change_stream(spark, src, max_files=1), **options).writeStream.format("memory")
+        .queryName(name).outputMode("update").option("checkpointLocation", os.path.join(tmp_dir, f"ck{name}")).start()
+    )
+    for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(events)])):
+        rows = events[a:b]
+        random.Random(i).shuffle(rows)
+        with open(os.path.join(src, f"{i:03d}.json"), "w") as f:
+            f.writelines(json.dumps(dict(zip(names, row))) + "\n" for row in rows)
+        query.processAllAvailable()
+    query.stop()
+    return spark.sql(f"select * from {name}").collect()
+
+
+def test_attach_after_detach_in_every_split(spark, tmp_dir):
+    life = [
+        ("attach", 0, 0, 1, ["a", "b"]), ("lines", 3, 1, 2, ["c"]), ("lines", 2, 0, 1, ["late"]), ("detach", 4, 0, 0, None),
+        ("attach", 0, 0, 1, ["again"]), ("lines", 1, 1, 1, ["more"]), ("tick", 2, 0, 0, None),
+    ]
+    events = [(1, tick, op, first, last, lines, k) for k, (op, tick, first, last, lines) in enumerate(life)]
+    for trial, cuts in enumerate(([], [4], [5], [1, 2, 3, 4, 5, 6], [3, 6])):
+        rows = run_split(spark, tmp_dir, f"again{trial}", events, cuts)
+        last = [r for r in rows if r.status == "current"][-1]
+        assert (last.ctick, last.text, last.n_lines) == (2, "again\nmore", 2)
+        assert sorted(r.status for r in rows if r.status != "current") == ["detached", "late"]
+
+
+def test_idle_buffers_leave_the_state(spark, tmp_dir):
+    import time
+
+    src = os.path.join(tmp_dir, "idle")
+    os.makedirs(src)
+    names = [f.name for f in EDIT_STREAM_SCHEMA.fields]
+    with open(os.path.join(src, "0.json"), "w") as f:
+        f.writelines(json.dumps(dict(zip(names, (i, 1, "lines", 0, 1, ["x"], 0)))) + "\n" for i in range(3))
+    query = (
+        buffer_states(read_change_stream(spark, src), idle_ms=1).writeStream.outputMode("update")
+        .format("memory").queryName("idle").option("checkpointLocation", os.path.join(tmp_dir, "ckidle")).start()
+    )
+    try:
+        for _ in range(60):  # the query goes on by itself: time-outs need no new events
+            time.sleep(0.5)
+            if spark.sql("select * from idle where status = 'expired'").count() == 3:
+                break
+    finally:
+        query.stop()
+    rows = spark.sql("select buf, status from idle").collect()
+    assert sorted(map(tuple, rows)) == [(i, s) for i in range(3) for s in ("current", "expired")]
