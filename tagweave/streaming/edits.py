@@ -1,15 +1,16 @@
 """Structured Streaming: keep buffers current from a change stream.
 
 The stream carries ``(buf, seq, ctick, op, first, last, lines)`` rows with ``op``
-in ``attach`` (open the buffer with ``lines``), ``lines`` (replace
-``[first, last)``), ``tick`` (tick only) and ``detach`` (drop the buffer).
+in ``lines`` (replace ``[first, last)``), ``tick`` (tick only) and ``detach``
+(drop the buffer).  Ticks of an open buffer begin at 1; ``lines`` at tick 0 is
+an attach: it opens the buffer anew, whatever was there.
 
 ``seq`` is the event's place in the change log (an offset, a line number): the
 order of arrival, which ticks do not give, as they begin anew with every
 attach.  A micro-batch applies a buffer's events in that order; events without
-one come first, in tick order, attaches before all others.  State per buffer --
+one come first, in tick order.  State per buffer --
 its lines, tick and initialised flag -- lives in the state store, keyed and
-partitioned by ``buf``.  Edits whose tick is not newer than the stored tick go
+partitioned by ``buf``.  Other edits whose tick is not newer than the stored tick go
 to the output with status ``late`` and are not applied.
 """
 
@@ -75,17 +76,17 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> list[tuple]:
             pdf["ctick"], pdf["op"], pdf["first"], pdf["last"], pdf["lines"], pdf["seq"]
         ):
             known, tick = pd.notna(seq), int(ctick) if pd.notna(ctick) else 0
-            events.append(((known, int(seq) if known else 0, op != "attach", tick), op, first, last, repl))
+            events.append(((known, int(seq) if known else 0, tick), op, first, last, repl))
     events.sort(key=lambda e: e[0])  # stable: what is equal stays as it came
-    return [(order[3], op, first, last, repl) for order, op, first, last, repl in events]
+    return [(order[2], op, first, last, repl) for order, op, first, last, repl in events]
 
 
 def _replay(idle: int | None):
     def replay(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         """Apply one buffer's new events.
 
-        A detach drops the buffer, an attach opens it with its lines, whatever was
-        there; edits after a detach start from a fresh buffer.  So the outcome does
+        A detach drops the buffer and an attach opens it anew; edits after a detach
+        start from a fresh buffer.  So the outcome does
         not depend on where batches end.
         """
         (buf,) = key
@@ -100,8 +101,9 @@ def _replay(idle: int | None):
         out = []
         for ctick, op, first, last, repl in _in_order(batches):
             repl = [] if repl is None else list(repl)
-            if op == "attach":
-                lines, tick, init, alive = repl or [""], ctick, True, True
+            if op == "lines" and ctick == 0:
+                lines, init = apply_edit(([""], False), int(first), int(last), repl)
+                tick, alive = 0, True
             elif tick is not None and ctick <= tick:
                 out.append((buf, ctick, "late", None, None, None))
             elif op == "detach":
@@ -176,12 +178,12 @@ def read_change_stream(spark, path: str, fmt: str = "json", max_files: int | Non
 
 def attach_events(snapshots: DataFrame, text: str = "text") -> DataFrame:
     """Attach: a document snapshot opens the buffer at tick 0, at its place ``seq`` in the
-    change log (without that column: before all events of the batch)."""
+    change log (without that column: first among the events of a batch)."""
     seq = F.col("seq").cast("long") if "seq" in snapshots.columns else F.lit(None).cast("long")
     return snapshots.select(
         F.col("doc_id").alias("buf"),
         F.lit(0).cast("long").alias("ctick"),
-        F.lit("attach").alias("op"),
+        F.lit("lines").alias("op"),
         F.lit(0).cast("long").alias("first"),
         F.lit(1).cast("long").alias("last"),
         F.split(F.col(text), "\n").alias("lines"),

@@ -149,8 +149,8 @@ def run_split(spark, tmp_dir, name, events, cuts, **options):
 
 def test_attach_after_detach_in_every_split(spark, tmp_dir):
     life = [
-        ("attach", 0, 0, 1, ["a", "b"]), ("lines", 3, 1, 2, ["c"]), ("lines", 2, 0, 1, ["late"]), ("detach", 4, 0, 0, None),
-        ("attach", 0, 0, 1, ["again"]), ("lines", 1, 1, 1, ["more"]), ("tick", 2, 0, 0, None),
+        ("lines", 0, 0, 1, ["a", "b"]), ("lines", 3, 1, 2, ["c"]), ("lines", 2, 0, 1, ["late"]), ("detach", 4, 0, 0, None),
+        ("lines", 0, 0, 1, ["again"]), ("lines", 1, 1, 1, ["more"]), ("tick", 2, 0, 0, None),
     ]
     events = [(1, tick, op, first, last, lines, k) for k, (op, tick, first, last, lines) in enumerate(life)]
     for trial, cuts in enumerate(([], [4], [5], [1, 2, 3, 4, 5, 6], [3, 6])):
