@@ -64,12 +64,20 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Name of the key column that :func:`with_key` adds.
+#: Name of the key column that :func:`with_key` adds, where it is free.
 KEY = "__row_key"
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it (in any case of letters)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_key(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one stable long per row in column :data:`KEY`.
+    """``docs`` with one stable long per row in column ``free_name(docs, KEY)``.
 
     Unique integer ids are their own keys, which hold however often the input
     is read again.  If an id is null or repeated, rows are numbered and the
@@ -77,11 +85,12 @@ def with_key(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     pass sees the same numbers.
     """
     prepare(docs.sparkSession)
+    key = free_name(docs, KEY)
     if dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
         ids = docs.select(F.col(id_col).alias("id"))
         if ids.groupBy("id").count().filter("count > 1 or id is null").isEmpty():
-            return docs.withColumn(KEY, F.col(id_col).cast("long"))
-    return docs.withColumn(KEY, F.monotonically_increasing_id()).checkpoint()
+            return docs.withColumn(key, F.col(id_col).cast("long"))
+    return docs.withColumn(key, F.monotonically_increasing_id()).checkpoint()
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import KEY, prepare, with_key
+from tagweave.llm.common import KEY, free_name, prepare, with_key
 
 BLOCK_BYTES = 4096
 
@@ -164,6 +164,6 @@ def exact_dedup(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    rows = with_key(docs, id_col)
-    kept = exact_dedup(rows, id_col, text_col, row_col=KEY).filter("kept").select(F.col("rid").alias(KEY))
-    return rows.join(kept, KEY, "left_semi").select(*docs.columns)
+    rows, key = with_key(docs, id_col), free_name(docs, KEY)
+    kept = exact_dedup(rows, id_col, text_col, row_col=key).filter("kept").select(F.col("rid").alias(key))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import KEY, WordHash, keyed, mix, rolling, with_key, word_arrays
+from tagweave.llm.common import KEY, WordHash, free_name, keyed, mix, rolling, with_key, word_arrays
 from tagweave.workers import ship_by_value
 
 SHINGLE = 5
@@ -312,10 +312,10 @@ def drop_near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with all their columns."""
-    rows = with_key(docs, id_col)
-    found = near_duplicates(rows, threshold, KEY, text_col)
-    kept = found.filter("key = root").select(F.col("key").alias(KEY))
-    return rows.join(kept, KEY, "left_semi").select(*docs.columns)
+    rows, key = with_key(docs, id_col), free_name(docs, KEY)
+    found = near_duplicates(rows, threshold, key, text_col)
+    kept = found.filter("key = root").select(F.col("key").alias(key))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
 ship_by_value(__name__)

@@ -244,13 +244,13 @@ def crc_fold(id_col: str, folds: int) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    Rows whose crc32(id as text) mod 3 is 1 are held out of fitting.
+    Rows whose crc32(id as text) mod 3 is 1 are held out of fitting; a null id is not.
     """
     model = fit(docs, labels, crc_fold("doc_id", 3) != 1, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return score(rows, model).select(
         "doc_id",
-        (crc_fold("doc_id", 3) == 1).alias("held_out"),
+        F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )

@@ -242,3 +242,15 @@ def test_empty_tables(spark):
     blank = spark.createDataFrame([(1, None, "en", 1, 1, None), (2, "", None, 1, 1, None)], SCHEMA)
     assert sx.drop_repeated_strings(blank).select("n_bytes").collect() == [(0,), (0,)]
     assert {r.n_links for r in jaccard_join(blank).collect()} == {0}
+
+
+def test_clashing_key_columns_come_back(spark):
+    """A column with the name of the row key is the user's own, whatever its case."""
+    text = "one two three four five six seven eight"
+    docs = spark.createDataFrame(
+        [(1, text, "mine", 5), (2, text, "other", 6), (3, "else", "x", 7)], "doc_id long, text string, __row_key string, __ROW_KEY_ int"
+    )
+    for drop in (ex.drop_copies, drop_near_duplicates):
+        got = drop(docs)
+        assert got.columns == docs.columns
+        assert sorted(map(tuple, got.collect())) == [(1, text, "mine", 5), (3, "else", "x", 7)]
