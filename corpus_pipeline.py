@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import prepare, table, tokenizer_path
+from tagweave.llm.common import free_name, prepare, table, tokenizer_path
 from tagweave.llm.decontaminate import decontaminate
 from tagweave.llm.exact_dedup import drop_copies
 from tagweave.llm.jaccard_join import drop_near_duplicates
@@ -25,8 +25,8 @@ from tagweave.session import ensure_checkpoint_dir
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity score is below the threshold."""
     model = fit(docs, table(spark, sf_dir, "labels"), crc_fold("doc_id", 3) != 1)
-    scored = score(docs, model, name="__toxicity")
-    return scored.filter(F.col("__toxicity") < THRESHOLD).select(*docs.columns)
+    name = free_name(docs, "__toxicity")
+    return score(docs, model, name=name).filter(F.col(name) < THRESHOLD).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
