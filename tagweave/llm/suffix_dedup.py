@@ -361,19 +361,23 @@ def merge_runs(runs: list[np.ndarray]) -> np.ndarray:
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Strings of one range that two shards share: the chunks and starts that have them."""
+    """Strings of one range that two shards share: the starts of each chunk that has them,
+    one row a chunk with its starts packed."""
     runs = [unpack_sorted(h) for h in pdf["hashes"]]
     both = merge_runs(runs)
-    digests, starts = [], []
+    found: dict[bytes, list[np.ndarray]] = {}
     for run, o, e, k, r in zip(runs, pdf["owner"], pdf["extra"], pdf["keys"], pdf["ranks"]):
         if not len(both):
             break
         hit = both[np.minimum(np.searchsorted(both, run), len(both) - 1)] == run
-        place = unplanes(o, np.uint32)[hit]
+        place, start = unplanes(o, np.uint32)[hit], unplanes(e, np.uint32)[hit].astype(np.int32)
         halves = np.column_stack([unplanes(k, np.int64), unplanes(r, np.int64)])
-        digests += [halves[p].tobytes() for p in place]
-        starts += unplanes(e, np.uint32)[hit].astype(np.int32).tolist()
-    return pd.DataFrame({"digest": digests, "at": np.array(starts, dtype=np.int32)})
+        order = np.argsort(place, kind="stable")
+        used, first = np.unique(place[order], return_index=True)
+        for p, own in zip(used, np.split(start[order], first[1:])):
+            found.setdefault(halves[p].tobytes(), []).append(own)
+    packed = [np.concatenate(x).tobytes() for x in found.values()]
+    return pd.DataFrame({"digest": list(found), "starts": packed})
 
 
 # --- removal ------------------------------------------------------------------------
@@ -397,8 +401,8 @@ def _cut(length: int):
                             here[:] = True
                         if f["flags"] is not None:
                             here |= np.unpackbits(np.frombuffer(f["flags"], np.uint8))[: f["starts"]].astype(bool)
-                        if f["merged"]:
-                            here[f["merged"]] = True
+                        for packed in f["merged"] or ():
+                            here[np.frombuffer(packed, np.int32)] = True
                         at.append(np.flatnonzero(here) + f["start"])
                     at = np.sort(np.concatenate(at))
                     if len(at):
@@ -455,9 +459,9 @@ def drop_repeated_strings(
         found.filter("slice >= 0")
         .select("slice", "hashes", "owner", "extra", "keys", "ranks")
         .groupBy("slice")
-        .applyInPandas(_merge, "digest binary, at int")
+        .applyInPandas(_merge, "digest binary, starts binary")
         .groupBy("digest")
-        .agg(F.collect_set("at").alias("merged"))
+        .agg(F.collect_list("starts").alias("merged"))
     )
     per_chunk = (
         chunks.groupBy("digest")
