@@ -71,7 +71,7 @@ def write_index(df: DataFrame, path: str, compression: str = "none", line: str =
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """Whole files ``(path, text)`` (``binaryFile``); bytes that are not UTF-8 become
-    U+FFFD, unreadable or vanished files are skipped."""
+    U+FFFD, unreadable or vanished files are skipped (:func:`skipped_sources` names them)."""
     return (
         spark.read.format("binaryFile")
         .option("ignoreMissingFiles", True)
@@ -81,6 +81,14 @@ def read_sources(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def skipped_sources(spark: SparkSession, path: str, read: DataFrame) -> DataFrame:
+    """``(path, length, modificationTime)`` of files listed under ``path`` that ``read``, rows
+    of :func:`read_sources` of the same path, does not hold; contents are not opened."""
+    listed = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    listed = listed.withColumn("path", F.regexp_replace("path", "^file:", ""))
+    return listed.join(read.select("path").distinct(), "path", "left_anti")
+
+
 def file_manifest(spark: SparkSession, root: str) -> DataFrame:
     """``(path, dir, file, length, modificationTime)`` of every file under
     ``root``; the content column is pruned, so files are only listed."""

@@ -1,7 +1,14 @@
 import lzma
 import os
 
-from tagweave.sources.files import file_manifest, read_index, read_root_list, read_sources, write_index
+from tagweave.sources.files import (
+    file_manifest,
+    read_index,
+    read_root_list,
+    read_sources,
+    skipped_sources,
+    write_index,
+)
 
 
 def test_index_round_trip(spark, tmp_dir):
@@ -66,3 +73,13 @@ def test_only_xz_files_are_read_whole(spark, tmp_dir):
         assert read_index(spark, os.path.join(tmp_dir, "a.txt")).count() == len(lines)
     finally:
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_skipped_files_are_named(spark, tmp_dir):
+    for name in ("a.c", "b.c", "c.c"):
+        with open(os.path.join(tmp_dir, name), "w") as f:
+            f.write(name)
+    read = read_sources(spark, tmp_dir)
+    assert skipped_sources(spark, tmp_dir, read).count() == 0
+    lost = skipped_sources(spark, tmp_dir, read.where("text <> 'b.c'")).collect()
+    assert [(os.path.basename(r.path), r.length) for r in lost] == [("b.c", 3)]
