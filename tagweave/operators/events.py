@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.constants import EVENT_NAMES, FORCE_CODE, RESTORE_COMMAND, UPDATE_CODES
 from tagweave.functions.text import fill
-from tagweave.operators.ordered import ordered_lag, time_bucket
-
-#: An hour: five sessions over a month have 3,600 buckets, whatever the rows.
-BUCKET_SECONDS = 3600
+from tagweave.operators.ordered import ordered_lag
 
 
 def tick_gate(
@@ -23,11 +20,10 @@ def tick_gate(
 ) -> DataFrame:
     """Keep events whose tick differs from the last processed one (initially
     0) or that are forced.  The last processed tick always equals the
-    previous event's tick, so this is a plain lag per buffer: one exchange,
-    and a buffer holds one person's edits, a small part of the events."""
-    prev = F.coalesce(F.lag(tick).over(Window.partitionBy(buf).orderBy(ts, seq)), F.lit(0))
-    x = events.withColumn("_prev_tick", prev)
-    return x.where(F.col(force) | (F.col(tick) != F.col("_prev_tick"))).drop("_prev_tick")
+    previous event's tick, so this is a lag per buffer, a hot buffer in ranges."""
+    x = ordered_lag(events, [buf], [ts, seq], [tick], prefix="_prev_")
+    prev = F.coalesce("_prev_" + tick, F.lit(0))
+    return x.where(F.col(force) | (F.col(tick) != prev)).drop("_prev_" + tick, "has_prev")
 
 
 def active_switch(
@@ -36,11 +32,10 @@ def active_switch(
     buf: str = "buf",
     ts: str = "ts",
     seq: str = "seq",
-    bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
     """Events where the current buffer differs from the previous event's
     buffer in the same session (initially none)."""
-    x = ordered_lag(events, [session], [ts, seq], [buf], time_bucket(ts, bucket_seconds))
+    x = ordered_lag(events, [session], [ts, seq], [buf])
     changed = ~F.col("has_prev") | (F.col(buf) != F.col("prev_" + buf))
     return x.where(changed).drop("prev_" + buf, "has_prev")
 

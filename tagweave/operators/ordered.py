@@ -1,25 +1,76 @@
 """Order-dependent operators that stay parallel under key skew.
 
 ``lag`` over ``PARTITION BY key ORDER BY ts`` sends a whole key to one task;
-a key may hold a third of the data (``event_type`` has five values).  Here the
-window partition is (key, time bucket): every bucket is small, and the only
-cross-bucket information -- the last row of the previous non-empty bucket --
-comes from a per-bucket summary (one row per key and bucket) joined back on
-the same (key, bucket) keys, so the join reuses the window's partitioning.
-Buckets must be wide enough to hold many rows: the summary is then far smaller
-than the data, and one key's summary fits in a task.
+a key may hold a third of the data (``event_type`` has five values).  Here a
+key with more than a task's share of the rows is cut into ranges of its order
+by splitters from a sample, as a range partitioner would choose them, and the
+window partition is (key, range).  The only information that crosses a border
+-- the last row of the range before -- comes from a summary of one row per
+range of a hot key.  Keys below a task's share stay whole and need neither.
+
+Splitters are places in the whole order (ties of the leading column included),
+so any set of them gives the same result; they only decide the balance.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def time_bucket(ts: str, width_seconds: int) -> Column:
-    """Monotone bucket of a timestamp (non-decreasing in ``ts``)."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    return F.floor(micros / F.lit(width_seconds * 1_000_000)).cast("bigint")
+#: Sampled rows per task; ranges of a hot key then differ by some ten per cent.
+SAMPLES = 100
+#: The binary search has this many steps: enough for a million splitters of a key.
+_STEPS = 20
+_GRAINS = 1 << 40
+
+
+def default_tasks(df: DataFrame) -> int:
+    """Eight times the session's shuffle partitions: ranges are dealt to tasks by hash, and
+    with eight to a task no task gets much more than its share."""
+    return 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_splitters(df: DataFrame, keys: list[str], order: list[str], tasks: int) -> DataFrame:
+    """``(keys, splits)`` of the keys with more than ``1 / tasks`` of the rows: at most
+    ``tasks`` rows with about ``2 * tasks`` sorted splitters in all.
+
+    Rows are sampled by a hash of key and order, ``SAMPLES`` per task on average
+    however many rows there are; rows that are equal in both are one place.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(1)))
+    hot = counts.withColumn("_total", total.scalar()).where(F.col("_n") * tasks > F.col("_total")).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.ceil(F.col("_n") * tasks / F.col("_total")).cast("int").alias("_ranges"),
+        (F.lit(float(_GRAINS)) * SAMPLES * tasks / F.col("_total")).alias("_below"),
+    )
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    place = F.struct(*[F.col(c) for c in order])
+    grain = F.pmod(F.xxhash64(*keys, *order), F.lit(_GRAINS))
+    sampled = (
+        df.select(*keys, place.alias("_place"), grain.alias("_grain"))
+        .join(F.broadcast(hot), same)
+        .where(F.col("_grain") < F.col("_below"))
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_set("_place")).alias("_s"), F.max("_ranges").alias("_ranges"))
+    )
+    cut = F.expr("transform(sequence(1, greatest(_ranges - 1, 1)), i -> _s[cast(i * size(_s) div greatest(_ranges, 2) as int)])")
+    return sampled.select(*keys, F.array_distinct(cut).alias("splits"))
+
+
+def _range_of(splits: Column, place: Column) -> Column:
+    """How many of the sorted ``splits`` are at or before ``place`` (binary search)."""
+
+    def step(found: Column, width: Column) -> Column:
+        ahead = found + width
+        fits = (ahead <= F.size(splits)) & (F.get(splits, ahead - 1) <= place)
+        return F.when(fits, ahead).otherwise(found)
+
+    widths = F.array(*[F.lit(1 << b) for b in reversed(range(_STEPS))])
+    return F.when(splits.isNull(), F.lit(0)).otherwise(F.aggregate(widths, F.lit(0), step))
 
 
 def ordered_lag(
@@ -27,33 +78,37 @@ def ordered_lag(
     keys: list[str],
     order: list[str],
     values: list[str],
-    bucket: Column,
     prefix: str = "prev_",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add ``prev_<v>`` (previous row's value in ``order`` within ``keys``)
     and ``has_prev`` to ``df``.
 
-    ``bucket`` must be non-decreasing in ``order`` within a key (e.g.
-    :func:`time_bucket` of the leading timestamp).
+    One exchange of the rows, by (key, range); both joined tables have at most some
+    ``2 * tasks`` rows, which bounds the broadcasts.  Null keys are one key, and null
+    places come first.  Rows equal in key and order follow each other in any order.
     """
-    b = "_bucket"
-    x = df.withColumn(b, bucket)
-    in_bucket = Window.partitionBy(*keys, b).orderBy(*order)
-    order_key = F.struct(*[F.col(c) for c in order])
+    tasks = tasks or default_tasks(df)
+    names = [f"_k{i}" for i in range(len(keys))]
+    renamed = [F.col(k).alias(n) for k, n in zip(keys, names)]
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    place = F.struct(*[F.col(c) for c in order])
     packed = F.struct(*[F.col(v).alias(v) for v in values])
 
-    x = x.withColumn("_prev_in", F.lag(packed).over(in_bucket)).withColumn(
-        "_first", F.row_number().over(in_bucket) == 1
-    )
-    # Last row of every (key, bucket), then the previous non-empty bucket's last
-    # row.  The summary aggregates its few columns straight from the input with a
-    # partial step, so one row per (key, bucket) and task is shuffled.
-    last = df.withColumn(b, bucket).groupBy(*keys, b).agg(F.max_by(packed, order_key).alias("_last"))
-    by_key = Window.partitionBy(*keys).orderBy(b)
-    carry = last.select(*keys, b, F.lag("_last").over(by_key).alias("_prev_bucket"))
-
-    y = x.join(carry, [*keys, b], "left")
-    prev = F.when(F.col("_first"), F.col("_prev_bucket")).otherwise(F.col("_prev_in"))
+    splits = hot_splitters(df, keys, order, tasks).select(*renamed, "splits")
+    x = df.join(F.broadcast(splits), same, "left").withColumn("_range", _range_of(F.col("splits"), place))
+    x = x.withColumn("_hot", F.col("splits").isNotNull()).drop("splits", *names)
+
+    # The last row of every range of a hot key, added up before it is sent, and for
+    # every range the last row of the one before it.
+    last = x.where("_hot").groupBy(*keys, "_range").agg(F.max_by(packed, place).alias("_last"))
+    by_key = Window.partitionBy(*keys).orderBy("_range")
+    carry = last.select(*renamed, F.col("_range").alias("_r"), F.lag("_last").over(by_key).alias("_before"))
+
+    in_range = Window.partitionBy(*keys, "_range").orderBy(*order)
+    y = x.withColumn("_prev_in", F.lag(packed).over(in_range))
+    y = y.join(F.broadcast(carry), same & (F.col("_range") == F.col("_r")), "left")
+    prev = F.coalesce("_prev_in", "_before")  # a struct of nulls is not null
     y = y.withColumn("_prev", prev)
     out = [F.col(c) for c in df.columns]
     out += [F.col("_prev")[v].alias(prefix + v) for v in values]

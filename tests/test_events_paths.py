@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tagweave.operators.events import coerce_props
 from tagweave.operators.includes import include_closure, resolve_includes
-from tagweave.operators.ordered import ordered_lag, time_bucket
+from tagweave.operators.ordered import hot_splitters, ordered_lag
 from tagweave.operators.projects import longest_prefix
 
 
@@ -16,13 +16,44 @@ def test_ordered_lag_matches_window_lag(spark):
     rows = [(i, base + dt.timedelta(seconds=rnd.randint(0, 3000)), rnd.choice([1, 2, 2, 2, 3]), rnd.randint(0, 5))
             for i in range(2000)]
     df = spark.createDataFrame(rows, "seq long, ts timestamp, key long, v long")
-    got = ordered_lag(df, ["key"], ["ts", "seq"], ["v"], time_bucket("ts", 7))
+    got = ordered_lag(df, ["key"], ["ts", "seq"], ["v"], tasks=64)
     want = df.withColumn("w", F.lag("v").over(Window.partitionBy("key").orderBy("ts", "seq")))
     a = {(r.seq, r.prev_v, r.has_prev) for r in got.collect()}
     b = {(r.seq, r.w, r.w is not None) for r in want.collect()}
     assert a == b
 
 
+def test_ordered_lag_with_nulls_and_one_hot_instant(spark):
+    """Null keys and values, and a third of all rows at one instant of one key."""
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice([None, 7, 7, rnd.randint(0, 50)]), rnd.choice(["a", "a", None, "b"]), rnd.choice([None, 1, 2]))
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "seq long, ts long, key string, v long")
+    got = ordered_lag(df, ["key"], ["ts", "seq"], ["v"], tasks=48)
+    w = Window.partitionBy("key").orderBy("ts", "seq")
+    want = df.withColumn("w", F.lag("v").over(w)).withColumn("n", F.row_number().over(w))
+    a = sorted((r.seq, str(r.prev_v), r.has_prev) for r in got.collect())
+    assert a == sorted((r.seq, str(r.w), r.n > 1) for r in want.collect())
+    assert ordered_lag(df.where("seq < 0"), ["key"], ["ts", "seq"], ["v"]).collect() == []
+
+
+def test_ranges_of_a_hot_key_are_even(spark):
+    """Nine in ten rows are of one key, half of these at one instant; no range is twice the mean."""
+    rows = spark.range(40000).select(
+        F.col("id").alias("seq"),
+        F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("key"),
+        F.when(F.col("id") % 2 == 0, 5).otherwise(F.col("id") * F.col("id")).alias("ts"),
+    )
+    tasks = 20
+    splits = hot_splitters(rows, ["key"], ["ts", "seq"], tasks).collect()
+    assert [r.key for r in splits] == [-1]
+    places = sorted((r.ts, r.seq) for r in rows.where("key = -1").collect())
+    cuts = [(s.ts, s.seq) for s in splits[0].splits]
+    assert cuts == sorted(set(cuts)) and len(cuts) <= tasks
+    sizes = [sum(a <= p < b for p in places) for a, b in zip([(-1, -1), *cuts], [*cuts, (1 << 62, 0)])]
+    assert sum(sizes) == len(places) and max(sizes) < 2 * 40000 / tasks
+
+
 def test_bool_coercion_and_map_last_win(spark):
     df = spark.createDataFrame([('{"k": 0}',), ('{"k": 1}',), ('{"k": 2}',), ('{"k": 1, "k": 2}',)], "props string")
     got = [r.k_bool for r in coerce_props(df).collect()]

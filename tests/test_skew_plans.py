@@ -67,8 +67,10 @@ def test_plan_shapes(spark):
     assert "BroadcastHashJoin" in p
     # the document-token side is never the broadcast (build) side
     assert not re.search(r"BroadcastExchange[^\n]*\n[^\n]*Generate explode\(array_distinct", p)
-    p = plan_of(qs["active_switch"](spark, SF))
-    assert re.search(r"hashpartitioning\(event_type#\d+, _bucket#\d+", p)
+    for key, of in [("active_switch", "event_type"), ("tick_gate", "user_id")]:
+        p = plan_of(qs[key](spark, SF))
+        assert re.search(rf"hashpartitioning\({of}#\d+L?, _range#\d+", p), key
+        assert "NestedLoop" not in p and "Cartesian" not in p, key
     p = plan_of(qs["token_set"](spark, SF))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in p
     p = plan_of(qs["admit_buffers"](spark, SF))
