@@ -742,3 +742,25 @@ after_docs AS (
 ORACLES["incremental_match"] = (
     _tag_pipeline(docs="after_docs", extra=(AFTER_DOCS,)) + "\nSELECT doc_id, name, kind FROM matches"
 )
+
+# A full recompute of the second snapshot against the second index.
+ORACLES["index_delta_match"] = (
+    _with(
+        AFTER_DOCS,
+        """
+open_docs AS (
+  SELECT * FROM after_docs WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+)""",
+        RAW_TAGS.format(langs=DOC_LANGS),
+        PARSED_TAGS,
+        NORM_TAGS.format(langs=DOC_LANG_SET).replace("ntags AS", "old_tags AS"),
+        """
+ntags AS (
+  SELECT DISTINCT target_lang, file, kind,
+         CASE WHEN length(name) % 5 = 0 THEN left(name, length(name) - 1) ELSE name END AS name
+  FROM old_tags
+)""",
+        MATCHES.format(docs="open_docs"),
+    )
+    + "\nSELECT doc_id, name, kind FROM matches"
+)

@@ -39,6 +39,7 @@ from tagweave.operators.lines import extract_includes, line_dump, lines_range, r
 from tagweave.operators.match import first_of_kind, incremental_matches, match_stats, match_tags
 from tagweave.operators.ordered import first_occurrence_order
 from tagweave.operators.patterns import highlight_commands, kind_patterns
+from tagweave.operators.postings import delta_matches, store_matches
 from tagweave.operators.projects import (
     admit_buffers,
     cache_or_build,
@@ -51,6 +52,7 @@ from tagweave.operators.projects import (
     scan_set,
 )
 from tagweave.operators.regions import drop_if0
+from tagweave.session import new_folder
 from tagweave.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -447,3 +449,15 @@ def q_incremental_match(spark, sf):
     tags = _norm_tags(spark, sf)
     stored = match_tags(before.drop("n_chars"), tags)
     return incremental_matches(stored, before, after, tags)
+
+
+@query("index_delta_match")
+def q_index_delta_match(spark, sf):
+    """Documents edited, opened and closed and index rows renamed since the stored run."""
+    tags = _norm_tags(spark, sf)
+    path = new_folder(spark, "matches")
+    before = T.documents(spark, sf, ("doc_id", "lang", "source", "text", "n_chars"))
+    store_matches(before, tags, path)
+    closed = T.load(spark, sf, "labels").where(F.col("toxic") == 1).select("doc_id")
+    after = T.changed_documents(spark, sf).join(closed, "doc_id", "left_anti")
+    return delta_matches(spark, path, after, T.renamed_tags(tags))

@@ -403,3 +403,9 @@ def changed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(chg, F.replace("text", F.lit("e"), F.lit("a"))).otherwise(F.col("text")).alias("text"),
         F.when(chg, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n_chars"),
     )
+
+
+def renamed_tags(norm_tags: DataFrame) -> DataFrame:
+    """A second index: names whose length divides by five lose their last character."""
+    name = F.when(F.length("name") % 5 == 0, F.expr("left(name, length(name) - 1)")).otherwise(F.col("name"))
+    return norm_tags.withColumn("name", name)
