@@ -764,3 +764,10 @@ ntags AS (
     )
     + "\nSELECT doc_id, name, kind FROM matches"
 )
+
+# Exact counts; both error bounds hold in every group.
+ORACLES["token_sketch"] = f"""
+WITH t AS (SELECT lang, source, unnest(regexp_extract_all(text, '{ID}')) AS name FROM documents)
+SELECT lang, source, count(*) AS n_tokens, count(DISTINCT name) AS unique_tokens,
+       true AS unique_within, true AS top_within
+FROM t GROUP BY lang, source"""

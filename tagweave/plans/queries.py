@@ -36,7 +36,7 @@ from tagweave.operators.includes import (
 from tagweave.operators.index import normalize_tags, parse_tags
 from tagweave.operators.lexer import joined_blocks, line_blocks, strip_blocks
 from tagweave.operators.lines import extract_includes, line_dump, lines_range, reconcile
-from tagweave.operators.match import first_of_kind, incremental_matches, match_stats, match_tags
+from tagweave.operators.match import first_of_kind, incremental_matches, match_stats, match_tags, token_arrays
 from tagweave.operators.ordered import first_occurrence_order
 from tagweave.operators.patterns import highlight_commands, kind_patterns
 from tagweave.operators.postings import delta_matches, store_matches
@@ -52,6 +52,7 @@ from tagweave.operators.projects import (
     scan_set,
 )
 from tagweave.operators.regions import drop_if0
+from tagweave.operators.sketches import TOP_ERROR, UNIQUE_ERROR, merge_sketches, read_sketches, token_sketches
 from tagweave.session import new_folder
 from tagweave.sources import tables as T
 
@@ -461,3 +462,30 @@ def q_index_delta_match(spark, sf):
     closed = T.load(spark, sf, "labels").where(F.col("toxic") == 1).select("doc_id")
     after = T.changed_documents(spark, sf).join(closed, "doc_id", "left_anti")
     return delta_matches(spark, path, after, T.renamed_tags(tags))
+
+
+# ------------------------------------------------------------------ approximate counts
+@query("token_sketch")
+def q_token_sketch(spark, sf):
+    """Sketches per document, merged per language and source, held against exact counts."""
+    by = ["lang", "source"]
+    tokens = token_arrays(T.documents(spark, sf), strip=False)
+    own = T.load(spark, sf, "documents").select("doc_id", "source")
+    tokens = tokens.join(own, "doc_id")
+    merged = merge_sketches(token_sketches(tokens, "doc_id", *by), *by)
+    guess = read_sketches(merged, *by).withColumnRenamed("unique_tokens", "_unique")
+
+    names = tokens.select(*by, F.explode("toks").alias("name")).groupBy(*by, "name").agg(F.count(F.lit(1)).alias("n"))
+    slack = F.col("n_tokens") * TOP_ERROR
+    least = F.array_min(F.transform("top", lambda t: t["count"]))
+    said = F.get(F.filter("top", lambda t: t["item"] == F.col("name")), F.lit(0))["count"]
+    # A reported name is near its count; one that is not reported is not above the reported ones.
+    right = F.when(said.isNull(), F.col("n") <= least + slack).otherwise(F.abs(said - F.col("n")) <= slack)
+    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"x.{c}")) for c in by]
+    held = names.alias("x").join(guess.alias("g"), same[0] & same[1])
+    return held.groupBy("x.lang", "x.source").agg(
+        F.first("n_tokens").alias("n_tokens"),
+        F.count(F.lit(1)).alias("unique_tokens"),
+        (F.abs(F.first("_unique") - F.count(F.lit(1))) <= 5 * UNIQUE_ERROR * F.count(F.lit(1)) + 1).alias("unique_within"),
+        F.every(right).alias("top_within"),
+    )
