@@ -75,6 +75,8 @@ PROBES = 7
 MAX_FILTER_BYTES = 128 << 20
 SEGMENT_BITS = 1 << 23
 MAX_FREQUENT = 1 << 20
+#: Keys whose levels a task remembers (a power of two).
+REMEMBERED = 1 << 21
 SLICE_ITEMS = 1_500_000
 #: Tokens that a task adds up, and tokens that it scores, at a time.
 COUNT_TOKENS = 800_000
@@ -129,10 +131,18 @@ def _spots(keys: np.ndarray, level: int | np.ndarray, segments: int):
 
 
 class Filter:
-    """Read side: a level is found by probing upwards from ``first``."""
+    """Read side: a level is found by probing upwards from 1.
 
-    def __init__(self, bits: np.ndarray):
+    Levels that were found are remembered in a table of fixed size, one key to a
+    place: a key's level is the same however often it is asked, and frequent keys,
+    which have the highest levels and so the most probes, come in every batch.  A
+    key gives way only to one of the same or a higher level.
+    """
+
+    def __init__(self, bits: np.ndarray, remembered: int = REMEMBERED):
         self.bits, self.segments = bits, len(bits) * 8 // SEGMENT_BITS
+        self.keys = np.zeros(remembered, np.uint64)
+        self.held = np.full(remembered, -1, np.int8)  # -1: a free place
 
     def _holds(self, keys: np.ndarray, level: int) -> np.ndarray:
         segment, at, stride = _spots(keys, level, self.segments)
@@ -140,24 +150,31 @@ class Filter:
         alive = np.arange(len(keys))
         for _ in range(PROBES):
             place = base + at
-            bit = self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1
-            stay = bit.astype(bool)
-            alive, base = alive[stay], base[stay]
-            stride = stride[stay]
+            byte = self.bits[(place >> np.uint64(3)).view(np.int64)]
+            stay = np.flatnonzero((byte >> (place & np.uint64(7)).astype(np.uint8)) & 1)
+            alive, base, stride = alive[stay], base[stay], stride[stay]
             at = (at[stay] + stride) & np.uint64(SEGMENT_BITS - 1)
             if not len(alive):
                 break
         return alive
 
-    def levels(self, keys: np.ndarray, first: int = 1) -> np.ndarray:
-        out = np.zeros(len(keys), dtype=np.int64)
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Level of each key, 0 if it is not held."""
         if not self.segments:
-            return out
-        open_, level = np.arange(len(keys)), first
+            return np.zeros(len(keys), dtype=np.int64)
+        place = (keys & np.uint64(len(self.keys) - 1)).view(np.int64)
+        known = self.held[place]
+        out = np.where(self.keys[place] == keys, known, np.int8(-1)).astype(np.int64)
+        asked = np.flatnonzero(out < 0)
+        out[asked] = 0
+        open_, level = asked, 1
         while len(open_):
             open_ = open_[self._holds(keys[open_], level)]
             out[open_] = level
             level += 1
+        # Of new keys that share a place the last one written stays, key and level alike.
+        new = asked[out[asked] >= known[asked]]
+        self.keys[place[new]], self.held[place[new]] = keys[new], out[new]
         return out
 
 
