@@ -376,32 +376,6 @@ def _histogram(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def _first_levels(histogram: dict[int, int], max_items: int) -> tuple[int, int]:
-    """Smallest held level of words and of pairs so that at most ``max_items`` are inserted.
-
-    For a filter of fixed size only: ``train`` holds all levels and does not use it.
-    """
-
-    def items(first_word: int, first_pair: int) -> int:
-        total = 0
-        for code, n in histogram.items():
-            kind, level = divmod(code, 1000)
-            first = {1: first_word, 2: first_pair, 3: 1}.get(kind)
-            if first and (kind != 3 or first_pair < 900):
-                total += n * max(0, level - first + 1)
-        return total
-
-    first_word, first_pair = 1, int(level_of(np.array([2]))[0])
-    while items(first_word, first_pair) > max_items and first_pair < 900:
-        if first_pair < 3 * first_word + 2:  # pairs give way before words
-            first_pair += 1
-        elif first_word < 200:
-            first_word += 1
-        else:
-            first_pair = 900
-    return first_word, first_pair
-
-
 def train(rows: DataFrame, max_frequent: int = MAX_FREQUENT) -> Model:
     """Counts of ``rows (text)`` as a model."""
     spark = prepare(rows.sparkSession)

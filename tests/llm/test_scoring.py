@@ -164,11 +164,17 @@ def test_model_predicts_held_out_text(spark):
     assert got and sum(r.score > r.base_score for r in got) > 0.95 * len(got)
 
 
-def test_filter_bound_raises_the_cutoff():
-    histogram = {1001: 1000, 1003: 500, 2002: 5000, 2004: 800, 3005: 100}
-    open_ = lm._first_levels(histogram, 10**9)
-    tight = lm._first_levels(histogram, 2000)
-    assert open_ == (1, int(lm.level_of(np.array([2]))[0])) and tight[1] > open_[1]
+def test_remembered_levels_are_those_of_the_filter():
+    """Far more keys than places, asked in any order and again: the same levels as without memory."""
+    rng = np.random.default_rng(8)
+    bits = rng.integers(0, 256, lm.SEGMENT_BITS // 8, dtype=np.uint8) | rng.integers(0, 256, lm.SEGMENT_BITS // 8, dtype=np.uint8)
+    keys = np.append(rng.integers(0, 1 << 63, 400, dtype=np.uint64), np.uint64(0))
+    plain = np.array([lm.Filter(bits).levels(keys[i : i + 1])[0] for i in range(len(keys))])
+    assert plain.max() > 0 and plain.min() == 0
+    held = lm.Filter(bits, remembered=64)
+    for _ in range(5):
+        order = rng.permutation(np.repeat(np.arange(len(keys)), 2))
+        assert (held.levels(keys[order]) == plain[order]).all()
 
 
 def brute_scores(texts, train):
