@@ -2,9 +2,9 @@
 
 A tag is kept for a document when the languages agree and the tag is either
 defined in the document's own file or its name occurs as a token of the
-(stripped) document.  The disjunction is planned as the union of two equi-joins
-followed by one distinct: an ``OR`` join condition would plan as a nested-loop
-join over (documents x tags).
+(stripped) document.  The disjunction is planned as one equi-join of all that a
+document asks for (names, and its file) followed by one distinct: an ``OR`` join
+condition would plan as a nested-loop join over (documents x tags).
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from tagweave.functions.tokens import tokens_by_lang
 from tagweave.operators.lexer import strip_joint
 
+#: Rows up to which an index goes to every task (some 15 MB).
+SMALL_INDEX = 100_000
+
 
 def document_tokens(docs: DataFrame, text: str = "text", lang: str = "lang", strip: bool = True) -> DataFrame:
     """``(doc_id, lang, name)``: the token set of every document (vim buffers
@@ -27,14 +30,21 @@ def document_tokens(docs: DataFrame, text: str = "text", lang: str = "lang", str
     return token_arrays(docs, text, lang, strip).select("doc_id", "lang", F.explode(toks).alias("name"))
 
 
-def token_arrays(docs: DataFrame, text: str = "text", lang: str = "lang", strip: bool = True) -> DataFrame:
-    """``(doc_id, lang, toks)``: token occurrences of the text that is left after
+def token_arrays(
+    docs: DataFrame, text: str = "text", lang: str = "lang", strip: bool = True, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``(doc_id, lang, keep, toks)``: token occurrences of the text that is left after
     ``#if 0`` regions (C family), comments and literals (C-like) are gone, all
     decided by one lexer."""
-    clean = docs.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("_body"))
+    clean = docs.select("doc_id", F.col(lang).alias("lang"), *keep, F.col(text).alias("_body"))
     if strip:
         clean = strip_joint(clean, "_body", "lang")
-    return clean.select("doc_id", "lang", tokens_by_lang("_body", "lang").alias("toks"))
+    return clean.select("doc_id", "lang", *keep, tokens_by_lang("_body", "lang").alias("toks"))
+
+
+def is_small(index: DataFrame) -> bool:
+    """Whether the index has at most ``SMALL_INDEX`` rows; they are counted, not estimated."""
+    return index.limit(SMALL_INDEX + 1).count() <= SMALL_INDEX
 
 
 def match_tags(
@@ -50,24 +60,28 @@ def match_tags(
     ``docs``: ``(doc_id, lang, source, text)``; ``norm_tags``: output of
     :func:`tagweave.operators.index.normalize_tags`.
     """
-    # Plain equi-joins: the adaptive planner broadcasts the index side when its
-    # measured size allows, and splits hot (lang, file) groups otherwise.
+    # A document asks for its tokens and for its file in one list, so what meets the
+    # index is dealt by text: the files alone are so little that one task would get them
+    # all, and each meets all of its tags.
     nt = norm_tags.select(F.col("target_lang").alias("lang"), "name", "file", "kind").distinct()
-    by_name = nt.select("lang", "name", "kind").distinct()
-    by_file = nt.select("lang", F.col("file").alias(source), "name", "kind")
-
-    toks = document_tokens(docs, strip=strip)
+    small = is_small(nt)
+    by_name = nt.select("lang", F.lit(False).alias("own"), F.col("name").alias("key"), "name", "kind").distinct()
+    by_file = nt.select("lang", F.lit(True).alias("own"), F.col("file").alias("key"), "name", "kind")
+    index = by_name.unionByName(by_file)
+
+    rows = docs.select("doc_id", "lang", F.col(source).alias("_file"), "text")
+    ask = lambda own, key: F.struct(F.lit(own).alias("own"), key.alias("key"))
+    toks = F.coalesce(F.array_distinct("toks"), F.array().cast("array<string>"))
+    asks = F.concat(F.transform(toks, lambda t: ask(False, t)), F.array(ask(True, F.col("_file"))))
+    asked = token_arrays(rows, strip=strip, keep=("_file",)).select("doc_id", "lang", F.inline(asks))
     out = ["doc_id", "lang", "name", "kind"] if keep_lang else ["doc_id", "name", "kind"]
-    in_buffer = toks.join(by_name, ["lang", "name"], "inner").select(*out)
-    in_file = (
-        docs.select("doc_id", "lang", source)
-        .join(by_file, ["lang", source], "inner")
-        .select(*out)
-    )
+    # A small index is broadcast and no token is shuffled; else a plain equi-join, whose
+    # hot names are split by the adaptive planner.
+    matches = asked.join(F.broadcast(index) if small else index, ["lang", "own", "key"]).select(*out)
     # One clustering by document serves this distinct and every rollup of the
     # matches by document and kind; a document's matches are bounded by its text
     # and its file's tags.
-    return in_buffer.unionByName(in_file).repartition("doc_id").distinct()
+    return matches.repartition("doc_id").distinct()
 
 
 def match_stats(docs: DataFrame, matches: DataFrame, text: str = "text") -> DataFrame:

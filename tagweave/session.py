@@ -10,6 +10,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Compressed shuffle bytes of a task.  Rows of tokens and matches take fifty times
+#: that in a sort or hash table, so a task stays below half a GB however large the input.
+TASK_BYTES = 8 * 1024 * 1024
+#: Shuffle partitions before AQE joins small ones up to ``TASK_BYTES``: room for 8 GB a shuffle.
+TASKS = 1000
+
 # Settings every plan in this package assumes. Sizes are per task, so they hold
 # from local[8] up to a large cluster; AQE re-plans joins and partition counts
 # from the real shuffle sizes at run time.
@@ -17,14 +23,18 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
-    "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES),
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(8 * TASK_BYTES),
+    # A scan task's texts become tokens, some twenty times the file's bytes.
+    "spark.sql.files.maxPartitionBytes": str(2 * TASK_BYTES),
     # No broadcast from static estimates: they ignore how explode/regex
     # extraction inflate rows, and would pick the wrong side.  Broadcasts come
     # from explicit hints on configuration tables of bounded size, and from
     # AQE, which converts a shuffle join from *measured* shuffle sizes.
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+    # ... also where few hot keys leave most partitions of the small side empty.
+    "spark.sql.adaptive.nonEmptyPartitionRatioForBroadcastJoin": "0",
     # Later duplicate map keys overwrite earlier ones (settings maps).
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.session.timeZone": "UTC",
@@ -58,6 +68,8 @@ def apply_defaults(spark: SparkSession) -> None:
     for key, value in DEFAULT_CONF.items():
         if key.startswith("spark.sql."):
             spark.conf.set(key, value)
+    tasks = max(TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(tasks))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
