@@ -19,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.operators.match import document_tokens, match_tags
+from tagweave.operators.match import document_tokens, is_small, match_tags
 from tagweave.session import cut_lineage
 
 BUCKETS = 64
 #: Tasks that write one bucket, so that a name of every document is not one task's.
 WRITERS = 8
+#: Sorted postings take a byte or two each, so files are cut by rows: a scan task has a few.
+FILE_ROWS = 500_000
 _NAME = ["lang", "name"]
 _MATCH = ["lang", "name", "kind"]
 
@@ -44,6 +46,7 @@ def _write_postings(postings: DataFrame, path: str) -> None:
         .repartition(BUCKETS * WRITERS, "bucket", share)
         .sortWithinPartitions("bucket", *_NAME)
         .write.partitionBy("bucket")
+        .option("maxRecordsPerFile", FILE_ROWS)
         .parquet(path)
     )
 
@@ -69,12 +72,13 @@ def store_matches(docs: DataFrame, norm_tags: DataFrame, path: str, tick: str =
 
 def _lookup(postings: DataFrame, docs: DataFrame, index: DataFrame) -> DataFrame:
     """Distinct ``(doc_id, lang, name, kind)``: names in the postings, tags of the own file."""
-    out = ["doc_id", *_MATCH]
-    by_name = postings.join(index.select(*_MATCH).distinct(), _NAME).select(*out)
-    by_file = (
-        docs.select("doc_id", "lang", F.col("source").alias("file")).join(index, ["lang", "file"]).select(*out)
-    )
-    return by_name.unionByName(by_file).distinct()
+    out, small = ["doc_id", *_MATCH], is_small(index)
+    names = index.select(*_MATCH).distinct()
+    by_name = postings.join(F.broadcast(names) if small else names, _NAME).select(*out)
+    files = docs.select("doc_id", "lang", F.col("source").alias("file"))
+    by_file = files.join(F.broadcast(index) if small else index, ["lang", "file"]).select(*out)
+    # no partial step: a scan task's postings are one row of a match each, hardly any repeats
+    return by_name.unionByName(by_file).repartition("doc_id").distinct()
 
 
 def touched_names(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tagweave.operators import postings
 from tagweave.operators.match import match_tags
 from tagweave.operators.postings import delta_matches, store_matches
 
@@ -71,3 +72,11 @@ def test_empty_snapshots(spark, tmp_dir):
     store_matches(_docs(spark, []), tags, f"{tmp_dir}/store")
     assert {tuple(r) for r in delta_matches(spark, f"{tmp_dir}/store", docs, tags).collect()} == {(1, "w1", "f")}
     assert delta_matches(spark, f"{tmp_dir}/store", _docs(spark, []), tags.limit(0)).collect() == []
+
+
+def test_files_of_postings_are_cut_by_rows(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(postings, "FILE_ROWS", 3, raising=False)
+    docs = _docs(spark, [(i, "en", "f", "w1", 1) for i in range(200)])
+    store_matches(docs, spark.createDataFrame([("en", "w1", "x", "f")], TAGS), f"{tmp_dir}/store")
+    files = spark.read.parquet(f"{tmp_dir}/store/postings").groupBy(F.input_file_name()).count()
+    assert files.agg(F.max("count"), F.sum("count")).first()[:] == (3, 200)
