@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tagweave.constants import MAX_HEADER_SEARCH_LEVEL
 from tagweave.functions.paths import clean_path, path_join
 from tagweave.operators.lines import extract_includes
-from tagweave.session import cut_lineage
+from tagweave.session import TASKS, cut_lineage
 
 
 def resolve_includes(includes: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -197,11 +197,23 @@ def header_closure(
         wanted = wanted.withColumn("dir", _above(F.col("d"), F.col("up")))
         return own.unionByName(wanted.join(there, ["dir", "rest"]).select(*keep))
 
-    roots = buffers.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("path").alias("node"), "search"
-    )
-    first = includes_of(roots.select("search", "node", *_bits("doc_id")))
-    grown = _grow(first, includes_of, ["search", "node"], max_depth, True)
-    return _roots(grown, "node", "depth").select(
-        F.col("root").alias("doc_id"), F.col("node").alias("path"), "depth"
+    members = cut_lineage(_numbered(buffers))
+    starts = members.select("search", F.explode("nodes").alias("node"), *_bits("number"))
+    grown = _grow(includes_of(starts), includes_of, ["search", "node"], max_depth, True)
+    # Words meet the buffers of their block before they are taken apart: a row is up to 64
+    # results, so rows are dealt by block however few bytes they are.
+    of_block = members.groupBy(F.shiftright("number", 6).alias("block")).agg(
+        F.collect_list(F.struct(F.expr("cast(number & 63 as int)").alias("bit"), "doc_id")).alias("of")
     )
+    set_ = F.expr("filter(of, m -> shiftright(word, m.bit) & 1 = 1)")
+    found = grown.repartition(TASKS, "block").join(of_block, "block").select("node", "depth", F.inline(set_))
+    return found.select("doc_id", F.col("node").alias("path"), "depth")
+
+
+def _numbered(buffers: DataFrame) -> DataFrame:
+    """``(search, doc_id, nodes, number)``: one row per buffer and search list.  Buffers of
+    one list are numbered next to each other, so 64 of them share the words of a walk;
+    their own ids would put 64 lists into a block."""
+    rows = buffers.where(F.col("doc_id").isNotNull()).groupBy("search", F.col("doc_id").cast("long").alias("doc_id"))
+    ordered = rows.agg(F.collect_set("path").alias("nodes")).orderBy("search", "doc_id")
+    return ordered.withColumn("number", F.monotonically_increasing_id())

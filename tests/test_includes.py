@@ -6,6 +6,7 @@ from collections import deque
 
 from pyspark.sql import functions as F
 
+from tagweave.operators import includes
 from tagweave.operators.includes import header_closure, include_closure, resolve_paths
 
 FILES = {
@@ -100,3 +101,24 @@ def test_closure_packs_roots(spark):
             for node in level:
                 want.setdefault((root, node), depth)
     assert got == want
+
+
+def test_buffers_of_one_search_list_share_blocks(spark):
+    """Ids alternate between lists; 64 buffers of a list are still one word, and results stay theirs."""
+    n = 400
+    lists = [["/p/inc", "/p/src"], ["/other", "/p/inc"], ["/p/src"], ["/none"]]
+    rows = [(i, "/p/src/a.c", lists[i % 4]) for i in range(n)] + [(4, "/p/src/b.c", lists[0]), (5, "/p/src/b.c", lists[0]), (None, "/p/src/a.c", lists[0])]
+    buffers = spark.createDataFrame(rows, "doc_id long, path string, search array<string>")
+    lines = spark.createDataFrame([(p, x) for p, ls in FILES.items() for x in ls or [""]], "path string, line string")
+    numbered = includes._numbered(buffers).select("search", F.shiftright("number", 6).alias("block"))
+    assert numbered.distinct().count() <= 16 < n // 4
+    got = sorted(tuple(r) for r in header_closure(buffers, lines).collect())
+    want = []
+    for search in lists:
+        for i in {r[0] for r in rows if r[0] is not None and r[2] == search}:
+            best = {}
+            for start in {r[1] for r in rows if r[0] == i and r[2] == search}:
+                for path, d in walk(FILES, start, search).items():
+                    best[path] = min(d, best.get(path, 99))
+            want += [(i, path, d) for path, d in best.items()]
+    assert got == sorted(want)
