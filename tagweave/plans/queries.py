@@ -472,7 +472,9 @@ def q_token_sketch(spark, sf):
     tokens = token_arrays(T.documents(spark, sf), strip=False)
     own = T.load(spark, sf, "documents").select("doc_id", "source")
     tokens = tokens.join(own, "doc_id")
-    merged = merge_sketches(token_sketches(tokens, "doc_id", *by), *by)
+    # Dealt by document first: no task sorts the tokens of a whole scan (on disk, if they
+    # don't fit), and sketches of documents are not shuffled.
+    merged = merge_sketches(token_sketches(tokens.repartition("doc_id"), "doc_id", *by), *by)
     guess = read_sketches(merged, *by).withColumnRenamed("unique_tokens", "_unique")
 
     names = tokens.select(*by, F.explode("toks").alias("name")).groupBy(*by, "name").agg(F.count(F.lit(1)).alias("n"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tagweave.operators import match
 from tagweave.operators.match import match_tags
+from tagweave.plans.queries import QUERIES
 from tagweave.session import TASK_BYTES, apply_defaults
 
 DOCS = "doc_id long, lang string, source string, text string"
@@ -48,3 +49,14 @@ def test_tasks_after_a_shuffle_are_bounded_in_bytes(spark):
     rows = spark.range(9 * TASK_BYTES // 8).select(F.xxhash64("id").alias("k"))
     tasks = rows.repartition("k").select(F.spark_partition_id().alias("p")).distinct().count()
     assert tasks > 8
+
+
+def test_sketches_of_documents_are_not_shuffled(spark):
+    """Between the partial and the final step of a document's sketches there is no exchange, as it ran."""
+    apply_defaults(spark)
+    found = QUERIES["token_sketch"](spark, "/root/testdata/sf0.001")
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Final Plan" in plan
+    part = plan.index("partial_approx_top_k_accumulate")
+    assert "Exchange" not in plan[plan.rindex("approx_top_k_accumulate", 0, part - len("partial_")) : part]
