@@ -143,27 +143,69 @@ class WordHash(dict):
         return value
 
 
+_P1, _P2, _P3, _P4, _P5 = map(
+    np.uint64,
+    (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5),
+)
+#: Words of as many bytes or more are hashed one by one.
+_LONG = 32
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def word_hashes(data: bytes, starts: np.ndarray, sizes: np.ndarray, cache: WordHash) -> np.ndarray:
+    """xxh64 of the words of ``sizes`` bytes at ``starts``, all short words at once: eight, four
+    and single bytes at a time go into every hash that still has them, as xxh64 has it."""
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    eight = np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))
+    out = sizes.astype(np.uint64) + _P5
+    for k in range(_LONG // 8 - 1):
+        on = np.flatnonzero(sizes >= 8 * (k + 1))
+        if not len(on):
+            break
+        lane = _turned(eight[starts[on] + 8 * k] * _P2, 31) * _P1
+        out[on] = _turned(out[on] ^ lane, 27) * _P1 + _P4
+    at = starts + (sizes & ~7)
+    on = np.flatnonzero(sizes & 4)
+    out[on] = _turned(out[on] ^ ((eight[at[on]] & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+    at = starts + (sizes & ~3)
+    for k in range(3):
+        on = np.flatnonzero((sizes & 3) > k)
+        out[on] = _turned(out[on] ^ (padded[at[on] + k].astype(np.uint64) * _P5), 11) * _P1
+    out ^= out >> np.uint64(33)
+    out *= _P2
+    out ^= out >> np.uint64(29)
+    out *= _P3
+    out ^= out >> np.uint64(32)
+    for k in np.flatnonzero(sizes >= _LONG).tolist():
+        out[k] = cache[data[starts[k] : starts[k] + sizes[k]]]
+    return out
+
+
 def word_arrays(
     texts: Iterable[str], cache: WordHash, lower: bool = False, drop: bytes = b""
 ) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, and each text's word count.
 
     ``lower`` folds A-Z; bytes in ``drop`` are deleted first (words that lose
-    all their bytes vanish).  ``bytes.split`` splits at exactly these six bytes.
+    all their bytes vanish).
     """
-    words: list[bytes] = []
-    counts = []
+    raws = []
     for text in texts:
         raw = text.encode("utf-8", "replace")
         if lower:
             raw = raw.lower()
-        if drop:
-            raw = raw.translate(None, drop)
-        own = raw.split()
-        words += own
-        counts.append(len(own))
-    hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    return hashes, np.array(counts, dtype=np.int64)
+        raws.append(raw.translate(None, drop) if drop else raw)
+    ends = np.cumsum(np.array([len(r) + 1 for r in raws], dtype=np.int64))
+    data = b" ".join([b"", *raws, b""])
+    joined = np.frombuffer(data, np.uint8)
+    space = (joined == 0x20) | (joined - np.uint8(0x09) < 5)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1  # a word's first byte, the byte after it, and so on
+    starts = edges[::2]
+    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+    return word_hashes(data, starts, edges[1::2] - starts, cache), counts
 
 
 _M1 = np.uint64(0x9E3779B97F4A7C15)

@@ -218,6 +218,20 @@ def _summed(first: np.ndarray, second: np.ndarray, counts: np.ndarray):
     return a[starts], b[starts], np.add.reduceat(c, starts) if len(starts) else c
 
 
+def _pair_counts(words: np.ndarray, first: np.ndarray, second: np.ndarray):
+    """Distinct (word before, follower) in ascending order with their counts, from the places
+    of both in ``words`` (ascending).  Places make a pair one number, and plain numbers sort
+    several times faster than two arrays."""
+    codes = first * len(words) + second
+    codes.sort()
+    starts = np.flatnonzero(np.diff(codes, prepend=-1))
+    first, second = np.divmod(codes[starts], len(words))
+    a, b, c = words[first], words[second] >> _NEXT_BITS, np.diff(np.append(starts, len(codes)))
+    new = np.ones(len(a), dtype=bool)  # different followers can be the same in 40 bits
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new], np.add.reduceat(c, np.flatnonzero(new))
+
+
 _COUNT_SCHEMA = "slice int, kind int, first binary, second binary, counts binary"
 
 
@@ -233,12 +247,15 @@ def _count(slices: int):
             before = np.concatenate([b for _, b in held])
             held.clear()
             rows = []
-            words, n = np.unique(tokens, return_counts=True)
-            begins = int((before == _BEGIN).sum())
-            words, n = np.append(words, _BEGIN), np.append(n, begins)
-            order = np.argsort(words)
-            words, n = words[order], n[order]
-            a, b, c = _summed(before, tokens >> _NEXT_BITS, np.ones(len(tokens), np.int64))
+            words, place = np.unique(np.append(tokens, _BEGIN), return_inverse=True)
+            begin = place[-1]
+            previous = np.empty_like(place[:-1])
+            previous[1:] = place[:-2]
+            opens = before == _BEGIN
+            previous[opens] = begin
+            n = np.bincount(place[:-1], minlength=len(words))
+            n[begin] += int(opens.sum())
+            a, b, c = _pair_counts(words, previous, place[:-1])
             # a pair's slice is that of both its words: the followers of a frequent word are spread
             own = slice_of(mix(a, b), slices)
             order = np.argsort(own, kind="stable")
