@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tagweave.llm.common import WordHash, prepare, rolling, run_starts, word_arrays
+from tagweave.llm.common import WordHash, lean, prepare, rolling, run_starts, word_arrays
 from tagweave.workers import ship_by_value
 
 SHINGLE = 5
@@ -167,6 +167,7 @@ def contained_items(
 
     def searcher(shared):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lean()
             ids, texts = shared.value
             index = ItemIndex(texts, threshold)
             for batch in batches:
@@ -213,6 +214,7 @@ def decontaminate(
 
     def keeper(shared):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lean()
             index = ItemIndex(shared.value, threshold)
             for batch in batches:
                 texts = [t or "" for t in batch.column(place).cast(pa.string()).to_pylist()]

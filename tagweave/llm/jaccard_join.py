@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import KEY, WordHash, free_name, keyed, mix, rolling, with_key, word_arrays
+from tagweave.llm.common import KEY, WordHash, free_name, keyed, lean, mix, rolling, with_key, word_arrays
 from tagweave.workers import ship_by_value
 
 SHINGLE = 5
@@ -90,6 +90,7 @@ def _sign(trees: int, depth: int):
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         cache = WordHash()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -108,6 +109,7 @@ def _sign(trees: int, depth: int):
 
 def _hash_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``key, text, weight, cluster, block`` to the same with shingle hashes in place of the text."""
+    lean()
     cache = WordHash()
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
@@ -157,6 +159,7 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 def _verify(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lean()
         pdf = pdf.sort_values("key", ignore_index=True)
         sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
         block = pdf["block"].to_numpy()

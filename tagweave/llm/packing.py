@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tagweave.llm.common import prepare
+from tagweave.llm.common import lean, prepare
 from tagweave.workers import ship_by_value
 
 MAX_TOKENS = 4096
@@ -206,6 +206,7 @@ def _pack_partition(tokenizer: str, limits: tuple[int, int, int], end_id: int, i
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         words, packer, held = None, None, 0
 
         def out() -> pa.RecordBatch:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tagweave.llm.common import WordHash, mix, prepare, word_arrays, windows
+from tagweave.llm.common import WordHash, chunked, lean, mix, prepare, word_arrays, windows
 from tagweave.workers import ship_by_value
 
 BITS = 20
@@ -46,6 +46,8 @@ THRESHOLD = 0.7
 ALPHA, BETA, L2 = 3.0, 1.0, 0.0
 #: L1 strength per root of the number of positive examples.
 L1_RATE = 0.14
+#: Bytes of text whose features a task holds at a time: they take some thirty times as much.
+CHUNK = 1 << 20
 _PUNCTUATION = string.punctuation.encode()
 _SKIP = np.uint64(0x51C64E6D)
 
@@ -128,25 +130,23 @@ def calibrate(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def _extract(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    lean()
     cache = WordHash()
-    for pdf in batches:
-        for at in range(0, len(pdf), 500):
-            part = pdf.iloc[at : at + 500]
-            coordinates, owner = _distinct(*grams(part["text"], cache))
-            cuts = np.searchsorted(owner, np.arange(1, len(part)))
-            yield pd.DataFrame(
-                {
-                    "fitted": part["fitted"],
-                    "label": part["label"],
-                    "features": [x.astype(np.int32).tobytes() for x in np.split(coordinates, cuts)],
-                }
-            )
+    for part in chunked(batches, max_bytes=CHUNK):
+        coordinates, owner = _distinct(*grams(part["text"], cache))
+        cuts = np.searchsorted(owner, np.arange(1, len(part)))
+        yield pd.DataFrame(
+            {
+                "fitted": part["fitted"],
+                "label": part["label"],
+                "features": [x.astype(np.int32).tobytes() for x in np.split(coordinates, cuts)],
+            }
+        )
 
 
 def _train(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = [
-        (np.frombuffer(f, np.int32).astype(np.int64), int(y)) for f, y in zip(pdf["features"], pdf["label"])
-    ]
+    lean()
+    rows = [(np.frombuffer(f, np.int32), int(y)) for f, y in zip(pdf["features"], pdf["label"])]
     w, bias = ftrl(rows)
     at = np.flatnonzero(w)
     return pd.DataFrame(
@@ -194,6 +194,7 @@ def fit(
     shared = spark.sparkContext.broadcast((model.coordinates, model.weights))
 
     def margins(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
         dense = _dense(*shared.value)
         for pdf in batches:
             sums = [float(dense[np.frombuffer(f, np.int32)].sum()) for f in pdf["features"]]
@@ -214,6 +215,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     place = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         dense, cache = _dense(*shared.value), WordHash()
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
@@ -221,7 +223,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
             at = 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size < 4 << 20):
+                while end < len(texts) and (end == at or size < CHUNK):
                     size += len(texts[end])
                     end += 1
                 coordinates, owner = grams(texts[at:end], cache)

@@ -33,3 +33,10 @@ def test_pairs_are_counted_as_numbers():
     want = Counter((int(words[a]), int(words[b]) >> 24) for a, b in zip(first, second))
     a, b, c = lm_score._pair_counts(words, first, second)
     assert list(zip(zip(a.tolist(), b.tolist()), c.tolist())) == sorted(want.items())
+
+
+def test_features_are_extracted_in_bounded_parts():
+    texts = [f"word{k} " * 40_000 for k in range(10)]
+    parts = list(toxicity._extract([pd.DataFrame({"text": texts, "label": 1, "fitted": True})]))
+    assert len(parts) > 1 and sum(map(len, parts)) == 10
+    assert all(len(np.frombuffer(f, np.int32)) == 3 for p in parts for f in p["features"])
