@@ -156,44 +156,55 @@ _CHUNK_SCHEMA = pa.schema(
 
 
 def _chunks(length: int, gram: int, shards: int):
-    """Chunks around repeated minimizers; a chunk's bytes are sent once by each task."""
+    """Chunks around repeated minimizers; a chunk's bytes are sent once by each task.
+
+    A minimizer's number of occurrences is that of the whole input, so the lists of a
+    batch's documents are one list, and their texts are gone through together."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         sent: set[bytes] = set()
         for batch in batches:
-            for row in range(batch.num_rows):
-                key = batch.column(0)[row].as_py()
-                text = batch.column(1)[row].as_py()
-                known = np.array(batch.column(2)[row].as_py(), np.int64).view(np.uint64)
-                times = np.array(batch.column(3)[row].as_py(), np.int64)
-                order = np.argsort(known)
-                known, times = known[order], times[order]
-                rows = []
-                for pieces, _, offset in _groups([text], length):
-                    hashes, piece, first, number = minimizers(pieces, length, gram)
-                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    hit = np.flatnonzero(known[at] == hashes)
-                    for h, p, a, n, t in zip(
-                        hashes[hit].tolist(), piece[hit].tolist(), first[hit].tolist(), number[hit].tolist(), times[at[hit]].tolist()
-                    ):
-                        chunk = pieces[p][a : a + n + length - 1]
-                        digest = xxhash.xxh3_128_digest(chunk)
-                        parts = -(-t // SPLIT)
-                        salt = int.from_bytes(digest[:4], "little") % parts
-                        shard = xxhash.xxh64_intdigest(h.to_bytes(8, "little") + salt.to_bytes(4, "little")) % shards
-                        fresh = digest not in sent
-                        if fresh:
-                            sent.add(digest)
-                        rows.append((shard, parts > 1, digest, chunk if fresh else None, key, offset[p] + a, n))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, f.type) for c, f in zip(zip(*rows), _CHUNK_SCHEMA)], schema=_CHUNK_SCHEMA
-                    )
+            keys = batch.column(0).to_numpy()
+            known, at = np.unique(batch.column(2).flatten().to_numpy().view(np.uint64), return_index=True)
+            times = batch.column(3).flatten().to_numpy()[at]
+            for pieces, owner, offset in _groups(batch.column(1).to_pylist(), length):
+                hashes, piece, first, number = minimizers(pieces, length, gram)
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = np.flatnonzero(known[at] == hashes)
+                piece, first, number = piece[hit], first[hit], number[hit]
+                digests, fresh = [], []
+                for p, a, b in zip(piece.tolist(), first.tolist(), (first + number + (length - 1)).tolist()):
+                    chunk = pieces[p][a:b]
+                    digest = xxhash.xxh3_128_digest(chunk)
+                    digests.append(digest)
+                    fresh.append(None if digest in sent else chunk)
+                    sent.add(digest)
+                if not digests:
+                    continue
+                parts = -(-times[at[hit]] // SPLIT)
+                salt = np.frombuffer(b"".join(digests), "<u4")[::4] % parts
+                shard = [
+                    xxhash.xxh64_intdigest(h + s) % shards
+                    for h, s in zip(_each(hashes[hit].astype("<u8")), _each(salt.astype("<u4")))
+                ]
+                columns = [
+                    shard, parts > 1, digests, fresh,
+                    keys[np.array(owner)[piece]], np.array(offset)[piece] + first, number.astype(np.int32),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(columns, _CHUNK_SCHEMA)], schema=_CHUNK_SCHEMA
+                )
 
     return run
 
 
+def _each(values: np.ndarray) -> list[bytes]:
+    """Each number's bytes."""
+    data, width = values.tobytes(), values.dtype.itemsize
+    return [data[at : at + width] for at in range(0, len(data), width)]
+
+
 # --- suffix arrays ----------------------------------------------------------------
 
 
@@ -383,38 +394,62 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 # --- removal ------------------------------------------------------------------------
 
 
+def _repeats(found: pa.StructArray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of runs of repeated starts, in no order; ``first`` is the place of
+    each chunk's first start."""
+    starts, copies, flags, merged = (found.field(k) for k in ("starts", "copies", "flags", "merged"))
+    whole = copies.to_numpy() > 1
+    low, high = [first[whole]], [(first + starts.to_numpy() - 1)[whole]]
+    own = np.flatnonzero(~whole & flags.is_valid().to_numpy(zero_copy_only=False))
+    packed = flags.take(pa.array(own)).to_pylist()
+    places = np.flatnonzero(np.unpackbits(np.frombuffer(b"".join(packed), np.uint8)))
+    begin = run_starts(np.array([8 * len(x) for x in packed], dtype=np.int64))
+    if len(places):
+        chunk = np.searchsorted(begin, places, side="right") - 1
+        places += first[own[chunk]] - begin[chunk]
+        gap = np.flatnonzero(np.diff(places) != 1)
+        low.append(places[np.append(0, gap + 1)])
+        high.append(places[np.append(gap, len(places) - 1)])
+    own = np.flatnonzero(~whole & merged.is_valid().to_numpy(zero_copy_only=False))
+    for k, lists in zip(own.tolist(), merged.take(pa.array(own)).to_pylist()):
+        at = first[k] + np.frombuffer(b"".join(lists), np.int32)
+        low.append(at)
+        high.append(at)
+    return np.concatenate(low), np.concatenate(high)
+
+
 def _cut(length: int):
-    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    spans = ["start", "end"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
-            kept, removed, sizes = [], [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = text.encode("utf-8", "replace")
-                sizes.append(len(data))
-                own = []
-                if found:
-                    at = []
-                    for f in found:
-                        here = np.zeros(f["starts"], dtype=bool)
-                        if f["copies"] > 1:
-                            here[:] = True
-                        if f["flags"] is not None:
-                            here |= np.unpackbits(np.frombuffer(f["flags"], np.uint8))[: f["starts"]].astype(bool)
-                        for packed in f["merged"] or ():
-                            here[np.frombuffer(packed, np.int32)] = True
-                        at.append(np.flatnonzero(here) + f["start"])
-                    at = np.sort(np.concatenate(at))
-                    if len(at):
-                        gap = np.flatnonzero(at[1:] > at[:-1] + length)
-                        own = list(zip(at[np.append(0, gap + 1)].tolist(), (at[np.append(gap, len(at) - 1)] + length).tolist()))
-                    data = b"".join(
-                        data[a:b] for a, b in zip([0, *(e for _, e in own)], [*(s for s, _ in own), len(data)])
-                    )
-                kept.append(data)
-                removed.append([{"start": a, "end": b} for a, b in own])
+            kept = [text.encode("utf-8", "replace") for text in batch.column(1).to_pylist()]
+            sizes = np.array([len(x) for x in kept], dtype=np.int64)
+            found = batch.column(2)
+            chunks = found.value_lengths().fill_null(0).to_numpy()
+            # Documents lie more than a string apart, so runs of two of them never meet.
+            base = run_starts(sizes + length + 1)
+            rows = found.flatten()
+            low, high = _repeats(rows, np.repeat(base, chunks) + rows.field("start").to_numpy())
+            order = np.argsort(low)
+            low, high = low[order], np.maximum.accumulate(high[order])
+            gap = np.flatnonzero(low[1:] > high[:-1] + length)
+            if len(low):
+                low, high = low[np.append(0, gap + 1)], high[np.append(gap, len(high) - 1)] + length
+            borders = np.searchsorted(low, np.append(base, np.iinfo(np.int64).max))
+            owner = np.repeat(np.arange(len(kept)), np.diff(borders))
+            low, high = low - base[owner], high - base[owner]
+            for k in np.unique(owner).tolist():
+                own = slice(borders[k], borders[k + 1])
+                kept[k] = b"".join(
+                    kept[k][a:b] for a, b in zip([0, *high[own].tolist()], [*low[own].tolist(), len(kept[k])])
+                )
+            removed = pa.ListArray.from_arrays(
+                pa.array(borders, pa.int32()), pa.StructArray.from_arrays([pa.array(low), pa.array(high)], spans)
+            )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, spans)],
+                [batch.column(0), pa.array(kept, pa.binary()), pa.array(sizes), removed],
                 names=["doc_id", "kept", "n_bytes", "removed"],
             )
 

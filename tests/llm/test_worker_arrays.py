@@ -40,3 +40,25 @@ def test_features_are_extracted_in_bounded_parts():
     parts = list(toxicity._extract([pd.DataFrame({"text": texts, "label": 1, "fitted": True})]))
     assert len(parts) > 1 and sum(map(len, parts)) == 10
     assert all(len(np.frombuffer(f, np.int32)) == 3 for p in parts for f in p["features"])
+
+
+def test_a_repeated_chunk_is_one_run():
+    """Repeated starts become runs, whole chunks without their places, in one step for a batch."""
+    flags = np.packbits([0, 1, 1, 0, 0, 0, 0, 0, 0, 1]).tobytes()
+    packed = np.array([4, 6], np.int32).tobytes()
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("starts", pa.int32()), ("copies", pa.int64()), ("flags", pa.binary()), ("merged", pa.list_(pa.binary()))]))
+    chunk = lambda start, starts, copies, flags=None, merged=None: dict(start=start, starts=starts, copies=copies, flags=flags, merged=merged)
+    found = pa.array([[chunk(0, 1000, 2, flags)], None, [chunk(5, 10, 1, flags), chunk(40, 9, 1, None, [packed])]], kind)
+    low, high = suffix_dedup._repeats(found.flatten(), np.array([0, 5000, 6000]))
+    assert sorted(zip(low.tolist(), high.tolist())) == [(0, 999), (5001, 5002), (5009, 5009), (6004, 6004), (6006, 6006)]
+
+    text = "0123456789" * 120
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([text, "", text]), found], names=["doc_id", "text", "found"])
+    (out,) = suffix_dedup._cut(3)([batch])
+    spans = [[(s["start"], s["end"]) for s in row] for row in out.column(3).to_pylist()]
+    assert spans == [[(0, 1002)], [], [(6, 10), (14, 17), (44, 49)]]
+    for kept, own in zip(out.column(1).to_pylist(), spans):
+        gone = {k for a, b in own for k in range(a, b)}
+        data = b"" if not own else text.encode()
+        assert kept == bytes(x for k, x in enumerate(data) if k not in gone)
+    assert out.column(2).to_pylist() == [1200, 0, 1200]
