@@ -71,7 +71,10 @@ _PLACE = np.uint64((1 << 24) - 1)
 
 def minimizers(pieces: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of string starts with one minimizer occurrence: its hash, the piece,
-    the first start in the piece, and the number of starts."""
+    the first start in the piece, and the number of starts.
+
+    Grams are minimizers because their hashes are small, so those would nearly all lie in
+    the first slice.  Mixed once more (one to one) they spread over all 64 bits."""
     counts = np.array([len(p) for p in pieces], dtype=np.int64)
     starts, owner = windows(counts, length)
     if not len(starts):
@@ -92,7 +95,7 @@ def minimizers(pieces: list[bytes], length: int, gram: int) -> tuple[np.ndarray,
     at = np.flatnonzero(new)
     number = np.diff(np.append(at, len(starts)))
     first = starts[at] - run_starts(counts)[owner[at]]
-    return hashes[place[at]], owner[at], first, number
+    return mix(hashes[place[at]], np.uint64(0)), owner[at], first, number
 
 
 def _pieces(data: bytes, length: int) -> Iterator[tuple[int, bytes]]:
@@ -122,27 +125,49 @@ def _groups(texts: Iterable[str], length: int) -> Iterator[tuple[list[bytes], li
 
 
 def _occurrences(length: int, gram: int, slices: int):
+    """Each document's minimizers; ``extra`` is how often one occurs in the document."""
+
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lean()
+        held, size = [], 0
+
+        def flush() -> pd.DataFrame:
+            hashes, owner, times = (np.concatenate(x) for x in zip(*(x[:3] for x in held)))
+            first = np.repeat(run_starts(np.array([len(x[3]) for x in held])), [len(x[0]) for x in held])
+            keys = np.concatenate([x[3] for x in held])
+            held.clear()
+            return entries(hashes, owner + first, times, keys, keys, slices)
+
         for pdf in batches:
-            keys = pdf["key"].to_numpy(np.int64)
-            found, owners = [], []
             for pieces, owner, _ in _groups(pdf["text"], length):
                 hashes, piece, _, _ = minimizers(pieces, length, gram)
-                found.append(hashes)
-                owners.append(np.array(owner, dtype=np.int64)[piece])
-            if found:
-                hashes = np.concatenate(found)
-                yield entries(hashes, np.concatenate(owners), np.zeros(len(hashes)), keys, keys, slices)
+                owner, place = np.unique(np.array(owner), return_inverse=True)
+                held.append((*_counted(hashes, place[piece]), pdf["key"].to_numpy(np.int64)[owner]))
+                size += len(held[-1][0])
+                if size >= GRAM_SLICE:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
 
     return run
 
 
+def _counted(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs of hash and owner (in ascending order), and how often each occurs."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    return hashes[at], owner[at], np.diff(np.append(at, len(hashes)))
+
+
 def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     """Minimizers that occur twice or more: each document's, with the number of occurrences."""
     lean()
-    h, key, _, _, starts, group, _ = gathered(pdf)
-    times = np.diff(np.append(starts, len(h)))[group]
+    h, key, _, times, starts, group, _ = gathered(pdf)
+    times = np.add.reduceat(times.astype(np.int64), starts)[group]
     often = times > 1
     return pd.DataFrame(
         {"key": key[often], "gram": h[often].view(np.int64), "n": times[often]}

@@ -62,3 +62,39 @@ def test_a_repeated_chunk_is_one_run():
         data = b"" if not own else text.encode()
         assert kept == bytes(x for k, x in enumerate(data) if k not in gone)
     assert out.column(2).to_pylist() == [1200, 0, 1200]
+
+
+def _minimizer_rows(texts, slices):
+    keys = np.arange(len(texts)) + 7
+    pdf = pd.DataFrame({"key": keys, "text": texts})
+    rows = suffix_dedup._occurrences(200, 48, slices)([pdf.iloc[:3], pdf.iloc[3:]])
+    return [own.reset_index(drop=True) for _, own in pd.concat(rows).groupby("slice")]
+
+
+def test_minimizers_spread_over_the_slices():
+    """A task counts one slice, so no slice may hold most minimizers, though their hashes are small."""
+    text = np.random.default_rng(4).integers(97, 123, 600_000).astype(np.uint8).tobytes().decode()
+    held = [sum(len(o) // 4 for o in own["owner"]) for own in _minimizer_rows([text], 40)]
+    assert len(held) == 40 and sum(held) > 7000
+    assert max(held) < 2 * sum(held) / 40
+
+
+def test_a_text_that_repeats_itself_sends_few_minimizers(monkeypatch):
+    """A minimizer that a piece of text has many times is sent once, and all its occurrences count."""
+    rng = np.random.default_rng(5)
+    line = rng.integers(97, 123, 400).astype(np.uint8).tobytes().decode()
+    own = rng.integers(97, 123, 2000).astype(np.uint8).tobytes().decode()
+    texts = ["x" * 30_000, line * 40, "", "short", own + line, own[:1500], line]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 9000)
+    monkeypatch.setattr(suffix_dedup, "GRAM_SLICE", 20)
+    times, keys = Counter(), {}
+    for pieces, owner, _ in suffix_dedup._groups(texts, 200):
+        hashes, piece, _, _ = suffix_dedup.minimizers(pieces, 200, 48)
+        times.update(hashes.tolist())
+        for h, p in zip(hashes.tolist(), piece.tolist()):
+            keys.setdefault(h, set()).add(owner[p] + 7)
+    want = {(k, np.uint64(h).view(np.int64), n) for h, n in times.items() if n > 1 for k in keys[h]}
+    slices = _minimizer_rows(texts, 12)
+    found = pd.concat([suffix_dedup._repeated(own) for own in slices])
+    assert sorted(found.itertuples(index=False, name=None)) == sorted(want)
+    assert sum(len(o) // 4 for own in slices for o in own["owner"]) < 200 < times.most_common(1)[0][1]
