@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagweave.constants import MAX_HEADER_SEARCH_LEVEL
 from tagweave.functions.paths import clean_path, path_join
 from tagweave.operators.lines import extract_includes
 from tagweave.session import TASKS, cut_lineage
+from tagweave.workers import ship_by_value
+
+#: Roots that one task walks together, over one copy of the edges they reach.
+PART = 1 << 13
+#: Pairs of a root and a node that a task holds at a time.
+CELLS = 1 << 23
+#: Rows of an Arrow batch of results.
+BATCH = 1 << 16
 
 
 def resolve_includes(includes: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -103,16 +116,84 @@ def include_closure(
 ) -> DataFrame:
     """``(root, node, depth)``: nodes reachable from each root (an integer), shortest depth
     1..``max_depth`` (direct includes are depth 1; nodes up to depth 8 are
-    expanded, so results reach depth 9)."""
+    expanded, so results reach depth 9).
+
+    Results are some hundred rows a root, so they are not what is stored or shuffled.
+    Roots are dealt by hash into parts of ``PART``; :func:`_grow` walks whole parts (64 to
+    a word) and finds which nodes each expands.  Every part then gets the edges of its
+    nodes once, and one task walks its roots over them and hands the results on.
+    """
     keep = cut_lineage if checkpoint else (lambda df: df)
     e = keep(edges.select("src", "dst").distinct())
     r = roots.select(F.col("root").cast("long").alias("root")).where(F.col("root").isNotNull()).distinct()
-    first = r.join(e, r.root == e.src).select(F.col("dst").alias("node"), *_bits("root"))
+    parts = max(1, -(-r.count() // PART))
+    r = r.select(F.col("root").alias("node"), F.expr(f"pmod(xxhash64(root), {parts}L)").alias("part"))
 
     def step(level: DataFrame) -> DataFrame:
         return level.join(e, level.node == e.src).select(F.col("dst").alias("node"), "block", "word")
 
-    return _roots(_grow(first, step, ["node"], max_depth, checkpoint), "node", "depth")
+    # The roots themselves are the first rows, so depths here are one more than the distance.
+    grown = _grow(r.select("node", *_bits("part")), step, ["node"], max_depth, checkpoint)
+    kind, result = grown.schema["node"].dataType, e.schema["dst"].dataType
+    held = grown.join(e, grown.node == e.src).select(
+        "block", "word", (F.col("depth") == 1).alias("start"), "node", F.col("dst").cast(kind).alias("dst")
+    )
+    dealt = _roots(held, "start", "node", "dst").withColumnRenamed("root", "part")
+    dealt = dealt.repartitionById(parts, F.col("part").cast("int"))
+    schema = T.StructType().add("root", T.LongType()).add("node", kind).add("depth", T.LongType())
+    return dealt.mapInArrow(_walks(max_depth), schema).select("root", F.col("node").cast(result).alias("node"), "depth")
+
+
+def _walks(max_depth: int):
+    """Of rows ``(part, start, node, dst)``, edges by part, the results of each part's roots: the nodes marked ``start``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        for part in pc.unique(rows["part"]):
+            own = rows.filter(pc.equal(rows["part"], part))
+            yield from _walk(own["start"], own["node"], own["dst"], max_depth)
+
+    return run
+
+
+def _walk(start: pa.ChunkedArray, src: pa.ChunkedArray, dst: pa.ChunkedArray, max_depth: int) -> Iterator[pa.RecordBatch]:
+    """Breadth-first walks of the sources marked ``start``, as many at a time as ``CELLS`` has room for.
+
+    Nodes are numbers here, and a pair is one number: walk times nodes plus node.
+    """
+    coded = pa.concat_arrays([*src.chunks, *dst.chunks]).dictionary_encode(null_encoding="encode")
+    names, codes = coded.dictionary, coded.indices.to_numpy()
+    at, to, n = codes[: len(src)], codes[len(src) :], len(coded.dictionary)
+    to = to[np.argsort(at, kind="stable")]
+    degree = np.bincount(at, minlength=n)
+    begin = np.cumsum(degree) - degree
+    roots = np.unique(at[start.to_numpy()])
+    many = min(len(roots), max(1, CELLS // max(n, len(to))))
+    seen = np.zeros(many * n, bool)
+    for first in range(0, len(roots), many):
+        mine = roots[first : first + many].astype(np.int64)
+        level, found = np.arange(len(mine)) * n + mine, []
+        for _ in range(max_depth):
+            node = level % n
+            count = degree[node]
+            ends = np.cumsum(count)
+            edge = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[node] - ends + count, count)
+            level = np.repeat(level - node, count) + to[edge]
+            level = np.sort(level[~seen[level]])
+            level = level[np.append(True, level[1:] != level[:-1])[: len(level)]]
+            seen[level] = True
+            found.append(level)
+        pairs = np.concatenate(found)
+        seen[pairs] = False
+        depth = np.repeat(np.arange(1, len(found) + 1), [len(x) for x in found])
+        ids = names.take(pa.array(mine)).cast(pa.int64()).to_numpy()
+        for x in range(0, len(pairs), BATCH):
+            walk, node = np.divmod(pairs[x : x + BATCH], n)
+            columns = [pa.array(ids[walk]), names.take(pa.array(node)), pa.array(depth[x : x + BATCH])]
+            yield pa.RecordBatch.from_arrays(columns, names=["root", "node", "depth"])
 
 
 def _parent_dir(path: str):
@@ -217,3 +298,6 @@ def _numbered(buffers: DataFrame) -> DataFrame:
     rows = buffers.where(F.col("doc_id").isNotNull()).groupBy("search", F.col("doc_id").cast("long").alias("doc_id"))
     ordered = rows.agg(F.collect_set("path").alias("nodes")).orderBy("search", "doc_id")
     return ordered.withColumn("number", F.monotonically_increasing_id())
+
+
+ship_by_value(__name__)

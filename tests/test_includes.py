@@ -3,11 +3,14 @@
 import posixpath
 import random
 from collections import deque
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagweave.operators import includes
 from tagweave.operators.includes import header_closure, include_closure, resolve_paths
+from tagweave.session import ensure_checkpoint_dir
 
 FILES = {
     "/p/src/a.c": ['#include "x.h"', '#include "sub/y.h"', ' #include "z.h"', "int a;"],
@@ -103,6 +106,63 @@ def test_closure_packs_roots(spark):
     assert got == want
 
 
+def closure(roots, edges, max_depth=9):
+    """``{(root, node): depth}`` of a plain walk."""
+    step, want = {}, {}
+    for a, b in edges:
+        step.setdefault(a, set()).add(b)
+    for root in {r for r in roots if r is not None}:
+        level = {root}
+        for depth in range(1, max_depth + 1):
+            level = {b for a in level if a is not None for b in step.get(a, ()) if (root, b) not in want}
+            want.update({(root, b): depth for b in level})
+    return want
+
+
+@pytest.mark.parametrize("part, cells", [(7, 1), (30, 400), (1 << 13, 1 << 23)])
+def test_closure_of_scattered_ids(spark, monkeypatch, part, cells):
+    """Ids far apart, null and repeated ones, hubs, loops and dead ends, in many parts or one, at several depths."""
+    monkeypatch.setattr(includes, "PART", part, raising=False)
+    monkeypatch.setattr(includes, "CELLS", cells, raising=False)
+    monkeypatch.setattr(includes, "BATCH", 3, raising=False)
+    rng = random.Random(8)
+    ids = [rng.randint(-(2**62), 2**62) for _ in range(90)]
+    edges = [(a, rng.choice(ids[:9] if rng.random() < 0.5 else ids)) for a in ids[5:] for _ in range(rng.randint(0, 4))]
+    edges += [*edges[:20], (ids[6], None), (None, ids[6]), (None, None), (ids[7], ids[7]), (ids[8], 12345)]
+    roots = [*ids, *ids[:10], None, 777, 12345]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    r = spark.createDataFrame([(x,) for x in roots], "root long")
+    for depth, checkpoint in ((9, True), (1, True), (3, False)):
+        rows = include_closure(r, e, depth, checkpoint).collect()
+        assert {(x.root, x.node): x.depth for x in rows} == closure(roots, edges, depth)
+        assert len(rows) == len(closure(roots, edges, depth))
+
+
+def test_closure_keeps_the_kind_of_nodes(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst int")
+    roots = spark.createDataFrame([(1,)], "root int")
+    found = include_closure(roots, edges)
+    assert found.dtypes == [("root", "bigint"), ("node", "int"), ("depth", "bigint")]
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2, 1), (1, 3, 2)]
+
+
+def test_closure_without_edges(spark):
+    none = spark.createDataFrame([], "src long, dst long")
+    some = spark.createDataFrame([(1, 2)], "src long, dst long")
+    assert include_closure(spark.createDataFrame([(1,)], "root long"), none).collect() == []
+    assert include_closure(spark.createDataFrame([(None,)], "root long"), some).collect() == []
+
+
+def test_closure_does_not_store_its_results(spark):
+    """Bytes kept for a walk follow from roots and edges, not from the pairs of root and node."""
+    n = 2000
+    edges = spark.createDataFrame([(i, (2 * i + 1) % n) for i in range(n)] + [(i, i * i % 997) for i in range(n)], "src long, dst long")
+    size = lambda: sum(f.stat().st_size for f in Path(ensure_checkpoint_dir(spark).removeprefix("file:")).rglob("part-*"))
+    before = size()
+    rows = include_closure(spark.range(n).withColumnRenamed("id", "root"), edges).count()
+    assert rows > 300 * n and size() - before < 2 * rows
+
+
 def test_buffers_of_one_search_list_share_blocks(spark):
     """Ids alternate between lists; 64 buffers of a list are still one word, and results stay theirs."""
     n = 400
