@@ -20,6 +20,8 @@ from tagweave.workers import ship_by_value
 
 #: Roots that one task walks together, over one copy of the edges they reach.
 PART = 1 << 13
+#: Parts of fewer roots there are up to this many, and roots of the smallest ones: few roots keep some cores busy too.
+FEW, LEAST = 16, 1 << 8
 #: Pairs of a root and a node that a task holds at a time.
 CELLS = 1 << 23
 #: Rows of an Arrow batch of results.
@@ -126,7 +128,8 @@ def include_closure(
     keep = cut_lineage if checkpoint else (lambda df: df)
     e = keep(edges.select("src", "dst").distinct())
     r = roots.select(F.col("root").cast("long").alias("root")).where(F.col("root").isNotNull()).distinct()
-    parts = max(1, -(-r.count() // PART))
+    count = r.count()
+    parts = max(1, -(-count // PART), min(FEW, count // LEAST))
     r = r.select(F.col("root").alias("node"), F.expr(f"pmod(xxhash64(root), {parts}L)").alias("part"))
 
     def step(level: DataFrame) -> DataFrame:
